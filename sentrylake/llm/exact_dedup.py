@@ -22,13 +22,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import ascii_lower, land, remove, work_dir
+from .util import ascii_lower, land, remove, settings, work_dir
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else every one of many small stores reserves megabytes of disk
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+#: Lets Spark build a Bloom filter of the hit digests, at most 8 MB, so that the texts of other documents are not shuffled.
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
 }
 Digest = Callable[[Column], Column]
 
@@ -64,25 +71,15 @@ def run_stream(spark: SparkSession, arrivals: DataFrame, path: str) -> DataFrame
     goes on from the same state. A batch that is replayed overwrites its own
     output, so nothing counts twice.
     """
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/updates/batch={batch_id}")
 
-    try:
-        for k, v in _STATE.items():
-            spark.conf.set(k, v)
+    with settings(spark, _STATE):
         query = (
             state_of(arrivals).writeStream.outputMode("update").foreachBatch(save)
             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
     updates = spark.read.schema("digest string, keep_id long, keep_locator long, group_size long").parquet(f"{path}/updates")
     # a digest's count only grows, so the row with the highest count is its last state
     return updates.groupBy("digest").agg(
@@ -109,7 +106,8 @@ def dedup(docs: DataFrame, digest: Digest = sha256, max_files_per_trigger: int =
         F.coalesce(F.col("locator") == F.col("keep_locator"), F.lit(True)).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
-    clashes = land(_clashes(docs, hits, digest), f"{path}/clashes")
+    with settings(spark, _BLOOM):
+        clashes = land(_clashes(docs, hits.filter("group_size > 1"), digest), f"{path}/clashes")
     if clashes.isEmpty():
         return rows
     return rows.join(clashes, rows.text_sha256 == clashes.digest, "left_anti").unionByName(_regrouped(docs, clashes, digest, path))
