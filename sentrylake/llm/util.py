@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -52,6 +57,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside a with block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null becomes the empty string."""
     text = F.coalesce(text.cast("string"), F.lit(""))
@@ -62,3 +83,23 @@ def ascii_lower(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def map_texts(docs: DataFrame, keep: list[str], text: str, fn, added: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """Columns ``keep`` as they are, then what ``fn`` makes of each batch of ``text`` values.
+
+    ``fn`` maps a list of strings (or nulls) to one sequence for each column in
+    ``added``, which gives their Spark and Arrow types.
+    """
+    ship(docs.sparkSession)
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} {t}" for c, (t, _) in added.items())])
+    names = [*keep, *added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = fn(b.column(len(keep)).to_pylist())
+            arrays = [pa.array(v, kind) for v, (_, kind) in zip(made, added.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *arrays], names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
