@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, lm, packing, simhash, urlfilter
-from .util import crc_mod, table
+from . import decontaminate, exact_dedup, langid, lm, packing, pii, secrets, sharding, simhash, urlfilter
+from .util import crc_mod, table, work_dir
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended in sixteen arrivals, compacted, and read back from the committed manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, work_dir(spark, "sharding"))
+    store.append(docs, number=sharding.by_range(docs, "doc_id", 16))
+    version = store.compact()["version"]
+    return store.read(version).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), model, path=F.col("source"))
+    return found.select(
+        "doc_id", "ordinal", "start", F.length("candidate").cast("long").alias("length"),
+        F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "secret",
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -20,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm.score(table(spark, sf_dir, "documents"), training=crc_mod(F.col("doc_id"), 7) != 2)
     return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -53,17 +75,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
+    "op1_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op3_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
