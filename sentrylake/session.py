@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,3 +27,14 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(package.parent))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+@contextmanager
+def utc(spark: SparkSession) -> Iterator[None]:
+    """The session time zone is UTC inside the block; plans made there keep it."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
