@@ -21,13 +21,20 @@ from pyspark.sql import functions as F
 from ..functions.text import SEVERITIES
 from ..functions.timestamps import iso_utc
 from ..session import ship
-from .conditions import Fields, all_of, matches
+from .conditions import Fields, all_of, matches, split_key
 from .rules import Rule
 
 _CANDIDATE = "rule int, group_key string, pos long, ts_us long, start long, low long, picked array<long>"
 _FIRED = "rule int, group_key string, pos long, ts_us long, first long, evidence_count int, picked array<long>, emitted boolean"
 
 
+def _names(rule: Rule) -> list[str]:
+    """The fields that a rule looks at."""
+    groups = [rule.conditions, *rule.any_of, *(s.conditions for s in rule.steps)]
+    tested = [split_key(k, v)[0] for g in groups for k, v in g.items()]
+    return ["log_type", *rule.group_by, *([rule.field] if rule.field else []), *tested]
+
+
 def hits(events: DataFrame, rules: Sequence[Rule], fields: Fields, raw: Column) -> DataFrame:
     """One row per event and rule that it concerns: rule (its order), group, group_key, missing, value, steps, ts_us, seq, raw.
 
@@ -36,6 +43,11 @@ def hits(events: DataFrame, rules: Sequence[Rule], fields: Fields, raw: Column)
     complete group, as any of them can end a stale sequence; ``steps`` says which
     steps it satisfies.
     """
+    # each field is read out of the event once, however many rules look at it
+    names = list(dict.fromkeys(n for r in rules for n in _names(r)))
+    at = {n: f"__field{i}" for i, n in enumerate(names)}
+    events = events.select("ts_us", "seq", raw.alias("raw"), *[fields(n).alias(c) for n, c in at.items()])
+    fields = lambda n: F.col(at[n])
     made = []
     for r in rules:
         values = [fields(f).cast("string") for f in r.group_by]
@@ -62,7 +74,7 @@ def hits(events: DataFrame, rules: Sequence[Rule], fields: Fields, raw: Column)
             )
         )
     found = F.explode(F.array_compact(F.array(*made)))
-    return events.select("ts_us", "seq", raw.alias("raw"), found.alias("hit")).select("hit.*", "ts_us", "seq", "raw")
+    return events.select("ts_us", "seq", "raw", found.alias("hit")).select("hit.*", "ts_us", "seq", "raw")
 
 
 def skipped(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:

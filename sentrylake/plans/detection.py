@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import detect
 from ..operators.conditions import of_map
 from ..operators.rules import Rule, rulebook
-from ..sources.events import read_events
+from ..sources.events import ALIASES, read_events
 
 
 @dataclass(frozen=True)
@@ -24,11 +24,12 @@ class Report:
 
 
 def run(
-    spark: SparkSession, path: str, rules: Sequence[Rule] | None = None, dedupe_seconds: int = 120, evidence_limit: int = 5, min_severity: str = "low", as_of: Column | None = None
-) -> Report:
+    spark: SparkSession, path: str, rules: Sequence[Rule] | None = None, dedupe_seconds: int = 120, evidence_limit: int = 5, min_severity: str = "low",
+    as_of: Column | None = None, aliases: dict[str, list[str]] = ALIASES,
+) -> Report:
     """Reads normalized JSON lines and evaluates the rules over them."""
     rules = list(rules) if rules is not None else rulebook()
-    parsed = read_events(spark, path, as_of)
+    parsed = read_events(spark, path, as_of, aliases)
     found = detect.hits(parsed.events, rules, of_map(), F.col("raw"))
     alerts = detect.alerts(found, rules, dedupe_seconds, evidence_limit, min_severity)
     kept = detect.active(rules, min_severity)

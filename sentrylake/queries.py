@@ -724,6 +724,16 @@ def live_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("log_type", "source_machine").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'm' || user_id AS source_machine, count(*) AS n FROM events WHERE event_type IN ('error', 'click') GROUP BY ALL")
+def live_agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that agents post, read by the parser of their type; those of an unknown type are left out."""
+    kind = F.when(_bad(), "dns").when(_e() == "click", "edr").otherwise("other")
+    raw = F.when(_bad(), _PARSED["dns"][0]()).otherwise(_PARSED["edr"][0]())
+    rows = _events(spark, sf_dir).withColumn("t", F.timestamp_micros("ts_us"))
+    rows = rows.select(kind.alias("_log_type"), raw.alias("raw"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("source_machine"))
+    return live.agent_parsed(rows).groupBy(F.element_at("extra", F.lit("source_machine")).alias("source_machine")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The threshold detection over the smallest table."""
     return QUERIES["threshold_alerts"](spark, "/root/testdata/sf0.001")

@@ -7,11 +7,13 @@ They work on batches and on streams alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_dga, xml_events
-from .parsers import parse
+from .parsers import PARSERS, parse
 
 #: Ports, event numbers and paths that collectors look for.
 LIVE_C2_PORTS = (4444, 1337, 31337, 5555, 6666, 8888, 1234, 65535, 4445)
@@ -138,6 +140,14 @@ def agent_records(rows: DataFrame) -> DataFrame:
     return rows.select(kind.alias("log_type"), "raw", F.create_map(F.lit("source_machine"), F.coalesce("source_machine", F.lit("unknown"))).alias("extra"))
 
 
+def agent_parsed(rows: DataFrame) -> DataFrame:
+    """Agent records whose raw line the parser of their log type reads, with the machine in ``extra``."""
+    rows = rows.withColumn("__machine", F.coalesce("source_machine", F.lit("unknown"))).withColumn("__kind", F.coalesce("_log_type", F.lit("application")))
+    parts = [parse(rows.filter(F.col("__kind") == k).select("__machine", F.col("raw").alias("value")), k) for k in PARSERS]
+    made = reduce(DataFrame.unionByName, parts)
+    return made.withColumn("extra", F.map_concat("extra", F.create_map(F.lit("source_machine"), "__machine"))).drop("__machine")
+
+
 def web_lines(lines: DataFrame, file: Column) -> DataFrame:
     """Web server lines with the name of the file that they come from in ``extra``."""
     made = parse(lines.withColumn("__file", F.element_at(F.split(file, "/"), -1)), "webserver")

@@ -199,3 +199,20 @@ def test_random_histories(spark, kind):
 def test_no_events(spark, tmp_path):
     report = run(spark, tmp_path, [""])
     assert report.alerts.count() == 0 and report.summary.count() == 0 and report.skipped.count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sentrylake.__main__ import main
+
+    path = tmp_path / "in.jsonl"
+    rows = [ev(i, "linux", origin="1.1.1.1", message="Failed password") for i in range(6)]
+    path.write_text("".join(json.dumps(r) + "\n" for r in rows) + "junk\n")
+    config = tmp_path / "c.yml"
+    config.write_text("field_aliases: {src_ip: [origin], timestamp: [], log_type: []}\nalerts: {dedupe_seconds: 60, evidence_limit: 2}\n")
+    assert main(["--validate"]) == 0
+    (tmp_path / "bad.yml").write_text("rules:\n- {id: A, name: n, severity: odd, type: match}\n")
+    assert main(["--validate", "--rules", str(tmp_path / "bad.yml")]) == 2
+    assert main(["--logs", str(path), "--config", str(config), "--out", str(tmp_path / "out")]) == 0
+    said = capsys.readouterr().out
+    assert "34 rules" in said and "LNX-001" in said and "bad lines: 1" in said
+    assert spark.read.json(str(tmp_path / "out")).first().evidence_count == 6

@@ -69,3 +69,35 @@ def test_tail_stream(spark, tmp_path):
         assert sorted(r.value for r in spark.table("tailed").collect()) == ["a", "b"]
     finally:
         q.stop()
+
+
+def test_sinks(spark, tmp_path):
+    from sentrylake.streaming.sinks import Status, counted, multiplex, to_handlers, to_json
+
+    schema = "rule_id string, severity string, hostname string"
+    for k in "ab":
+        spark.createDataFrame([(k, "high", "h" + k), (k, "low", "h")], schema).coalesce(1).write.json(str(tmp_path / k))
+    both = multiplex([spark.readStream.schema(schema).json(str(tmp_path / "a")), spark.readStream.schema(schema).json(str(tmp_path / "b"))])
+
+    class Keep:
+        seen: list = []
+
+        def handle(self, alert):
+            self.seen.append(alert["rule_id"])
+
+    to_handlers(both, [Keep()], str(tmp_path / "cp1"), available_now=True).awaitTermination()
+    assert sorted(Keep.seen) == ["a", "a", "b", "b"]
+    status = Status()
+    spark.streams.addListener(status)
+    try:
+        to_json(counted(both), str(tmp_path / "out"), str(tmp_path / "cp2"), available_now=True).awaitTermination()
+        assert spark.read.json(str(tmp_path / "out")).count() == 4
+        for _ in range(50):
+            if status.rows == 4:
+                break
+            import time
+
+            time.sleep(0.1)
+        assert (status.rows, status.grave) == (4, 2)
+    finally:
+        spark.streams.removeListener(status)
