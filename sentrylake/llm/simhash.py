@@ -177,7 +177,7 @@ def find_links(spark: SparkSession, reps: DataFrame, path: str, group_limit: int
             break
         children = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in _split(m)]))])
         rows = dense.select("fp", F.explode(F.element_at(children, F.col("mask"))).alias("mask")).distinct()
-        masks = [c for m in masks for c in _split(m)]
+        masks = sorted({c for m in masks for c in _split(m)})  # different ways can lead to one mask
     links = parts[0]
     for more in parts[1:]:
         links = links.unionByName(more)
