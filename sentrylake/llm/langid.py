@@ -32,7 +32,7 @@ _DIM = 16
 _EPOCHS = 6
 _STEP = 1 << 18
 _GRAMS = (2, 3, 4)
-#: This share of correctly predicted held-out rows may fall below the rejection score.
+#: Half the score that this share of correctly predicted held-out rows falls short of bounds the rejection score.
 _REJECTED = 0.0005
 
 
@@ -118,8 +118,9 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     model.temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(z / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    # a quantile of few rows is their smallest score, so go well below it: rejection is for what looks like no language learned
-    model.reject_below = float(min(0.5, np.quantile(right, _REJECTED))) if len(right) else 0.0
+    # rejection is for texts that look like no language learned: well below any score that a known one had, and near a blind guess
+    low = float(np.quantile(right, _REJECTED)) / 2 if len(right) else 0.0
+    model.reject_below = min(low, 1.1 / len(langs))
     return model
 
 
