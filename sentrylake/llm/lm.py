@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .util import land, work_dir
+from .util import land, remove, work_dir
 
 BLOCK_TOKENS = 1_200_000
 BUCKET_KEYS = 2_000_000
@@ -218,6 +218,7 @@ def score(docs: DataFrame, training: Column, block_tokens: int = BLOCK_TOKENS) -
     schema = "doc_id long, training boolean, n_tokens long, n_known long, base_score double, at_root double, parts array<double>, loo array<double>"
     sides = answers.select("block", "bucket", "counts").groupBy("block")
     scored = land(blocks.groupBy("block").cogroup(sides).applyInPandas(run, schema), f"{path}/scored")
+    remove(docs.sparkSession, f"{path}/blocks", f"{path}/answers")
     width = CLASSES * len(LAMBDAS)
     sums = scored.filter("loo IS NOT NULL").agg(*[F.sum(F.col("loo")[i]) for i in range(width)]).first()
     gain = np.array([x or 0.0 for x in sums]).reshape(CLASSES, len(LAMBDAS))
