@@ -9,8 +9,14 @@ from .text import let
 
 _ISO = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}:\d{2})(?:[.,](\d+))?\s*([Zz]|[+-]\d{2}(?::?\d{2})?)?$"
 _NUMBER = r"^[+-]?\d+(\.\d+)?$"
-#: Layouts other than ISO; a leading weekday is cut off first.
-_LAYOUTS = ("dd/MMM/yyyy:HH:mm:ss Z", "d MMM yyyy HH:mm:ss Z", "yyyy/M/d H:m:s", "d MMM yyyy H:m:s")
+#: Layouts other than ISO, each with the shape of its texts, as a failed parse costs far more than a pattern; a leading weekday is cut off first.
+_LAYOUTS = (
+    (r"^\d{2}/[A-Za-z]{3}/\d{4}:", "dd/MMM/yyyy:HH:mm:ss Z"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} .*[+-]\d{4}$", "d MMM yyyy HH:mm:ss Z"),
+    (r"^\d{4}/", "yyyy/M/d H:m:s"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} ", "d MMM yyyy H:m:s"),
+)
+_SYSLOG_SHAPE = r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{1,2}:"
 
 
 def epoch_micros(value: Column) -> Column:
@@ -55,7 +61,8 @@ def parse_micros(value: Column, as_of: Column) -> Column:
 
     def parse(s: Column) -> Column:
         plain = F.regexp_replace(s, r"^[A-Za-z]{3},\s*", "")
-        other = F.coalesce(*[_micros(F.try_to_timestamp(plain, F.lit(p))) for p in _LAYOUTS], _syslog_micros(s, as_of))
+        shaped = [F.when(plain.rlike(shape), _micros(F.try_to_timestamp(plain, F.lit(p)))) for shape, p in _LAYOUTS]
+        other = F.coalesce(*shaped, F.when(s.rlike(_SYSLOG_SHAPE), _syslog_micros(s, as_of)))
         known = F.when(s.rlike(_NUMBER), epoch_micros(s)).when(s.rlike(_ISO), _iso_micros(s)).otherwise(other)
         return F.when((s == "") | s.isNull(), F.lit(None).cast("bigint")).otherwise(known)
 
@@ -77,9 +84,15 @@ def audit_iso(epoch: Column) -> Column:
 
 #: Layouts that the normalizer reads besides ISO and syslog.
 _NORMAL = (
-    "M/d/yyyy h:m:s a", "d/M/yyyy H:m:s", "dd/MMM/yyyy:HH:mm:ss Z", "MMM d yyyy H:m:s", "yyyy-MM-dd HH:mm:ss", "yyyyMMddHHmmss",
-    "d-MMM-yyyy HH:mm:ss", "M/d/yy H:m:s",
-)
+    (r"^\d{1,2}/\d{1,2}/\d{4} .*[AaPp][Mm]$", "M/d/yyyy h:m:s a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} ", "d/M/yyyy H:m:s"),
+    (r"^\d{2}/[A-Za-z]{3}/\d{4}:", "dd/MMM/yyyy:HH:mm:ss Z"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4} ", "MMM d yyyy H:m:s"),
+    (r"^\d{4}-\d{2}-\d{2} ", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{14}$", "yyyyMMddHHmmss"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4} ", "d-MMM-yyyy HH:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{2} ", "M/d/yy H:m:s"),
+)
 
 
 def normalize_timestamp(value: Column, as_of: Column) -> Column:
@@ -93,10 +106,11 @@ def normalize_timestamp(value: Column, as_of: Column) -> Column:
         zoned = s.rlike(r"(Z|[+-]\d{2}(:?\d{2})?)$")
         flat = F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"(?<=\d{2}:\d{2}:\d{2})\.\d+$", "")
         out = lambda micros: F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.000'Z'")
-        layouts = [_micros(F.try_to_timestamp(flat, F.lit(p))) for p in _NORMAL]
-        nginx = _micros(F.try_to_timestamp(F.regexp_extract(s, r"^(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2})", 1), F.lit("dd/MMM/yyyy:HH:mm:ss")))
+        layouts = [F.when(flat.rlike(shape), _micros(F.try_to_timestamp(flat, F.lit(p)))) for shape, p in _NORMAL]
+        start = F.regexp_extract(s, r"^(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2})", 1)
+        nginx = F.when(start != "", _micros(F.try_to_timestamp(start, F.lit("dd/MMM/yyyy:HH:mm:ss"))))
         epoch = F.when(s.rlike(r"^[+-]?\d+(\.\d+)?$"), F.floor(s.try_cast("double")).cast("bigint") * 1_000_000)
-        read = out(F.coalesce(_syslog_micros(flat, as_of), *layouts, nginx, epoch))
+        read = out(F.coalesce(F.when(flat.rlike(_SYSLOG_SHAPE), _syslog_micros(flat, as_of)), *layouts, nginx, epoch))
         now = out(F.unix_micros(as_of))
         return F.when(F.coalesce(s, F.lit("")) == "", now).when(iso, F.when(zoned, s).otherwise(F.concat(s, F.lit("Z")))).otherwise(F.coalesce(read, s))
 

@@ -24,7 +24,6 @@ from ..session import ship
 from .conditions import Fields, all_of, matches, split_key
 from .rules import Rule
 
-_CANDIDATE = "rule int, group_key string, pos long, ts_us long, start long, low long, picked array<long>"
 _FIRED = "rule int, group_key string, pos long, ts_us long, first long, evidence_count int, picked array<long>, emitted boolean"
 
 
@@ -94,8 +93,8 @@ def _positions(found: DataFrame) -> DataFrame:
     return found.filter(F.size("missing") == 0).withColumn("pos", F.row_number().over(w).cast("long"))
 
 
-def _pass(rows: DataFrame, step: Callable[[], Callable], schema: str) -> DataFrame:
-    """Runs ``step()`` on each key's rows in order and streams what it returns; the key's state is the closure's own."""
+def _pass(rows: DataFrame, step: Callable[[int], Callable], schema: str) -> DataFrame:
+    """Runs ``step(rule)`` on each key's rows in order and streams what it returns; the key's state is the closure's own."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +103,7 @@ def _pass(rows: DataFrame, step: Callable[[], Callable], schema: str) -> DataFra
             out = []
             for row in b.itertuples(index=False):
                 if (row.rule, row.group_key) != key:
-                    key, each = (row.rule, row.group_key), step()
+                    key, each = (row.rule, row.group_key), step(int(row.rule))
                 if (made := each(row)) is not None:
                     out.append(made)
             yield pd.DataFrame(out, columns=names)
@@ -113,69 +112,77 @@ def _pass(rows: DataFrame, step: Callable[[], Callable], schema: str) -> DataFra
     return ordered.mapInPandas(run, schema)
 
 
-def _distinct_step(limits: dict[int, tuple[int, int]]) -> Callable[[], Callable]:
-    def new() -> Callable:
-        last: OrderedDict[str, tuple[int, int]] = OrderedDict()  # value -> its last position and time, the latest at the end
-
-        def step(row):
-            n, window = limits[row.rule]
-            if row.value is not None:
-                last[row.value] = (row.pos, row.ts_us)
-                last.move_to_end(row.value)
-            while last and next(iter(last.values()))[1] < row.ts_us - window:
-                last.popitem(last=False)
-            if len(last) < n:
-                return None
-            it = reversed(last.values())
-            start = next(p for i, (p, _) in enumerate(it, 1) if i == n)
-            return row.rule, row.group_key, row.pos, row.ts_us, start, row.low, None
-
-        return step
-
-    return new
-
-
-def _sequence_step(plans: dict[int, tuple[list[int], int]]) -> Callable[[], Callable]:
-    def new() -> Callable:
-        at, count, start, picked = 0, 0, None, []
-
-        def step(row):
-            nonlocal at, count, start, picked
-            counts, window = plans[row.rule]
-            if start is not None and row.ts_us - start > window:
-                at, count, start, picked = 0, 0, None, []
-            if not row.steps[at]:
-                return None
-            start = row.ts_us if start is None else start
-            picked.append(row.pos)
-            count += 1
-            if count >= counts[at]:
-                at, count = at + 1, 0
-            if at < len(counts):
-                return None
-            out = (row.rule, row.group_key, row.pos, row.ts_us, row.pos, row.pos - 1, picked)
-            at, count, start, picked = 0, 0, None, []
-            return out
-
-        return step
-
-    return new
-
-
-def _chain_step(dedupe: int) -> Callable[[], Callable]:
-    def new() -> Callable:
-        after, last = 0, None  # the position of the last alert that emptied the window, and its time
+def _distinct(rule: Rule) -> Callable:
+    """Gives the last position from which a row reaches the rule's number of distinct values, None if there is none in the window."""
+    last: OrderedDict[str, tuple[int, int]] = OrderedDict()  # value -> its last position and time, the latest at the end
+    span = rule.window * 1_000_000
+
+    def start(row):
+        if row.value is not None:
+            last[row.value] = (row.pos, row.ts_us)
+            last.move_to_end(row.value)
+        while last and next(iter(last.values()))[1] < row.ts_us - span:
+            last.popitem(last=False)
+        if len(last) < rule.threshold:
+            return None
+        return next(p for i, (p, _) in enumerate(reversed(last.values()), 1) if i == rule.threshold), None
+
+    return start
+
+
+def _sequence(rule: Rule) -> Callable:
+    """Gives the positions that a sequence is made of at the row that completes it."""
+    at, count, since, picked = 0, 0, None, []
+    span = rule.window * 1_000_000
+
+    def start(row):
+        nonlocal at, count, since, picked
+        if since is not None and row.ts_us - since > span:
+            at, count, since, picked = 0, 0, None, []
+        if not row.steps[at]:
+            return None
+        since = row.ts_us if since is None else since
+        picked.append(row.pos)
+        count += 1
+        if count >= rule.steps[at].count:
+            at, count = at + 1, 0
+        if at < len(rule.steps):
+            return None
+        found = picked
+        at, count, since, picked = 0, 0, None, []
+        return row.pos, found
+
+    return start
+
+
+def _counted(rule: Rule) -> Callable:
+    """Rows of match and threshold rules arrive as candidates: the window functions have tested them."""
+    n = max(1, rule.threshold) if rule.type == "threshold" else 1
+    return lambda row: (row.pos - n + 1, None)
+
+
+def _chain(rules: Sequence[Rule], dedupe: int) -> Callable[[int], Callable]:
+    """The fold of one key: a window restarts after its alert, and the throttle counts from the last alert."""
+    by_order = {r.order: r for r in rules}
+    kinds = {"distinct_count": _distinct, "sequence": _sequence}
+
+    def new(order: int) -> Callable:
+        rule = by_order[order]
+        start = kinds.get(rule.type, _counted)(rule)
+        after, last = 0, None  # the position of the last alert, and its time
 
         def step(row):
             nonlocal after, last
-            if row.start <= after:
+            found = start(row)
+            if found is None or found[0] <= after:
                 return None
+            picked = found[1]
             first = max(after, row.low)
-            n = row.pos - first if row.picked is None else len(row.picked)
-            if last is not None and row.ts_us - last < dedupe:
-                return row.rule, row.group_key, row.pos, row.ts_us, first, n, row.picked, False
-            after, last = row.pos, row.ts_us
-            return row.rule, row.group_key, row.pos, row.ts_us, first, n, row.picked, True
+            n = row.pos - first if picked is None else len(picked)
+            emitted = last is None or row.ts_us - last >= dedupe
+            if emitted:
+                after, last = row.pos, row.ts_us
+            return row.rule, row.group_key, row.pos, row.ts_us, first, n, picked, emitted
 
         return step
 
@@ -183,46 +190,30 @@ def _chain_step(dedupe: int) -> Callable[[], Callable]:
 
 
 def candidates(placed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Hits at which a rule could fire. ``start`` is the last position from which the count is reached, ``low`` the last one that the window has left behind."""
+    """Rows that the fold needs, with ``low``, the last position that the window has left behind.
+
+    Of match and threshold rules these are the rows that could fire; distinct
+    counts and sequences need all of theirs.
+    """
     order = Window.partitionBy("rule", "group_key").orderBy("ts_us", "pos")
     behind = Window.partitionBy("rule", "group_key").orderBy("ts_us")
-    counted = [r for r in rules if r.type in ("match", "threshold")]
-    distinct = [r for r in rules if r.type == "distinct_count"]
-    sequence = [r for r in rules if r.type == "sequence"]
     of = lambda rs: F.col("rule").isin([r.order for r in rs])
-    placed = placed.withColumn("low", F.lit(0).cast("long"))
-    for window in sorted({r.window for r in rules if r.type in ("threshold", "distinct_count")}):
+    windowed = [r for r in rules if r.type in ("threshold", "distinct_count")]
+    rows = placed.select("rule", "group_key", "pos", "ts_us", "value", "steps").withColumn("low", F.col("pos") - 1).withColumn("fires", F.lit(True))
+    for window in sorted({r.window for r in windowed}):
         n = F.count(F.lit(1)).over(behind.rangeBetween(Window.unboundedPreceding, -window * 1_000_000 - 1))
-        mine = [r for r in rules if r.window == window and r.type in ("threshold", "distinct_count")]
-        placed = placed.withColumn("low", F.when(of(mine), n).otherwise(F.col("low")))
-    parts = []
-    if counted:
-        rows = placed.filter(of(counted)).withColumn("since", F.col("ts_us"))
-        for n in sorted({r.threshold for r in counted if r.type == "threshold" and r.threshold > 1}):
-            mine = [r for r in counted if r.type == "threshold" and r.threshold == n]
-            rows = rows.withColumn("since", F.when(of(mine), F.lag("ts_us", n - 1).over(order)).otherwise(F.col("since")))
-        size, window = _by_rule(counted, lambda r: r.threshold if r.type == "threshold" else 1), _by_rule(counted, lambda r: r.window * 1_000_000)
-        hit = rows.filter(F.col("ts_us") - F.col("since") <= window)
-        low = F.when(of([r for r in counted if r.type == "match"]), F.col("pos") - 1).otherwise(F.col("low"))
-        parts.append(hit.select("rule", "group_key", "pos", "ts_us", (F.col("pos") - F.greatest(size, F.lit(1)) + 1).alias("start"), low.alias("low"), F.lit(None).cast("array<long>").alias("picked")))
-    if distinct:
-        limits = {r.order: (r.threshold, r.window * 1_000_000) for r in distinct}
-        rows = placed.filter(of(distinct)).select("rule", "group_key", "pos", "ts_us", "value", "low")
-        parts.append(_pass(rows, _distinct_step(limits), _CANDIDATE))
-    if sequence:
-        plans = {r.order: ([s.count for s in r.steps], r.window * 1_000_000) for r in sequence}
-        rows = placed.filter(of(sequence)).select("rule", "group_key", "pos", "ts_us", "steps")
-        parts.append(_pass(rows, _sequence_step(plans), _CANDIDATE))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+        rows = rows.withColumn("low", F.when(of([r for r in windowed if r.window == window]), n).otherwise(F.col("low")))
+    for n, window in sorted({(r.threshold, r.window) for r in rules if r.type == "threshold" and r.threshold > 1}):
+        mine = [r for r in rules if (r.type, r.threshold, r.window) == ("threshold", n, window)]
+        near = F.coalesce(F.col("ts_us") - F.lag("ts_us", n - 1).over(order) <= window * 1_000_000, F.lit(False))
+        rows = rows.withColumn("fires", F.when(of(mine), near).otherwise(F.col("fires")))
+    return rows.filter("fires").drop("fires")
 
 
 def fire(found: DataFrame, rules: Sequence[Rule], dedupe_seconds: int) -> tuple[DataFrame, DataFrame]:
     """Numbered hits, and the attempted alerts: emitted ones and suppressed ones."""
     placed = _positions(found)
-    return placed, _pass(candidates(placed, rules), _chain_step(dedupe_seconds * 1_000_000), _FIRED)
+    return placed, _pass(candidates(placed, rules), _chain(rules, dedupe_seconds * 1_000_000), _FIRED)
 
 
 def active(rules: Sequence[Rule], min_severity: str = "low") -> list[Rule]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +17,18 @@ from ..sources.events import ALIASES, read_events
 
 @dataclass(frozen=True)
 class Report:
+    """Results that share the hits of one scan, which are kept on the executors' disks and in memory until ``release``."""
+
+    hits: DataFrame
     alerts: DataFrame
     suppressed: DataFrame
     skipped: DataFrame
     summary: DataFrame
     bad_lines: DataFrame
 
+    def release(self) -> None:
+        self.hits.unpersist()
+
 
 def run(
     spark: SparkSession, path: str, rules: Sequence[Rule] | None = None, dedupe_seconds: int = 120, evidence_limit: int = 5, min_severity: str = "low",
@@ -30,10 +37,10 @@ def run(
     """Reads normalized JSON lines and evaluates the rules over them."""
     rules = list(rules) if rules is not None else rulebook()
     parsed = read_events(spark, path, as_of, aliases)
-    found = detect.hits(parsed.events, rules, of_map(), F.col("raw"))
+    found = detect.hits(parsed.events, rules, of_map(), F.col("raw")).persist(StorageLevel.MEMORY_AND_DISK)
     alerts = detect.alerts(found, rules, dedupe_seconds, evidence_limit, min_severity)
     kept = detect.active(rules, min_severity)
-    return Report(alerts, detect.suppressed(found, kept, dedupe_seconds), detect.skipped(found, rules), detect.summary(alerts), parsed.bad)
+    return Report(found, alerts, detect.suppressed(found, kept, dedupe_seconds), detect.skipped(found, rules), detect.summary(alerts), parsed.bad)
 
 
 def write_alerts(alerts: DataFrame, path: str, append: bool = False) -> None:

@@ -16,7 +16,7 @@ from .operators.rules import build_rule
 from .plans import bridge
 from .session import utc
 from .sources import live, parsers
-from .sources.events import canonical_type, fill_aliases, parse_lines
+from .sources.events import canonical_type, fill_aliases, parse_lines, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +48,7 @@ def _micros(ts: str = "ts") -> Column:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").withColumn("ts_us", _micros())
+    return spread(_table(spark, sf_dir, "events")).withColumn("ts_us", _micros())
 
 
 # conditions: operator, table, id, column, value and the SQL of the same test

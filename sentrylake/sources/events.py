@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,18 +53,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     seq = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
     )
-    return lines.select("value", seq.alias("seq"))
+    return spread(lines.select("value", seq.alias("seq")))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals the rows of a scan of few splits out to all cores; a scan of many splits, as any large one, stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def fill_aliases(fields: Column, aliases: dict[str, list[str]] = ALIASES) -> Column:
     """Adds each missing canonical field from the first of its aliases that is there; a canonical field that is null stays."""
     added = []
     for canon, names in aliases.items():
-        value = reduce(
-            lambda rest, n: F.when(F.map_contains_key(fields, F.lit(n)), F.element_at(fields, F.lit(n))).otherwise(rest), reversed(names), F.lit(None).cast("string")
-        )
-        present = reduce(lambda a, n: a | F.map_contains_key(fields, F.lit(n)), names, F.lit(False))
-        added.append(F.when(~F.map_contains_key(fields, F.lit(canon)) & present, F.struct(F.lit(canon).alias("key"), value.alias("value"))))
+        first = [F.when(F.map_contains_key(fields, F.lit(n)), F.struct(F.lit(canon).alias("key"), F.element_at(fields, F.lit(n)).alias("value"))) for n in names]
+        if first:
+            added.append(F.when(~F.map_contains_key(fields, F.lit(canon)), F.coalesce(*first)))
     return F.map_concat(fields, F.map_from_entries(F.array_compact(F.array(*added))))
 
 
