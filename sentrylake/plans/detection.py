@@ -37,7 +37,10 @@ def run(
     """Reads normalized JSON lines and evaluates the rules over them."""
     rules = list(rules) if rules is not None else rulebook()
     parsed = read_events(spark, path, as_of, aliases)
-    found = detect.hits(parsed.events, rules, of_map(), F.col("raw")).persist(StorageLevel.MEMORY_AND_DISK)
+    # fields of internal use, whose names start with an underscore, are no evidence
+    hidden = F.exists(F.map_keys("fields"), lambda k: k.startswith("_"))
+    raw = F.when(hidden, F.to_json(F.map_filter("fields", lambda k, v: ~k.startswith("_")))).otherwise(F.col("raw"))
+    found = detect.hits(parsed.events, rules, of_map(), raw).persist(StorageLevel.MEMORY_AND_DISK)
     alerts = detect.alerts(found, rules, dedupe_seconds, evidence_limit, min_severity)
     kept = detect.active(rules, min_severity)
     return Report(found, alerts, detect.suppressed(found, kept, dedupe_seconds), detect.skipped(found, rules), detect.summary(alerts), parsed.bad)

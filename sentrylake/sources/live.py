@@ -16,7 +16,7 @@ from ..functions.text import is_dga, xml_events
 from .parsers import PARSERS, parse
 
 #: Ports, event numbers and paths that collectors look for.
-LIVE_C2_PORTS = (4444, 1337, 31337, 5555, 6666, 8888, 1234, 65535, 4445)
+LIVE_C2_PORTS = (4444, 1337, 31337, 5555, 6666, 9999, 8888, 1234, 65535)
 LOGIN_EVENTS = ("4624", "4625", "4648", "4672", "4720", "4723", "4740")
 LOGIN_ALARMS = ("4625", "4648", "4740")
 FILE_EVENTS = ("4663", "4660", "4656", "4659", "4670")
@@ -102,7 +102,7 @@ def application_events(documents: DataFrame, last_record: int = -1) -> DataFrame
     rows = new_events(documents, last_record).withColumn("level", F.regexp_extract("value", r"<Level>(\d+)</Level>", 1))
     rows = rows.withColumn("provider", F.regexp_extract("value", r"Provider[^>]*Name=['\"]([^'\"]+)['\"]", 1)).filter(F.col("level").isin("0", "1", "2", "3"))
     made = parse(rows.select("value", "level", "provider"), "windows").withColumn("log_type", F.lit("application"))
-    graded = F.when(F.col("level") == "1", "critical").when(F.col("level") == "2", "high").when(F.col("level") == "3", "medium").otherwise(F.col("severity"))
+    graded = F.when(F.col("level") == "1", "critical").when(F.col("level") == "2", "high").when(F.col("level") == "3", "medium").otherwise("info")
     service = F.when(F.col("provider") != "", F.map_concat(F.map_filter("extra", lambda k, v: k != "service"), F.create_map(F.lit("service"), "provider")))
     return made.withColumn("severity", graded).withColumn("extra", F.coalesce(service, "extra")).drop("level", "provider")
 
@@ -117,11 +117,13 @@ def file_events(documents: DataFrame, last_record: int = -1) -> DataFrame:
     line = F.concat(F.lit("type=PATH msg=audit("), epoch, F.lit(":456): item=0 name="), name, F.lit(" inode=131073 dev=08:01 mode=0100640 nametype=NORMAL"))
     made = parse(rows.select(line.alias("value"), F.lower(name).alias("__object")), "file_audit")
     grave = F.greatest(*[F.col("__object").contains(s) for s in SENSITIVE_OBJECTS])
-    return made.withColumn("severity", F.when(grave, "critical").otherwise(F.col("severity"))).drop("__object")
+    marked = F.map_concat(F.map_filter("extra", lambda k, v: k != "sensitive"), F.create_map(F.lit("sensitive"), F.lit("true")))
+    made = made.withColumn("severity", F.when(grave, "critical").otherwise(F.col("severity"))).withColumn("extra", F.when(grave, marked).otherwise(F.col("extra")))
+    return made.drop("__object")
 
 
 #: DHCP client events and the message that each stands for.
-DHCP_EVENTS = {"50032": "DHCPACK", "50036": "DHCPSTART", "50037": "DHCPSTOP"}
+DHCP_EVENTS = {"50066": "DHCPACK", "50067": "DHCPACK", "50032": "DHCPACK", "50036": "DHCPSTART", "50037": "DHCPSTOP"}
 
 
 def dhcp_events(documents: DataFrame, last_record: int = -1, names: dict[str, str] = DHCP_EVENTS) -> DataFrame:
@@ -130,8 +132,9 @@ def dhcp_events(documents: DataFrame, last_record: int = -1, names: dict[str, st
     time = F.regexp_extract("value", r"SystemTime=['\"]([^'\"]{19})", 1).try_cast("timestamp")
     table = F.create_map(*[x for kv in names.items() for x in map(F.lit, kv)])
     kind = F.coalesce(F.element_at(table, F.col("event_id")), F.lit("DHCPEVENT"))
-    line = F.concat(F.date_format(time, "MMM dd HH:mm:ss"), F.lit(" localhost dhcpd: "), kind, F.lit(" on 0.0.0.0 to 00:00:00:00:00:00 via eth0"))
-    return parse(rows.select(line.alias("value")), "dhcp")
+    line = F.concat(F.date_format(time, "MMM dd HH:mm:ss"), F.lit(" dhcpclient dhcpd: "), kind, F.lit(" on 0.0.0.0 to 00:00:00:00:00:00 (WINDOWS-CLIENT) via eth0"))
+    made = parse(rows.select(line.alias("value"), F.col("event_id").alias("__id")), "dhcp")
+    return made.withColumn("event_id", F.col("__id")).drop("__id")
 
 
 def agent_records(rows: DataFrame) -> DataFrame:

@@ -554,7 +554,7 @@ def parse_syslog(lines: DataFrame, value: str = "value") -> DataFrame:
 
     def made(text: Column) -> Column:
         tried = [let(PARSERS[k](text), _typed(k)) for k in ("linux", "firewall", "dns", "application")]
-        rest = F.struct(F.lit("application").alias("log_type"), _record(text, None, message=F.substring(text, 1, 200), severity="info", action="event").alias("r"))
+        rest = F.struct(F.lit("application").alias("log_type"), _record(text, None, message=F.substring(text, 1, 120), severity="info", action="event").alias("r"))
         return F.when(text != "", F.coalesce(*tried, rest))
 
     found = lines.select(*[c for c in lines.columns if c != value], F.inline(F.array_compact(F.array(let(line, made)))))

@@ -216,3 +216,33 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "34 rules" in said and "LNX-001" in said and "bad lines: 1" in said
     assert spark.read.json(str(tmp_path / "out")).first().evidence_count == 6
+
+
+def test_collected_windows_events(spark):
+    from sentrylake.sources import live
+
+    xml = (
+        "<Event><System><Provider Name='p'/><EventID>{eid}</EventID><Level>0</Level><EventRecordID>{rid}</EventRecordID>"
+        "<TimeCreated SystemTime='2024-01-15T10:00:00.5Z'/></System><EventData><Data Name='ObjectName'>{obj}</Data></EventData></Event>"
+    )
+    docs = spark.createDataFrame([(xml.format(eid=4663, rid=1, obj="C:\\x\\SAM") + xml.format(eid=50066, rid=2, obj="a"),), ("no event",)], "value string")
+    files = live.file_events(docs).collect()
+    assert [(r.severity, r.extra["sensitive"]) for r in files] == [("critical", "true")]
+    dhcp = {r.event_id: r for r in live.dhcp_events(docs).collect()}
+    assert dhcp["50066"].action == "assign" and dhcp["50066"].hostname == "dhcpclient" and dhcp["50066"].extra["client_hostname"] == "WINDOWS-CLIENT"
+    assert [r.severity for r in live.application_events(docs, 1).collect()] == ["info"]
+    assert live.windows_events(docs, 2).count() == 0
+
+
+def test_syslog_fallback_and_threats(spark):
+    from sentrylake.operators import heuristics
+    from sentrylake.sources import parsers
+
+    lines = spark.createDataFrame([("<13>" + "x" * 300,), ("",), ("<34>Jan  5 10:00:00 fw kernel: [UFW BLOCK] SRC=1.1.1.1 DST=2.2.2.2",)], "value string")
+    rows = {r.log_type: r for r in parsers.parse_syslog(lines).collect()}
+    assert len(rows["application"].message) == 120 and set(rows) == {"application", "linux"}
+    data = [("netflow", "connect", "9.9.9.9", i + 1, i * 1_000_000, i, {}) for i in range(11)] + [("edr", "x", None, None, 0, 99, {"attack_indicator": "known_tool:m"})]
+    schema = "log_type string, action string, source_ip string, destination_port int, ts_us long, seq long, extra map<string,string>"
+    frame = spark.createDataFrame(data, schema).selectExpr("*", "null as destination_ip", "'h' as hostname", "'t' as timestamp", "'r' as raw")
+    found = [(r.threat_type, r.source) for r in heuristics.threats(frame).collect()]
+    assert sorted(found) == [("KNOWN_MALWARE", "h"), ("PORT_SCAN", "9.9.9.9"), ("PORT_SCAN", "9.9.9.9")]
