@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SEVERITIES
 from ..functions.timestamps import iso_utc
 from ..session import ship
-from .conditions import Fields, all_of, matches, split_key
+from .conditions import Fields, matches, split_key
 from .rules import Rule
 
 _FIRED = "rule int, group_key string, pos long, ts_us long, first long, evidence_count int, picked array<long>, emitted boolean"
@@ -269,8 +269,3 @@ def evidence_tail(items: Column, limit: int) -> Column:
     """The last ``limit`` entries, without keys that start with an underscore; 0 means all."""
     tail = items if limit == 0 else F.slice(items, -F.least(F.size(items), F.lit(limit)), F.lit(limit))
     return F.transform(F.when(F.size(items) == 0, items).otherwise(tail), lambda m: F.map_filter(m, lambda k, v: ~k.startswith("_")))
-
-
-def step_predicates(rule: Rule, fields: Fields) -> list[Column]:
-    """The predicate of each step of a sequence rule."""
-    return [all_of(s.conditions, fields) for s in rule.steps]

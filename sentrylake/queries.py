@@ -418,7 +418,6 @@ def _t() -> Column:
     return F.date_format("t", "MMM dd HH:mm:ss")
 
 
-_T_SQL = "strftime(ts, '%b %d %H:%M:%S')"
 def _bad() -> Column:
     return F.col("event_type") == "error"
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import key_values, let, to_int
+from ..functions.text import key_values, let, strip_priority, to_int
 from ..functions.timestamps import audit_iso
 
 #: The record that parsers make, before normalization.
@@ -550,7 +550,7 @@ def parse(lines: DataFrame, log_type: str, value: str = "value") -> DataFrame:
 
 def parse_syslog(lines: DataFrame, value: str = "value") -> DataFrame:
     """Syslog lines of unknown origin: priority cut off, then linux, firewall, dns and application parsers in turn, else ``application`` as it is."""
-    line = F.regexp_replace(F.regexp_replace(F.col(value), r"^<\d+>", ""), r"^\s+|\s+$", "")
+    line = F.regexp_replace(strip_priority(F.col(value)), r"^\s+|\s+$", "")
 
     def made(text: Column) -> Column:
         tried = [let(PARSERS[k](text), _typed(k)) for k in ("linux", "firewall", "dns", "application")]

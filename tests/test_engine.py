@@ -246,3 +246,30 @@ def test_syslog_fallback_and_threats(spark):
     frame = spark.createDataFrame(data, schema).selectExpr("*", "null as destination_ip", "'h' as hostname", "'t' as timestamp", "'r' as raw")
     found = [(r.threat_type, r.source) for r in heuristics.threats(frame).collect()]
     assert sorted(found) == [("KNOWN_MALWARE", "h"), ("PORT_SCAN", "9.9.9.9"), ("PORT_SCAN", "9.9.9.9")]
+
+
+def test_small_functions(spark):
+    from sentrylake.functions import text as T
+    from sentrylake.plans.detection import preview
+
+    row = spark.createDataFrame([("a=1 b=x,y a=2 =3", "critical", [{"a": "1", "_ts": "2"}, {"b": "3"}], "<34>x")], "kv string, sev string, ev array<map<string,string>>, line string")
+    got = row.select(
+        T.key_values(F.col("kv")), T.severity_rank(F.col("sev")), T.severity_rank(F.lit("odd")), detect.evidence_tail(F.col("ev"), 1), detect.evidence_tail(F.col("ev"), 0),
+        T.strip_priority(F.col("line")), T.entropy(F.lit("")), T.entropy(F.lit("abab")), T.to_int(F.lit("7")), T.to_int(F.lit("7.5")), T.canon_log_type(F.lit(" Web--Server! ")),
+    ).first()
+    assert list(got) == [{"a": "2", "b": "x"}, 3, None, [{"b": "3"}], [{"a": "1"}, {"b": "3"}], "x", 0.0, 1.0, 7, None, "web_server"]
+    rows = spark.createDataFrame([("t", "dns", s, "m" * 150) for s in ("high", "info", None)], "timestamp string, log_type string, severity string, message string")
+    assert [(len(r.message), r.alarm) for r in preview(rows, 5).collect()] == [(100, True), (100, False), (100, False)]
+
+
+def test_normalized_timestamps(spark):
+    want = {
+        "2024-01-15T10:00:00": "2024-01-15T10:00:00Z", "2024-01-15T10:00:00-05:00": "2024-01-15T10:00:00-05:00", "Jan 15 10:23:45": "2026-01-15T10:23:45.000Z",
+        "Jan  5 10:23:45": "2026-01-05T10:23:45.000Z", "1/15/2024 10:23:45 AM": "2024-01-15T10:23:45.000Z", "15/Jan/2024:10:23:45 +0100": "2024-01-15T09:23:45.000Z",
+        "Jan 15 2024 10:23:45": "2024-01-15T10:23:45.000Z", "2024-01-15 10:23:45": "2024-01-15T10:23:45.000Z", "20240115102345": "2024-01-15T10:23:45.000Z",
+        "15-Jan-2024 10:23:45.123": "2024-01-15T10:23:45.000Z", "01/15/24 10:23:45": "2024-01-15T10:23:45.000Z", "1705314225": "2024-01-15T10:23:45.000Z", "later": "later",
+        "": "2026-11-01T00:00:00.000Z",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "t string")
+    got = {r.t: r.n for r in rows.select("t", timestamps.normalize_timestamp(F.col("t"), now()).alias("n")).collect()}
+    assert got == want
