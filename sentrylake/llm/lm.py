@@ -122,10 +122,22 @@ def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x & ~np.uint64(1)
 
 
-def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the sorted keys pass from one bucket to the next; a bucket is an equal part of the key range."""
+def _parts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall into, and where the keys of each begin and end; a bucket is an equal part of the key range."""
     at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
+    first = np.flatnonzero(np.diff(at, prepend=np.uint64(buckets)))
+    return at[first].astype(np.int64), first, np.append(first[1:], len(keys))
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences, byte by byte: the high bytes are nearly always zero."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(steps.view("u1").reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.decompress(packed), "u1").reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel(), dtype="<u8")
 
 
 def requests(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -135,11 +147,10 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for row in b.itertuples(index=False):
                 block = Block(row)
-                counts, edge = block.counts().astype("<u4"), _edges(block.keys, buckets)
-                parts = [(i, edge[i], edge[i + 1]) for i in range(buckets) if edge[i + 1] > edge[i]]
+                counts, parts = block.counts().astype("<u4"), list(zip(*_parts(block.keys, buckets), strict=True))
                 yield pd.DataFrame({
                     "bucket": [i for i, _, _ in parts], "block": row.block,
-                    "keys": [block.keys[x:y].tobytes() for _, x, y in parts], "counts": [counts[x:y].tobytes() for _, x, y in parts],
+                    "keys": [_pack(block.keys[x:y]) for _, x, y in parts], "counts": [zstandard.compress(counts[x:y].tobytes(), 1) for _, x, y in parts],
                 })
 
     return blocks.mapInPandas(run, "bucket int, block long, keys binary, counts binary")
@@ -147,12 +158,13 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Corpus counts of a bucket's keys, in the order in which each block asked; v and n: its distinct and all training words."""
-    keys = np.concatenate([np.frombuffer(x, "<u8") for x in rows["keys"]])
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]])
+    asked = [_unpack(x) for x in rows["keys"]]
+    keys, sizes = np.concatenate(asked), [len(x) for x in asked]
+    counts = np.concatenate([np.frombuffer(zstandard.decompress(x), "<u4") for x in rows["counts"]])
     distinct, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, weights=counts).astype(np.int64)
     words = total[(distinct & np.uint64(1)) == 1]
-    out, edge = total[at].astype("<u4"), np.cumsum([0, *(len(x) // 8 for x in rows["keys"])])
+    out, edge = total[at].astype("<u4"), np.cumsum([0, *sizes])
     made = [zstandard.compress(out[edge[i] : edge[i + 1]].tobytes(), 1) for i in range(len(rows))]
     v, n = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     v[0], n[0] = (words > 0).sum(), words.sum()
