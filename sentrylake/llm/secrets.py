@@ -41,16 +41,17 @@ def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (path if path is not None else F.lit("")).cast("string").alias("path"))
     text = text.filter(F.col("text").rlike(CANDIDATE))
     cut = text.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE).alias("between"))
-    lengths = F.transform("found", lambda x, i: F.length(x) + F.length(F.get("between", i + 1)))
-    cut = cut.withColumn("lengths", lengths)
-    rows = cut.select("doc_id", "path", "between", "lengths", F.posexplode("found").alias("ordinal", "candidate"))
-    ahead = F.aggregate(F.slice("lengths", F.lit(1), F.col("ordinal")), F.length(F.get("between", F.lit(0))).cast("long"), lambda a, x: a + x)
-    return rows.select(
-        "doc_id", F.col("ordinal").cast("long").alias("ordinal"), ahead.alias("start"), "candidate",
-        F.substring(F.get("between", F.col("ordinal")), -_CONTEXT, _CONTEXT).alias("before"),
-        F.substring(F.get("between", F.col("ordinal") + 1), 1, _CONTEXT).alias("after"),
-        F.coalesce("path", F.lit("")).alias("path"),
+    # each row gets its own context only: carrying the pieces of the text along would cost its length for every candidate
+    n = F.size("found")
+    ahead, behind = F.slice("between", F.lit(1), n), F.slice("between", F.lit(2), n)
+    steps = F.slice(F.zip_with("found", behind, lambda x, b: (F.length(x) + F.length(b)).cast("long")), F.lit(1), n - 1)
+    starts = F.aggregate(steps, F.array(F.length(F.get("between", F.lit(0))).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    cut = cut.select(
+        "doc_id", "path", F.col("found").alias("candidate"), starts.alias("start"),
+        F.transform(ahead, lambda x: F.substring(x, -_CONTEXT, _CONTEXT)).alias("before"), F.transform(behind, lambda x: F.substring(x, 1, _CONTEXT)).alias("after"),
     )
+    rows = cut.select("doc_id", "path", F.posexplode(F.arrays_zip("candidate", "start", "before", "after")).alias("ordinal", "x"))
+    return rows.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "x.start", "x.candidate", "x.before", "x.after", F.coalesce("path", F.lit("")).alias("path"))
 
 
 def _share(c: Column, pattern: str, n: Column) -> Column:

@@ -12,7 +12,8 @@ if another writer took the version first, so that a commit happens wholly or
 not at all, and the loser tries again on the newer version. Files that no
 manifest lists, such as those of a lost job, are never read.
 
-An empty arrival is a run without rows; all columns and nulls are kept as they
+An empty arrival adds no run, and a store of nothing else reads as an empty
+table; all columns and nulls are kept as they
 come, repeated rows are kept too. All arrivals of a store share its schema; a
 different one is refused.
 """
@@ -162,8 +163,10 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; those of older versions may be gone once a compaction has vacuumed."""
         found = self.manifest(version)
+        if found["schema"] is None:
+            raise ValueError("nothing was ever appended to the store")
         if not found["runs"]:
-            raise ValueError("the store is empty")
+            return self.spark.createDataFrame([], StructType.fromJson(json.loads(found["schema"])))
         return self._read(found["runs"], found["schema"])
 
 

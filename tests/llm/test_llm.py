@@ -188,6 +188,11 @@ def test_pii_rules():
     assert pii.base_spans("4" * 100_000) == [] and len(pii.base_spans("a@b.c " * 20_000)) == 20_000
 
 
+def test_pii_long_digits():
+    zeros = "0" * 6000
+    assert pii.base_spans(f"x {zeros}1.2.3.4 and 1.2.3.{zeros} {'7' * 6000}.1.1.1") == [(2, 1, 6009), (6014, 1, 12020)]
+
+
 def test_pii_query(spark):
     texts = ["mail anna (at) example.com or call 030 123 4567", None, "", "order 123-456-7890 of 2024-01-02", "a@b.co, 4111 1111 1111 1111"]
     rows = {r.doc_id: r for r in pii.detect(docs(spark, texts).withColumn("spans", F.lit(1))).collect()}
@@ -409,7 +414,9 @@ def brute_hits(texts, items, size=13):
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontamination(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     r = random.Random(4)
     items = [(i, prose(100 + i, r.choice([3, 12, 13, 14, 30]))) for i in range(12)] + [(12, None), (13, "!?"), (14, prose(100, 30)), (15, "solo")]
     texts = [None, "", "...", "Solo", prose(9, 40)]
@@ -453,6 +460,10 @@ def test_sharding(spark, tmp_path):
     assert store.versions() == list(range(1, after["version"] + 1))
     store.append(empty(spark))
     assert store.read().count() == 42
+    nothing = sharding.ShardStore(spark, str(tmp_path / "n"))
+    nothing.append(empty(spark))
+    nothing.compact()
+    assert nothing.read().count() == 0 and nothing.read().columns == empty(spark).columns
     with pytest.raises(ValueError):
         store.append(spark.range(1))
     split = sharding.ShardStore(spark, str(tmp_path / "t"))
