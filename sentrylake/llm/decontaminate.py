@@ -75,11 +75,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFram
     seen = grams[0]
     for more in grams[1:]:
         seen = seen.unionByName(more)
-    hit = probed.join(hint(seen.distinct()), ["m", "h"], "left_semi")
+    # what a shuffled probe carries along is the words around it, not its document
     k = F.floor((F.col("m") + 1) / 2).cast("int")
-    lo = F.greatest(F.col("p") - F.col("m") + k, F.lit(0))
-    hit = hit.select("doc_id", "text_hash", "m", lo.alias("lo"), F.slice("w", lo + 1, F.col("p") + F.col("m") - lo).alias("near"))
-    hit = hit.filter(F.size("near") >= F.col("m"))
+    lo, hi = F.greatest(F.col("p") - F.col("m") + k, F.lit(0)), F.least(F.size("w"), F.col("p") + F.col("m"))
+    probed = probed.filter(hi - lo >= F.col("m")).select("doc_id", "text_hash", "m", "h", lo.alias("lo"), F.slice("w", lo + 1, hi - lo).alias("near"))
+    hit = probed.join(hint(seen.distinct()), ["m", "h"], "left_semi")
     around = hit.select("doc_id", "text_hash", "m", "lo", "near", F.explode(F.sequence(F.lit(0), F.size("near") - F.col("m"))).alias("j"))
     around = around.select(
         "doc_id", "text_hash", "m", (F.col("lo") + F.col("j")).alias("start"),
