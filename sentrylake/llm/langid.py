@@ -3,8 +3,17 @@
 A text is the bag of its lower-cased byte 2- to 4-grams, each hashed into one of
 ``BUCKETS`` embedding rows; their average goes through a linear softmax. Both
 layers are trained by stochastic gradient descent in numpy on labelled rows. A
-temperature fitted on rows that training left out calibrates the score, and the
-same rows give the score below which a prediction is rejected.
+temperature fitted on rows that training left out calibrates the score.
+
+A softmax cannot tell a text of no learned language, so rejection looks at how
+usual a text's n-grams are: the mean log probability of its buckets, in the
+learned language where that is highest. The bound is calibrated on the rows
+left out against the same rows scored without their own language and against
+random letters and symbols: three quarters of the way down to those where they
+are apart, else where ``_REJECTED`` of the known rows fall below it. Words with a digit (numbers,
+keys, addresses) belong to no language and do not count there while other words
+are left. A score below half of what that share of the correctly predicted rows
+fall short of is rejected too.
 
 Training uses at most ``SAMPLE_ROWS`` labelled rows (a documented bound), those
 with the smallest hash of their id; whole texts are used, in training and in
@@ -15,6 +24,7 @@ empty results, repeated rows one result each, other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +42,12 @@ _DIM = 16
 _EPOCHS = 6
 _STEP = 1 << 18
 _GRAMS = (2, 3, 4)
-#: Half the score that this share of correctly predicted held-out rows falls short of bounds the rejection score.
-_REJECTED = 0.0005
+#: The share of held-out rows of known languages that may be rejected.
+_REJECTED = 0.001
+#: The share of foreign and junk rows that is to fall below the bound.
+_FOREIGN = 0.99
+_JUNK_ROWS = 200
+_JUNK = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 {}()[]<>;:=+-*/@#$%&!?._"
 
 
 def buckets_of(text: str) -> Iterator[np.ndarray]:
@@ -56,6 +70,15 @@ def _has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+_WITH_DIGIT = re.compile(r"\S*?\d\S*")
+
+
+def _words(text: str) -> str:
+    """The text without words that hold a digit, or the whole text if no letter would be left."""
+    rest = _WITH_DIGIT.sub(" ", text)
+    return rest if rest != text and _has_letter(rest) else text
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -63,15 +86,26 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    usual: np.ndarray  # log probability of each bucket in each language
+    unusual_below: float
 
-    def predict(self, text: str) -> tuple[str, float]:
-        total, n = np.zeros(len(self.langs)), 0
+    def predict(self, text: str) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is rejected."""
+        words = _words(text)
+        total, usual, n, m = np.zeros(len(self.langs)), np.zeros(len(self.langs)), 0, 0
         for at in buckets_of(text):
             total += self.logits[at].sum(axis=0)
             n += len(at)
+            if words is text:
+                usual += self.usual[at].sum(axis=0)
+                m += len(at)
+        for at in buckets_of(words) if words is not text else ():
+            usual += self.usual[at].sum(axis=0)
+            m += len(at)
         p = _softmax((total / max(n, 1) + self.bias)[None] / self.temperature)[0]
         best = int(p.argmax())
-        return self.langs[best], float(p[best])
+        rejected = p[best] < self.reject_below or usual.max() / max(m, 1) < self.unusual_below
+        return self.langs[best], float(p[best]), bool(rejected)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -79,6 +113,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _log_shares(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
+
+
+def _bound(known: np.ndarray, foreign: np.ndarray) -> float:
+    """What a text must reach: all but ``_REJECTED`` of the known rows do; where there is room, three quarters of the way to the foreign rows, as a lost document costs more."""
+    low, high = float(np.quantile(known, _REJECTED, method="lower")), float(np.quantile(foreign, _FOREIGN))
+    return (low + 3 * high) / 4 if high < low else low
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     """Fits a model to (text, lang) rows; None if there are none."""
     rows = [(t, g) for t, g in rows if _has_letter(t)]
@@ -110,7 +154,12 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
             bias -= rate * grad
             # the gradient of an average is small: embeddings step further than the softmax
             emb[at] -= (20 * rate) * w[:, None] * back
-    model = Model(langs, emb @ out, bias, 1.0, 0.0)
+    counts = np.zeros((BUCKETS, len(langs)))
+    for i in used:
+        for at in buckets_of(_words(rows[i][0])):
+            np.add.at(counts[:, bags[i][2]], at, 1)
+    usual = _log_shares(counts)
+    model = Model(langs, emb @ out, bias, 1.0, 0.0, usual.astype(np.float32), 0.0)
     z = np.array([w @ model.logits[at] + bias for at, w, _ in (bags[i] for i in held)])
     y = np.array([bags[i][2] for i in held])
     grid = np.geomspace(0.05, 5, 60)
@@ -118,9 +167,15 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     model.temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(z / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    # rejection is for texts that look like no language learned: well below any score that a known one had, and near a blind guess
-    low = float(np.quantile(right, _REJECTED)) / 2 if len(right) else 0.0
-    model.reject_below = min(low, 1.1 / len(langs))
+    model.reject_below = float(np.quantile(right, _REJECTED)) / 2 if len(right) else 0.0
+    mean = lambda text: usual[np.concatenate(list(buckets_of(_words(text))))].mean(axis=0)
+    spread = [(mean(rows[i][0]), bags[i][2]) for i in held]
+    others = [np.delete(v, y).max() for v, y in spread if len(langs) > 1]
+    letters, junk = np.array(list(_JUNK)), []
+    for i in range(_JUNK_ROWS):
+        junk.append(mean("".join(rng.choice(letters, 10 + i))).max())
+    known = np.array([v.max() for v, y in spread if counts[:, y].any()] or [0.0])
+    model.unusual_below = max(_bound(known, np.array(x)) for x in (others, junk) if x) if counts.any() else -np.inf
     return model
 
 
@@ -140,9 +195,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, rejected."""
 
     def predict(texts: list) -> tuple:
-        got = [model.predict(t) if model and _has_letter(t) else ("und", 0.0) for t in texts]
-        low = model.reject_below if model else 0.0
-        return [g for g, _ in got], [s for _, s in got], [g == "und" or s < low for g, s in got]
+        got = [model.predict(t) if model and _has_letter(t) else ("und", 0.0, True) for t in texts]
+        return [g for g, _, _ in got], [s for _, s, _ in got], [r for _, _, r in got]
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return map_texts(docs, ["doc_id"], "text", predict, {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64()), "rejected": ("boolean", pa.bool_())})
@@ -155,7 +209,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [bool(model and _has_letter(t) and model.predict(t)[1] >= model.reject_below) for t in b.column(text).to_pylist()]
+            keep = [bool(model and _has_letter(t) and not model.predict(t)[2]) for t in b.column(text).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -358,6 +358,24 @@ def test_language(spark):
     assert langid.identify(odd, None).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_rejects_foreign_and_junk_texts(spark):
+    """A model without a language rejects its texts, and code and junk, but hardly any of the others."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if langid._has_letter(r.text)]
+    unseen = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 == 2]
+    used = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    for lang in ("de", "en", "es", "fr"):
+        model = langid.train([x for x in used if x[1] != lang])
+        foreign = [model.predict(t)[2] for _, t, g in unseen if g == lang]
+        known = [model.predict(t)[2] for _, t, g in unseen if g != lang]
+        assert sum(foreign) >= 0.95 * len(foreign) and sum(known) <= 0.01 * len(known)
+    model = langid.train(used)
+    junk = ["Съешь же ещё этих мягких французских булок", "int main(void) { return x[3] << 2; }", "@@##$$ a %% ^^&& ~~", "zxqj vvkq wqxz jjxk", "天地玄黄宇宙洪荒"]
+    clean = ["thing and the other", None, "123"]
+    frame = docs(spark, junk + clean)
+    assert {r.doc_id: r.rejected for r in langid.identify(frame, model).collect()} == dict(enumerate([True] * 5 + [False, True, True]))
+    assert [r.doc_id for r in langid.keep_identified(frame, model).collect()] == [5]
+
+
 # url filter
 
 
