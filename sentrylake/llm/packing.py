@@ -15,15 +15,16 @@ they occur, a null doc_id is kept, empty tables give empty results and other
 columns are ignored.
 
 Ids come from a memo of space-delimited chunks in front of the byte-level BPE.
-That is exact where every space is single, as the pre-tokenizer attaches a
-space to the word after it and never looks back over it; other texts are encoded
-whole. Texts with the special token's own string go through the tokenizer file
+That is exact where every space is single and has other characters than white
+space on one side at least, as the pre-tokenizer attaches a space to the word
+after it and never looks back over it; other texts are encoded whole. Texts with the special token's own string go through the tokenizer file
 itself, which maps it to the special id.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -42,6 +43,8 @@ END_ID = 2
 GROUP_PIECES = 4096
 _MEMO = 400_000
 _SPECIAL = "<|endoftext|>"
+#: A space inside a run of white space, which the pre-tokenizer may cut elsewhere than before that space.
+_WHITE = re.compile(r"  |\s \s").search
 #: Weights of tokens, documents and attention cost in the norm of what stays free.
 WEIGHTS = (1.0, 0.02, 0.02)
 _REPACK_BELOW = 0.97
@@ -72,7 +75,7 @@ def encoder(tokenizer_json: str, ranks_file: str, pattern: str) -> Callable[[str
     def encode(text: str) -> np.ndarray:
         if _SPECIAL in text:
             return np.array(Tokenizer.from_file(tokenizer_json).encode(text, add_special_tokens=False).ids, dtype="<u4")
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
+        if text[:1] == " " or text[-1:] == " " or _WHITE(text):
             return np.array(plain(text), dtype="<u4")
         head, *rest = text.split(" ")
         return np.frombuffer(b"".join([memo[head], *map(memo.__getitem__, [" " + x for x in rest])]), dtype="<u4")

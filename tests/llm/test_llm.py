@@ -313,6 +313,16 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(empty(spark))).count() == 0
 
 
+def test_packing_white_space_around_a_space():
+    from tokenizers import Tokenizer
+
+    encode, tok, r = packing.encoder(*packing.byte_bpe()), Tokenizer.from_file(packing.byte_bpe()[0]), random.Random(6)
+    texts = ["x \u00a0 \u00a0 y", "a \u00a0 \u00a0\nb", "a\u00a0 \u00a0b", "a\n \tb", "x \u2003 y \u3000 z"]
+    texts += ["".join(r.choice(["a", "b1", " ", "\u00a0", "\n", "\t", "\u2003", "\x1c", "\x85", "."]) for _ in range(r.randrange(12))) for _ in range(5000)]
+    for t in texts:
+        assert list(encode(t)) == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def check_packed(rows, total, slack):
     bins: dict = {}
     for r in rows:
