@@ -577,6 +577,18 @@ def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.csv_columns(normalize.normalize(parsers.parse(lines, "firewall").withColumnRenamed("t", "parsed_at"), _year_end(spark, sf_dir, as_of)))
 
 
+@query(
+    f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp, 'firewall' AS log_type, CASE WHEN event_type = 'error' THEN 'medium' ELSE 'info' END AS severity, {_IP_SQL} AS source_ip,
+'8.8.8.8' AS destination_ip, CASE WHEN event_type = 'error' THEN 'block' ELSE 'allow' END AS action, 'Firewall ' || CASE WHEN event_type = 'error' THEN 'block' ELSE 'allow' END || 'ed ' ||
+CASE WHEN event_id % 2 = 0 THEN 'TCP' ELSE 'tcp' END || ' ' || {_IP_SQL} || ' -> 8.8.8.8:' || {_PORT_SQL} AS message FROM events"""
+)
+def export_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV export of every firewall line, UFW and ASA."""
+    lines = _lines(spark, sf_dir, _PARSED["firewall"][0]()).select("value", "t")
+    as_of = F.lit("2024-12-31 00:00:00").cast("timestamp")
+    return normalize.csv_columns(normalize.normalize(parsers.parse(lines, "firewall").withColumnRenamed("t", "parsed_at"), _year_end(spark, sf_dir, as_of)))
+
+
 def _year_end(spark: SparkSession, sf_dir: str, default: Column) -> Column:
     """The last day of the year that the events lie in, which dates their syslog times."""
     last = _events(spark, sf_dir).agg(F.max("ts_us")).first()[0]
