@@ -1,10 +1,12 @@
 """Secret scanning with a random forest that removes false positives.
 
-A high-recall pattern proposes candidates over whole texts; each becomes a row
-with the text before and after it. Features are SQL expressions: length,
+A high-recall pattern proposes candidates over whole texts: long runs of key
+characters with a digit, and whatever a name with a credential word is given,
+short or without a digit too. Names and "=" stay outside a candidate. Each
+becomes a row with the text before and after it. Features are SQL expressions: length,
 changes of character class, share of distinct characters, digits and capitals,
 dictionary coverage, the path and the neighbouring words. A random forest of
-the DataFrame machine-learning API, trained on labelled findings, scores them.
+the DataFrame machine-learning API, trained on labelled findings that the same pattern proposes, scores them.
 Scanning and scoring stay in the JVM.
 
 A null or empty text has no candidates; an unknown or null path counts as an
@@ -19,9 +21,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CHARS = "A-Za-z0-9+/_=-"
+_CHARS = "A-Za-z0-9+/_-"
+#: Padding, where nothing that could be a value follows.
+_PAD = rf"(?:={{1,2}}(?![={_CHARS}]))?"
 #: A run of 16 or more key characters with a digit in it, or the head of a private key.
-CANDIDATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![{_CHARS}])(?=[A-Za-z+/_=-]*+[0-9])[{_CHARS}]{{16,}}"
+CANDIDATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![{_CHARS}])(?=[A-Za-z+/_-]*+[0-9])[{_CHARS}]{{16,}}{_PAD}"
+_CREDENTIAL = "key|token|secret|passw|passphrase|pwd|credential|auth|bearer|private"
+#: A name with a credential word, what assigns to it, and an opening quote.
+_NAMED = rf"(?:(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]{{1,80}}+[\"']?\s{{0,4}}[=:])(?=[A-Za-z0-9_.-]*?(?i:{_CREDENTIAL}))[A-Za-z0-9_.-]{{1,80}}+[\"']?\s{{0,4}}(?::=|=>|[=:])\s{{0,4}}|(?<![A-Za-z0-9])(?=[Bb]earer\s))(?:(?i:bearer|basic)\s{{1,4}})?[\"']?"
+#: What such a name is given: six or more key characters, or anything without white space between quotes.
+_VALUE = rf"(?!-----BEGIN)(?:(?<=\")[^\s\"]{{6,512}}(?=\")|(?<=')[^\s']{{6,512}}(?=')|[{_CHARS}]{{6,}}{_PAD})"
+_PROPOSED = rf"{_NAMED}{_VALUE}|{CANDIDATE}"
 _DICTIONARY = (
     "example sample test demo dummy fake placeholder your here change changeme replace insert default null none undefined "
     "value string user name admin root local host server client service config setting version release build branch commit "
@@ -39,16 +49,19 @@ TREES, DEPTH, SEED = 40, 8, 7
 def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
     """doc_id, ordinal, start (in characters), candidate, before, after and path of every proposed string."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (path if path is not None else F.lit("")).cast("string").alias("path"))
-    text = text.filter(F.col("text").rlike(CANDIDATE))
-    cut = text.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE).alias("between"))
+    text = text.filter(F.col("text").rlike(_PROPOSED))
+    cut = text.select("doc_id", "path", F.regexp_extract_all("text", F.lit(_PROPOSED), F.lit(0)).alias("found"), F.split("text", _PROPOSED).alias("between"))
     # each row gets its own context only: carrying the pieces of the text along would cost its length for every candidate
     n = F.size("found")
     ahead, behind = F.slice("between", F.lit(1), n), F.slice("between", F.lit(2), n)
     steps = F.slice(F.zip_with("found", behind, lambda x, b: (F.length(x) + F.length(b)).cast("long")), F.lit(1), n - 1)
     starts = F.aggregate(steps, F.array(F.length(F.get("between", F.lit(0))).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    names = F.transform("found", lambda x: F.regexp_extract(x, f"^{_NAMED}(?=.{{6}})", 0))
+    cut = cut.withColumn("starts", starts).withColumn("names", names)
     cut = cut.select(
-        "doc_id", "path", F.col("found").alias("candidate"), starts.alias("start"),
-        F.transform(ahead, lambda x: F.substring(x, -_CONTEXT, _CONTEXT)).alias("before"), F.transform(behind, lambda x: F.substring(x, 1, _CONTEXT)).alias("after"),
+        "doc_id", "path", F.zip_with("found", "names", lambda x, y: F.substring(x, F.length(y) + 1, F.length(x))).alias("candidate"),
+        F.zip_with("starts", "names", lambda x, y: x + F.length(y)).alias("start"),
+        F.zip_with(ahead, "names", lambda x, y: F.substring(F.concat(F.substring(x, -_CONTEXT, _CONTEXT), y), -_CONTEXT, _CONTEXT)).alias("before"), F.transform(behind, lambda x: F.substring(x, 1, _CONTEXT)).alias("after"),
     )
     rows = cut.select("doc_id", "path", F.posexplode(F.arrays_zip("candidate", "start", "before", "after")).alias("ordinal", "x"))
     return rows.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "x.start", "x.candidate", "x.before", "x.after", F.coalesce("path", F.lit("")).alias("path"))
@@ -81,12 +94,15 @@ def features(rows: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """Findings with a known label (1.0: a secret), made from hashes: the shapes that scanners report, in the places where they do."""
+    """Findings with a known label (1.0: a secret), made from hashes: what ``candidates`` proposes in texts with the shapes that scanners report."""
     h = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     b64 = lambda salt, n: F.substring(F.regexp_replace(F.base64(F.unhex(h(salt))), "[+/=]", "x"), 1, n)
     pick = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(xs))).cast("int") + 1)
     digits = lambda salt, n: F.substring(F.translate(h(salt), "abcdef", "123456"), 1, n)
     key = pick("k", 'api_key = "', 'token = "', 'secret: "', "password=", 'auth_token: "', "Authorization: Bearer ", 'private_key = "', 'access_key = "')
+    plain = pick("pl", "password=", "api_key=", "export TOKEN=", "secret: ", "https://h.example.net/a?token=", "https://h.example.net/a?x=1&api_key=", "PGPASSWORD=", "db_password = ")
+    letters = lambda salt, n: F.substring(F.translate(b64(salt, 40), "0123456789", "qZwXkVjGpY"), 1, n)
+    word = lambda salt: pick(salt, "hunter", "dragon", "monkey", "summer", "tiger", "orange", "winter", "falcon")
     idle = pick("i", "the ", "and ", "see ", "is ", "with ", "of ", "in the ", "to ")
     kinds = [
         # secrets
@@ -98,7 +114,15 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (1.0, idle, F.concat(F.lit("AKIA"), F.upper(F.substring(h("f"), 1, 16)))),
         (1.0, idle, F.concat(pick("p", "ghp_", "xoxb-", "sk-", "sk_"), b64("g", 36))),
         (1.0, pick("u", "password is ", "the secret ", "use key "), b64("j", 28)),
-        # other long strings
+        (1.0, plain, F.substring(h("a2"), 1, 40)),
+        (1.0, plain, F.substring(h("b2"), 1, 20)),
+        (1.0, plain, b64("c2", 24)),
+        (1.0, plain, b64("d2", 12)),
+        (1.0, key, letters("e2", 24)),
+        (1.0, plain, letters("f2", 20)),
+        (1.0, key, F.concat(word("g2"), digits("h2", 1), word("i2"), digits("j2", 2))),
+        (1.0, plain, F.concat(word("k2"), digits("l2", 2), word("m2"), digits("n2", 1))),
+        # other strings
         (0.0, pick("m", "commit ", "sha1 ", "revision hash ", "etag: ", 'md5 = "'), F.substring(h("l"), 1, 40)),
         (0.0, pick("n", "sha256:", "checksum: ", "digest = ", 'hash: "'), h("o")),
         (0.0, pick("q", "id ", "uuid = ", 'guid: "', "request id "), F.regexp_replace(F.substring(h("r"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")),
@@ -107,14 +131,19 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0.0, key, F.concat(F.repeat(pick("x", "x", "0", "a", "1"), 18), digits("y", 1))),
         (0.0, idle, F.concat(pick("z", "assets/images/page-", "chapter-section-figure-", "release-build-version-", "user_account_report_"), digits("aa", 4))),
         (0.0, idle, F.concat(F.translate(F.substring(h("bb"), 1, 18), "0123456789", "eaionrtsld"), digits("cc", 1))),
+        (0.0, pick("o2", "the key: ", "token: ", "secret: ", "password: ", "key = ", "author: "), pick("p2", "remember", "through", "required", "optional", "people", "another", "reading", "between", "forgotten", "nothing")),
+        (0.0, pick("q2", "password = ", 'token = "', "api_key=", "secret=", "auth: "), pick("r2", "changeme", "undefined", "your_password", "placeholder", "example", "your-token-here", "replace_me", "default", "string")),
+        (0.0, pick("s2", "key=", "sort_key: ", 'primary_key = "', "https://h.example.net/a?key="), F.concat(pick("t2", "user_id", "order_number", "article", "section", "page-index"), pick("u2", "", "_name", "-path"))),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
     before = F.coalesce(*[F.when(kind == i, b) for i, (_, b, _) in enumerate(kinds)])
     value = F.coalesce(*[F.when(kind == i, v) for i, (_, _, v) in enumerate(kinds)])
     label = F.coalesce(*[F.when(kind == i, F.lit(y)) for i, (y, _, _) in enumerate(kinds)])
-    made = spark.range(rows).select(label.alias("label"), before.alias("before"), value.alias("candidate"))
-    path = F.when((F.col("label") == 0) & (F.pmod(F.xxhash64("candidate"), F.lit(3)) == 0), F.lit("tests/fixtures/a.txt")).otherwise(F.lit("src/app.py"))
-    return made.withColumn("after", F.when(F.col("before").endswith('"'), F.lit('" ')).otherwise(F.lit(" "))).withColumn("path", path)
+    path = F.when((label == 0) & (F.pmod(F.xxhash64(value), F.lit(3)) == 0), F.lit("tests/fixtures/a.txt")).otherwise(F.lit("src/app.py"))
+    text = F.concat(before, value, F.when(before.endswith('"'), F.lit('" ')).otherwise(F.lit(" ")))
+    found = candidates(spark.range(rows).select(F.col("id").alias("doc_id"), text.alias("text"), path.alias("path")), F.col("path"))
+    found = found.withColumn("id", F.col("doc_id")).filter(F.col("start") == F.length(before))
+    return found.select(label.alias("label"), "before", "candidate", "after", "path")
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:

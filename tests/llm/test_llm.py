@@ -530,3 +530,20 @@ def test_secret_forest(spark):
     got = {r.doc_id: r.secret for r in secrets.scan(docs(spark, texts), model).collect()}
     assert got == {0: True, 1: False, 2: False, 3: False}
     assert secrets.scan(empty(spark), model).count() == 0
+
+
+def test_secret_values_of_names(spark):
+    """What a credential's name is given is proposed without the name, also unquoted, in a URL, short or without a digit."""
+    hexes, mixed = "3f2a9b0b3c6a43eb78aa99cbd7049c57", "abcDEFghiJKLmnoPQRstuVWX"
+    cases = [
+        (f'api_key = "{mixed}"', mixed), ('secret = "hunter2hunter2"', "hunter2hunter2"), (f"password={hexes}", hexes), (f"get https://a.example.net/x?a=1&token={hexes}&b=2", hexes),
+        (f"é export DB_PASSWORD='{hexes}'", hexes), (f"Authorization: Bearer {hexes}", hexes), (f'{{"auth_token": "{hexes}=="}}', hexes + "=="), ("pwd: 'p@ss!w0rd'", "p@ss!w0rd"), (f"token={hexes}=", hexes + "="),
+    ]
+    frame = docs(spark, [t for t, _ in cases] + ["private_key = -----BEGIN RSA PRIVATE KEY-----", "the house: through"])
+    rows = sorted(secrets.candidates(frame).collect(), key=lambda r: (r.doc_id, r.ordinal))
+    assert [(r.doc_id, r.start, r.candidate) for r in rows] == [*((i, t.index(v), v) for i, (t, v) in enumerate(cases)), (9, 14, "-----BEGIN RSA PRIVATE KEY-----")]
+    assert all(cases[r.doc_id][0][: r.start].endswith(r.before) and r.before for r in rows[:9])
+    found = {r.doc_id: r.secret for r in secrets.scan(frame, secrets.train(secrets.labelled_findings(spark))).filter("doc_id < 5").collect()}
+    assert found == dict.fromkeys(range(5), True)
+    prose = docs(spark, ["the key: remember", "password = changeme", "token: required"])
+    assert not any(r.secret for r in secrets.scan(prose, secrets.train(secrets.labelled_findings(spark))).collect())
