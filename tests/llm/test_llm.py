@@ -351,6 +351,15 @@ def test_vector_limits():
     assert len(b) == 500 and (at >= 0).all()
 
 
+def test_pack_under_binding_limits(spark):
+    rows = packing.pack(packing.pieces(docs(spark, [prose(i, 3 + i % 40) for i in range(120)]), with_ids=False), max_docs=3, max_attention=20_000).collect()
+    bins: dict = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append(r.length)
+    assert len(rows) == 120 and all(len(x) <= 3 and sum(n * n for n in x) <= 20_000 and sum(x) <= 1024 for x in bins.values())
+    assert max(map(len, bins.values())) == 3
+
+
 # language identification
 
 
