@@ -1,32 +1,43 @@
-"""Language-model scores from a weighted backoff automaton of bigrams.
-
-The model is a bigram model with Jelinek-Mercer smoothing. As an automaton it
-has a root and a state for every word seen in training. The root has an arc for
-every word with the add-one unigram probability; the state of word h has an arc
-for every word w that followed it, with probability ``l*c(h,w)/c(h) +
-(1-l)*p(w)``, and a failure arc to the root that weighs ``1-l``. Reading a word
-leads to its state, or to the root if training never saw it. ``l`` depends on
-the order of magnitude of c(h); each is chosen from ``LAMBDAS`` by the
-leave-one-out likelihood of all training tokens. Probabilities over the known
-words and the unknown one sum to one in every state.
+"""Language-model scores from a weighted backoff automaton of trigrams.
+
+Smoothing is Bayesian: the probability of w after a history h of one or two
+words is ``(c(h,w) + m*p(w)) / (c(h) + m)``, where p is that of the history
+without its first word and, without any history, the add-one unigram. As an
+automaton it has a root, a state for every word and for every pair of words
+seen in training, an arc for every n-gram seen (weight: the log of that
+probability), and a failure arc from each state to that of its history without
+the first word, or from a word to the root (weight ``log10(m / (c(h) + m))``).
+Reading a token takes the state's arc, or failure arcs until a state has one;
+the token's longest known history is the next state. Probabilities over the
+known words and the unknown one sum to one in every state. The masses m of the
+two orders are chosen from ``MASSES`` by the leave-one-out likelihood of all
+training tokens.
 
 Counts are gathered from the whole training corpus and grow with it, so the
-model is never broadcast. Documents are encoded in blocks that are written to
-shared storage. Every block sends its distinct n-gram keys, cut by key range,
-to the counting groups, and gets the corpus counts of exactly those keys back:
-the part of the automaton that its documents can reach. One pass over the
-block's tokens then carries the state and adds up weights. A block's keys are
-distinct, so the most frequent word costs a group one key per block.
+automaton is never broadcast: it is a table of n-gram keys and counts, cut by
+key range. Documents are encoded in blocks in shared storage. Every block sends
+its distinct keys to the ranges and gets the corpus counts of exactly those
+back: the part of the automaton that its documents can reach. One pass over the
+block's tokens then adds up weights. A block's keys are distinct, so the most
+frequent word costs a range one key a block. A block sends at most ``FAN`` rows:
+beyond that many ranges, blocks are merged in groups first, and the groups ask
+the finer ranges. A model kept by ``fit`` scores other tables with ``score``.
 
 Text is lower-cased A-Z; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end.
-A null or empty text is the end alone. Keys are 64-bit hashes. Rows that repeat
-count and are scored as often as they occur; other columns are ignored; an empty
-table gives an empty result, an empty training part gives every token 1/(N+V+1).
+A null or empty text is the end alone. Words are told apart by 64-bit hashes and
+longer n-grams by hashes of 24 bits more than the corpus needs to number its
+tokens (63 at most), so that counts are exact up to collisions, which at most
+one n-gram in some millions has. Rows that repeat count and are scored as often
+as they occur; of equally likely masses the smallest are taken; other columns
+are ignored; an empty table gives an empty result, an empty training part gives
+every token 1/(N+V+1).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,17 +45,19 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .util import land, remove, work_dir
 
 BLOCK_TOKENS = 1_200_000
-BUCKET_KEYS = 2_000_000
-LAMBDAS = np.array([0.02, 0.1, 0.25, 0.45, 0.65, 0.85])
-#: Histories are classed by the decimal order of their count.
-CLASSES = 6
+#: Tokens of the corpus for each key range.
+RANGE_TOKENS = 1_500_000
+#: Rows that a block, or a group of blocks, sends at most.
+FAN = 4096
+MASSES = (1.0, 6.0, 36.0)
+_GRID = [(a, b) for a in MASSES for b in MASSES]
 _END, _START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\t")  # white space is never a word
 _DOC = {"doc_id": pa.list_(pa.int64()), "training": pa.list_(pa.bool_()), "n_tokens": pa.list_(pa.int32())}
 _BLOCK = {"block": pa.int64(), **_DOC, "words": pa.binary(), "tokens": pa.binary()}
@@ -89,44 +102,58 @@ def encode(docs: DataFrame, training: Column, block_tokens: int = BLOCK_TOKENS)
 
 
 class Block:
-    """One encoded block: its documents, and the n-gram keys of all its token positions."""
+    """One encoded block: its documents, and the distinct n-grams of its tokens.
 
-    def __init__(self, row) -> None:
+    A pair is known by its history (a word) and its last word; a triple by its history and the pair that it
+    ends with. ``arc`` says which n-gram each token ends: a pair for a document's first token, else a triple.
+    """
+
+    def __init__(self, row, shift: int) -> None:
         self.lens = np.asarray(row.n_tokens, dtype=np.int64)
         self.hashes = np.frombuffer(row.words, dtype="<u8")
         raw = zstandard.decompress(row.tokens)
         self.word = np.frombuffer(raw, dtype="<u2" if len(self.hashes) <= 1 << 16 else "<u4").astype(np.int64)
-        first = np.cumsum(self.lens) - self.lens
-        self.history = np.empty_like(self.word)
-        self.history[1:] = self.word[:-1]
-        self.history[first] = 1
+        width, first = len(self.hashes), np.cumsum(self.lens) - self.lens
+        history = np.empty_like(self.word)
+        history[1:] = self.word[:-1]
+        history[first] = 1
+        pairs, pair_at = np.unique(history * width + self.word, return_inverse=True)
+        self.pair_history, self.pair_word = pairs // width, pairs % width
+        later = np.ones(len(self.word), dtype=bool)
+        later[first] = False
+        at = np.flatnonzero(later)
+        triples, one, triple_at = np.unique(pair_at[at - 1] * width + self.word[at], return_index=True, return_inverse=True)
+        self.triple_history, self.triple_pair = triples // width, pair_at[at[one]]
+        self.arc = pair_at.copy()
+        self.arc[at] = len(pairs) + triple_at
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
-        self.training = np.asarray(row.training, dtype=bool)[self.doc]
-        pairs, self.pair_at = np.unique(_pair_key(self.hashes[self.history], self.hashes[self.word]), return_inverse=True)
-        # odd keys are words, even ones pairs
-        self.word_keys = self.hashes | np.uint64(1)
-        self.keys, at = np.unique(np.concatenate((pairs, self.word_keys)), return_inverse=True)
-        self.pair_at, self.word_at = at[: len(pairs)][self.pair_at], at[len(pairs) :]
-
-    def counts(self) -> np.ndarray:
-        """How often each key occurs in the block's training documents."""
-        n = len(self.keys)
-        return np.bincount(self.pair_at[self.training], minlength=n) + np.bincount(self.word_at[self.word[self.training]], minlength=n)
-
-
-def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        training = np.asarray(row.training, dtype=bool)[self.doc]
+        self.word_own = np.bincount(self.word[training], minlength=width)
+        self.pair_own = np.bincount(pair_at[training], minlength=len(pairs))
+        self.arc_own = np.bincount(self.arc[training], minlength=len(pairs) + len(triples))
+        pair_keys = _mix(self.hashes[self.pair_history], self.hashes[self.pair_word])
+        triple_keys = _mix(pair_keys[self.triple_history], self.hashes[self.pair_word[self.triple_pair]])
+        grams = np.concatenate((pair_keys, triple_keys)) >> np.uint64(shift)
+        self.word_order, self.gram_order = np.argsort(self.hashes), np.argsort(grams)
+        self.word_keys, self.gram_keys = self.hashes[self.word_order], grams[self.gram_order]
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word and n-gram key occurs in the block's training documents, in the order of the keys."""
+        grams = np.concatenate((self.pair_own, self.arc_own[len(self.pair_own) :]))
+        return self.word_own[self.word_order], grams[self.gram_order]
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x = (x + b) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return x & ~np.uint64(1)
+    return x ^ (x >> np.uint64(32))
 
 
-def _parts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The buckets that sorted keys fall into, and where the keys of each begin and end; a bucket is an equal part of the key range."""
-    at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    first = np.flatnonzero(np.diff(at, prepend=np.uint64(buckets)))
-    return at[first].astype(np.int64), first, np.append(first[1:], len(keys))
+def _ranges(keys: np.ndarray, bits: int, first: int, last: int, cuts: int) -> np.ndarray:
+    """Where the parts ``first`` to ``last`` - 1 of ``cuts`` equal parts of the key range end in sorted keys."""
+    ends = [((i << bits) // cuts) - 1 for i in range(first + 1, last + 1)]
+    return np.searchsorted(keys, np.array(ends, dtype=np.uint64), side="right")
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -140,102 +167,232 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(steps).view("<u8").ravel(), dtype="<u8")
 
 
-def requests(blocks: DataFrame, buckets: int) -> DataFrame:
-    """What each block sends to each bucket: its sorted keys and their counts in the block."""
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as bytes, those of 255 and more as eight bytes each behind them."""
+    low, high = np.minimum(counts, 255).astype("u1"), counts[counts >= 255].astype("<u8")
+    return zstandard.compress(low.tobytes() + high.tobytes() + np.array([len(low)], "<u8").tobytes(), 1)
+
+
+def _unpack_counts(packed: bytes) -> np.ndarray:
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw[-8:], "<u8")[0])
+    counts = np.frombuffer(raw, "u1", n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[n:-8], "<u8").astype(np.int64)
+    return counts
+
+
+_KEYED = "words binary, word_counts binary, grams binary, gram_counts binary"
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How keys are cut: bits of an n-gram key, and the number of coarse ranges and of fine ones in each."""
+
+    bits: int
+    coarse: int
+    fine: int
+
+    @staticmethod
+    def of(tokens: int, range_tokens: int = RANGE_TOKENS, fan: int = FAN) -> Shape:
+        cuts = max(min(64, fan), -(-tokens // range_tokens))
+        return Shape(min(63, 24 + max(tokens, 2).bit_length()), min(cuts, fan), -(-cuts // fan))
+
+
+def _cut(words: tuple, grams: tuple, bits: int, first: int, last: int, cuts: int) -> Iterator[tuple]:
+    """(number, words, word_counts, grams, gram_counts) of every part from ``first`` to ``last`` - 1 that holds keys."""
+    w, g = (np.append(0, _ranges(k[0], n, first, last, cuts)) for k, n in ((words, 64), (grams, bits)))
+    for i in range(last - first):
+        a, b, x, y = w[i], w[i + 1], g[i], g[i + 1]
+        if a < b or x < y:
+            yield first + i, _pack(words[0][a:b]), _pack_counts(words[1][a:b]), _pack(grams[0][x:y]), _pack_counts(grams[1][x:y])
+
+
+def requests(blocks: DataFrame, shape: Shape) -> DataFrame:
+    """What each block sends to each coarse range: its sorted keys and their counts in the block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                block = Block(row)
-                counts, parts = block.counts().astype("<u4"), list(zip(*_parts(block.keys, buckets), strict=True))
-                yield pd.DataFrame({
-                    "bucket": [i for i, _, _ in parts], "block": row.block,
-                    "keys": [_pack(block.keys[x:y]) for _, x, y in parts], "counts": [zstandard.compress(counts[x:y].tobytes(), 1) for _, x, y in parts],
-                })
-
-    return blocks.mapInPandas(run, "bucket int, block long, keys binary, counts binary")
-
-
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of a bucket's keys, in the order in which each block asked; v and n: its distinct and all training words."""
-    asked = [_unpack(x) for x in rows["keys"]]
-    keys, sizes = np.concatenate(asked), [len(x) for x in asked]
-    counts = np.concatenate([np.frombuffer(zstandard.decompress(x), "<u4") for x in rows["counts"]])
-    distinct, at = np.unique(keys, return_inverse=True)
-    total = np.bincount(at, weights=counts).astype(np.int64)
-    words = total[(distinct & np.uint64(1)) == 1]
-    out, edge = total[at].astype("<u4"), np.cumsum([0, *sizes])
-    made = [zstandard.compress(out[edge[i] : edge[i + 1]].tobytes(), 1) for i in range(len(rows))]
-    v, n = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-    v[0], n[0] = (words > 0).sum(), words.sum()
-    return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "counts": made, "v": v, "n": n})
+                block = Block(row, 64 - shape.bits)
+                words, grams = block.own()
+                rows = [(i, row.block, *x) for i, *x in _cut((block.word_keys, words), (block.gram_keys, grams), shape.bits, 0, shape.coarse, shape.coarse)]
+                yield pd.DataFrame(rows, columns=["range", "sender", "words", "word_counts", "grams", "gram_counts"])
 
+    return blocks.mapInPandas(run, f"range long, sender long, {_KEYED}")
 
-class Automaton:
-    """The arcs that one block's documents can take, for every smoothing weight under choice."""
 
-    def __init__(self, block: Block, counts: np.ndarray, n: int, v: int) -> None:
-        self.word_count = counts[block.word_at].astype(np.float64)
-        self.word_count[1] = self.word_count[0]  # a document has one start and one end
-        self.pair_count = counts.astype(np.float64)
+def _merged(keys: pd.Series, counts: pd.Series) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys with their summed counts, and where each sender's keys are among them."""
+    lists = [_unpack(x) for x in keys]
+    distinct, at = np.unique(np.concatenate(lists), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([_unpack_counts(x) for x in counts]), minlength=len(distinct)).astype(np.int64)
+    return distinct, total, np.split(at, np.cumsum([len(x) for x in lists])[:-1])
+
+
+def _answers(keep: bool):
+    """Corpus counts of a range's keys, in the order in which each sender asked; v and n: its distinct and all training words."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        words, word_total, word_at = _merged(rows["words"], rows["word_counts"])
+        grams, gram_total, gram_at = _merged(rows["grams"], rows["gram_counts"])
+        out = [(r, s, None, _pack_counts(word_total[w]), None, _pack_counts(gram_total[g]), 0, 0) for r, s, w, g in zip(rows["range"], rows["sender"], word_at, gram_at, strict=True) if s >= 0]
+        w, g = word_total > 0, gram_total > 0
+        kept = (_pack(words[w]), _pack_counts(word_total[w]), _pack(grams[g]), _pack_counts(gram_total[g])) if keep else (None,) * 4
+        out.append((rows["range"].iloc[0], -1, *kept, int(w.sum()), int(word_total.sum())))
+        return pd.DataFrame(out, columns=["range", "sender", "words", "word_counts", "grams", "gram_counts", "v", "n"])
+
+    return run
+
+
+def _ask(asked: DataFrame, shape: Shape, path: str, model: DataFrame | None, keep: bool, teams: int) -> DataFrame:
+    """(sender, range, word_counts, gram_counts) for every row of ``asked``, and rows of sender -1 with what the ranges hold."""
+    schema = f"range long, sender long, {_KEYED}, v long, n long"
+    if shape.fine == 1:
+        rows = asked if model is None else asked.unionByName(model)
+        return land(rows.groupBy("range").applyInPandas(_answers(keep), schema), f"{path}/answers")
+    asked = land(asked.withColumn("team", F.pmod(F.xxhash64("sender"), F.lit(teams))), f"{path}/asked")
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        words, grams = _merged(rows["words"], rows["word_counts"]), _merged(rows["grams"], rows["gram_counts"])
+        at, team = int(rows["range"].iloc[0]), int(rows["team"].iloc[0])
+        out = [(i, team, *x) for i, *x in _cut(words[:2], grams[:2], shape.bits, at * shape.fine, (at + 1) * shape.fine, shape.coarse * shape.fine)]
+        return pd.DataFrame(out, columns=["range", "sender", "words", "word_counts", "grams", "gram_counts"])
+
+    fine = asked.groupBy("range", "team").applyInPandas(merge, f"range long, sender long, {_KEYED}")
+    found = land((fine if model is None else fine.unionByName(model)).groupBy("range").applyInPandas(_answers(keep), schema), f"{path}/fine")
+
+    def pass_on(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("fine")
+        totals = [np.concatenate([_unpack_counts(x) for x in right[c]]) for c in ("word_counts", "gram_counts")]
+        word_at, gram_at = _merged(left["words"], left["word_counts"])[2], _merged(left["grams"], left["gram_counts"])[2]
+        out = [(r, s, _pack_counts(totals[0][w]), _pack_counts(totals[1][g])) for r, s, w, g in zip(left["range"], left["sender"], word_at, gram_at, strict=True)]
+        return pd.DataFrame(out, columns=["range", "sender", "word_counts", "gram_counts"])
+
+    got = found.filter("sender >= 0").select(F.floor(F.col("range") / shape.fine).alias("range"), F.col("sender").alias("team"), F.col("range").alias("fine"), "word_counts", "gram_counts")
+    passed = asked.groupBy("range", "team").cogroup(got.groupBy("range", "team")).applyInPandas(pass_on, "range long, sender long, word_counts binary, gram_counts binary")
+    return land(passed.unionByName(found.filter("sender < 0"), allowMissingColumns=True), f"{path}/answers")
+
+
+class Automaton:
+    """The states and arcs that one block's documents can reach, under given masses.
+
+    States are the root, words and pairs; ``word_fail`` and ``pair_fail`` are the weights of their failure arcs.
+    """
+
+    def __init__(self, block: Block, words: np.ndarray, grams: np.ndarray, n: int, v: int) -> None:
+        self.block = block
+        self.words, counts = np.empty(len(words), np.float64), np.empty(len(grams), np.float64)
+        self.words[block.word_order], counts[block.gram_order] = words, grams
+        self.pairs, self.triples = counts[: len(block.pair_word)], counts[len(block.pair_word) :]
+        self.after = self.words.copy()
+        self.after[1] = self.words[0]  # a document has one start and one end
         self.size = n + v + 1.0
+        self.root = (self.words + 1) / self.size
+
+    def arcs(self, masses: tuple[float, float]) -> np.ndarray:
+        """What reading an n-gram's last word after its history costs: the arc, or failure arcs and the arc behind them."""
+        b, (one, two) = self.block, masses
+        low, state = self.root[b.pair_word], self.after[b.pair_history]
+        seen = (self.pairs + one * low) / (state + one)
+        word_fail, root_arc = np.log10(one / (state + one)), np.log10(low)
+        pair = np.where(self.pairs > 0, np.log10(seen), word_fail + root_arc)
+        state = self.pairs[b.triple_history]
+        arc, pair_fail = np.log10((self.triples + two * seen[b.triple_pair]) / (state + two)), np.log10(two / (state + two))
+        return np.concatenate((pair, np.where(self.triples > 0, arc, pair_fail + pair[b.triple_pair])))
+
+    def left_out(self, masses: tuple[float, float]) -> float:
+        """The log likelihood of the block's training tokens, each left out of all counts."""
+        b, (one, two) = self.block, masses
+        low = np.maximum(self.words[b.pair_word], 1) / max(self.size - 1, 1)
+        pair = (np.maximum(self.pairs - 1, 0) + one * low) / (np.maximum(self.after[b.pair_history] - 1, 0) + one)
+        triple = (np.maximum(self.triples - 1, 0) + two * pair[b.triple_pair]) / (np.maximum(self.pairs[b.triple_history] - 1, 0) + two)
+        return float(np.log10(np.concatenate((pair, triple))) @ b.arc_own)
+
+    def traverse(self, masses: tuple[float, float]) -> np.ndarray:
+        """One pass from left to right: a token's state is the history that its n-gram has, so its weight is that n-gram's."""
+        return np.bincount(self.block.doc, weights=self.arcs(masses)[self.block.arc], minlength=len(self.block.lens))
+
+
+@dataclass(frozen=True)
+class Model:
+    """A kept automaton: its n-grams are in a table under ``path``."""
+
+    path: str
+    n: int
+    v: int
+    shape: Shape
+    masses: tuple[float, float]
+
+    def save(self, spark: SparkSession) -> None:
+        land(spark.createDataFrame([(json.dumps(asdict(self)),)], "model string").coalesce(1), f"{self.path}/model")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        found = json.loads(spark.read.parquet(f"{path}/model").first()[0])
+        return Model(path, found["n"], found["v"], Shape(**found["shape"]), tuple(found["masses"]))
+
+
+def _tokens(blocks: DataFrame) -> int:
+    return blocks.select(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+
 
-    def traverse(self, block: Block) -> tuple[np.ndarray, ...]:
-        """One pass from left to right. The state before a token is the token before it, or the root if that is
-        unknown; the weights below are those of the arc taken, or of the failure arc and the root's arc after it."""
-        docs, width = len(block.lens), CLASSES * len(LAMBDAS)
-        known = self.word_count[block.word]
-        root = (known + 1) / self.size
-        state, pair = self.word_count[block.history], self.pair_count[block.pair_at]
-        has = state > 0
-        kind = np.where(has, np.minimum(np.log10(np.maximum(state, 1)).astype(np.int64), CLASSES - 1), 0)
-        base = np.bincount(block.doc, weights=np.log10(root), minlength=docs)
-        at_root = np.bincount(block.doc[~has], weights=np.log10(root[~has]), minlength=docs)
-        cell, parts = (block.doc * CLASSES + kind)[has], np.zeros((docs, CLASSES, len(LAMBDAS)))
-        own = has & block.training & (state > 1)
-        # leaving one out: without this occurrence the state, the arc and the word count one less
-        rest, back, left = (pair[own] - 1) / (state[own] - 1), known[own] / (self.size - 1), np.zeros((CLASSES, len(LAMBDAS)))
-        for k, share in enumerate(LAMBDAS):
-            weight = np.log10(share * pair[has] / state[has] + (1 - share) * root[has])
-            parts[:, :, k] = np.bincount(cell, weights=weight, minlength=docs * CLASSES).reshape(docs, CLASSES)
-            left[:, k] = np.bincount(kind[own], weights=np.log10(share * rest + (1 - share) * back), minlength=CLASSES)
-        n_known = np.bincount(block.doc, weights=known > 0, minlength=docs).astype(np.int64)
-        return base, at_root, n_known, parts.reshape(docs, width), left.reshape(width)
-
-
-def score(docs: DataFrame, training: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per document: doc_id, training, n_tokens, n_known, train_tokens, base_score, score."""
-    ship(docs.sparkSession)
-    path = work_dir(docs.sparkSession, "lm")
-    blocks = land(encode(docs, training, block_tokens), f"{path}/blocks")
-    tokens = blocks.select(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = max(64, tokens // BUCKET_KEYS)
-    asked = requests(blocks, buckets).groupBy("bucket").applyInPandas(_answer, "bucket int, block long, counts binary, v long, n long")
-    answers = land(asked, f"{path}/answers")
-    v, n = answers.agg(F.sum("v"), F.sum("n")).first()
-    v, n = int(v or 0), int(n or 0)
+def _traversed(blocks: DataFrame, answers: DataFrame, shape: Shape, n: int, v: int, grid: list[tuple[float, float]]) -> DataFrame:
+    """Per document the score under each masses of ``grid``; a block's first row also has its left-out likelihoods."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = next(left.itertuples(index=False))
-        block = Block(row)
-        got = right.sort_values("bucket")["counts"]
-        counts = np.concatenate([np.frombuffer(zstandard.decompress(x), "<u4") for x in got])
-        base, at_root, n_known, parts, loo = Automaton(block, counts, n, v).traverse(block)
-        docs = len(block.lens)
+        block = Block(row, 64 - shape.bits)
+        right = right.sort_values("range")
+        words, grams = (np.concatenate([_unpack_counts(x) for x in right[c]]) for c in ("word_counts", "gram_counts"))
+        auto, docs = Automaton(block, words, grams, n, v), len(block.lens)
+        by_doc = lambda x: np.bincount(block.doc, weights=x[block.word], minlength=docs)
+        scores = np.stack([auto.traverse(m) for m in grid], axis=1)
         return pd.DataFrame({
-            "doc_id": pd.array(row.doc_id, dtype="Int64"), "training": row.training, "n_tokens": block.lens, "n_known": n_known,
-            "base_score": base, "at_root": at_root, "parts": list(parts), "loo": [loo] + [None] * (docs - 1),
+            "doc_id": pd.array(row.doc_id, dtype="Int64"), "training": row.training, "n_tokens": block.lens, "n_known": by_doc(auto.words > 0).astype(np.int64),
+            "base_score": by_doc(np.log10(auto.root)), "scores": list(scores), "left_out": [[auto.left_out(m) for m in grid]] + [None] * (docs - 1),
         })
 
-    schema = "doc_id long, training boolean, n_tokens long, n_known long, base_score double, at_root double, parts array<double>, loo array<double>"
-    sides = answers.select("block", "bucket", "counts").groupBy("block")
-    scored = land(blocks.groupBy("block").cogroup(sides).applyInPandas(run, schema), f"{path}/scored")
-    remove(docs.sparkSession, f"{path}/blocks", f"{path}/answers")
-    width = CLASSES * len(LAMBDAS)
-    sums = scored.filter("loo IS NOT NULL").agg(*[F.sum(F.col("loo")[i]) for i in range(width)]).first()
-    gain = np.array([x or 0.0 for x in sums]).reshape(CLASSES, len(LAMBDAS))
-    best = [c * len(LAMBDAS) + int(k) for c, k in enumerate(gain.argmax(axis=1))]
-    total = F.col("at_root")
-    for i in best:
-        total = total + F.col("parts")[i]
-    return scored.select("doc_id", "training", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", total.alias("score"))
+    sides = answers.filter("sender >= 0").select(F.col("sender").alias("block"), "range", "word_counts", "gram_counts").groupBy("block")
+    schema = "doc_id long, training boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
+    return blocks.groupBy("block").cogroup(sides).applyInPandas(run, schema)
+
+
+def _columns(scored: DataFrame, at: int, n: int) -> DataFrame:
+    return scored.select("doc_id", "training", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[at].alias("score"))
+
+
+def fit(
+    docs: DataFrame, training: Column, path: str | None = None, block_tokens: int = BLOCK_TOKENS, range_tokens: int = RANGE_TOKENS, fan: int = FAN, teams: int | None = None
+) -> tuple[Model, DataFrame]:
+    """Learns from the rows for which ``training`` holds; also scores every row: doc_id, training, n_tokens, n_known,
+    train_tokens, base_score, score. With ``path`` the model is kept there for ``score``."""
+    spark = docs.sparkSession
+    ship(spark)
+    work = work_dir(spark, "lm")
+    blocks = land(encode(docs, training, block_tokens), f"{work}/blocks")
+    shape = Shape.of(_tokens(blocks), range_tokens, fan)
+    answers = _ask(requests(blocks, shape), shape, work, None, path is not None, teams or max(1, blocks.count() // fan))
+    held = answers.filter("sender < 0")
+    v, n = (int(x or 0) for x in held.agg(F.sum("v"), F.sum("n")).first())
+    scored = land(_traversed(blocks, answers, shape, n, v, _GRID), f"{work}/scored")
+    sums = scored.filter("left_out IS NOT NULL").agg(*[F.sum(F.col("left_out")[i]) for i in range(len(_GRID))]).first()
+    best = int(np.argmax([x or 0.0 for x in sums]))
+    model = Model(path or "", n, v, shape, _GRID[best])
+    if path:
+        land(held.select("range", "sender", "words", "word_counts", "grams", "gram_counts"), f"{path}/arcs")
+        model.save(spark)
+    remove(spark, *(f"{work}/{x}" for x in ("blocks", "answers", "asked", "fine")))
+    return model, _columns(scored, best, n)
+
+
+def score(docs: DataFrame, model: Model, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Scores the rows of any table with a kept model: the columns of ``fit``, training being false."""
+    spark = docs.sparkSession
+    ship(spark)
+    work = work_dir(spark, "lm-score")
+    blocks = land(encode(docs, F.lit(False), block_tokens), f"{work}/blocks")
+    arcs = spark.read.parquet(f"{model.path}/arcs")
+    answers = _ask(requests(blocks, model.shape), model.shape, work, arcs, False, max(1, blocks.count() // FAN))
+    scored = land(_traversed(blocks, answers, model.shape, model.n, model.v, [model.masses]), f"{work}/scored")
+    remove(spark, *(f"{work}/{x}" for x in ("blocks", "answers", "asked", "fine")))
+    return _columns(scored, 0, model.n)

@@ -43,7 +43,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm.score(table(spark, sf_dir, "documents"), training=crc_mod(F.col("doc_id"), 7) != 2)
+    _, out = lm.fit(table(spark, sf_dir, "documents"), training=crc_mod(F.col("doc_id"), 7) != 2)
     return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

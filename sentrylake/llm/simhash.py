@@ -18,6 +18,11 @@ fewer words than a shingle make one shingle; no words or a null text give
 fingerprint zero, linked like any other. Rows that share a doc_id are one
 document for ``component_id``; null ids get a component id only through linked
 rows. An empty table gives an empty result; other columns are ignored.
+
+Three bits of 64 stand for nearly equal texts only. To drop texts of a given
+Jaccard similarity, ``drop_near_copies`` takes fingerprints of ``WORDS`` words
+and as many blocks as let such pairs share one, by the same join on blocks and
+check of the distance; every link is then verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .util import land, map_texts, remove, work_dir
 
 MAX_BITS = 3
@@ -40,24 +46,39 @@ _SEED = 42
 _CHUNK = 1 << 15
 _BLOCKS = 4
 _LEVELS = 4
+#: 64-bit words of a wide fingerprint, and the odd factor that makes the hashes of each.
+WORDS = 8
+_FACTORS = [np.uint64(int(x) << 1 | 1) for x in np.random.default_rng(_SEED).integers(1 << 60, 1 << 63, WORDS)]
+#: How many rows of one block value a task compares with as many others.
+CHUNK_ROWS = 2048
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The unsigned 64-bit SimHash of a text."""
+def _grams(text: str | None, shingle: int) -> list[bytes]:
+    """The word shingles of a text, repeats included; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) < shingle:
-        grams: Iterator[bytes] = iter([b" ".join(words)])
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.array(list(map(xxhash.xxh64_intdigest, grams, repeat(_SEED))), dtype="<u8")
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), _CHUNK):  # bounds the unpacked bits of a very long text
-        part = hashes[i : i + _CHUNK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        part = np.ascontiguousarray(hashes[i : i + _CHUNK], dtype="<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view("<u8")
+        # eight one-byte counters a word, added up before any of them can overflow
+        full = len(bits) // 255 * 255
+        sums = bits[:full].reshape(-1, 255, 8).sum(axis=1, dtype="<u8")
+        rest = bits[full:].sum(axis=0, dtype="<u8")
+        ones += np.vstack([sums, rest[None]]).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The unsigned 64-bit SimHash of a text."""
+    grams = _grams(text, shingle)
+    return _majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(_SEED)), dtype="<u8", count=len(grams))) if grams else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -217,8 +238,218 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, group_limit: int = GROUP_
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id left of each group."""
-    gone = near_duplicates(docs, shingle).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"))
-    gone = land(gone.distinct(), work_dir(docs.sparkSession, "simhash-dropped"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+# groups of similar texts, with wide fingerprints
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """A SimHash of ``WORDS`` 64-bit words, each from another hash of the shingles."""
+    grams = _grams(text, shingle)
+    if not grams:
+        return bytes(8 * WORDS)
+    base = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(_SEED)), dtype="<u8", count=len(grams))
+    words = []
+    for odd in _FACTORS:
+        h = base * odd
+        h ^= h >> np.uint64(32)
+        words.append(_majority(h * odd))
+    return np.array(words, dtype="<u8").tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits of two shingle sets of one size with that Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def block_plan(rows: int, similarity: float, missed: float = 0.005, crowd: int = 1024) -> np.ndarray:
+    """Bit positions of each block (one row a block).
+
+    A block is as wide as leaves about ``crowd`` of ``rows`` unrelated fingerprints on one value, and there
+    are as many as let a pair at the similarity share one with probability 1 - ``missed``.
+    """
+    width = min(40, max(6, int(np.ceil(np.log2(max(rows, 2) / crowd)))))
+    agree = (1 - differing_share(similarity)) ** width
+    blocks = int(np.ceil(np.log(missed) / np.log(1 - agree)))
+    rng = np.random.default_rng(_SEED)
+    return np.array([rng.choice(64 * WORDS, width, replace=False) for _ in range(blocks)])
+
+
+def _near_pairs(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers and distance of the pairs of ``x`` and ``y`` that differ in at most ``most`` bits."""
+    near_word = most // WORDS + 15  # a first look at one word, five deviations wide
+    found = []
+    for i in range(0, len(x), 256):
+        a, b = np.nonzero(np.bitwise_count(x[i : i + 256, None, 0] ^ y[None, :, 0]) <= near_word)
+        a += i
+        if x is y:
+            a, b = a[a < b], b[a < b]
+        for j in range(0, len(a), 1 << 18):
+            p, q = a[j : j + (1 << 18)], b[j : j + (1 << 18)]
+            d = np.bitwise_count(x[p] ^ y[q]).sum(axis=1, dtype=np.int64)
+            hit = d <= most
+            found.append((p[hit], q[hit], d[hit]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which pairs make the spanning forest of least total distance over n rows."""
+    label, parent, kept = np.arange(n), list(range(n)), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    order = np.argsort(d, kind="stable")
+    for i in range(0, len(order), 4096):
+        part = order[i : i + 4096]
+        part = part[label[a[part]] != label[b[part]]]
+        for k in part.tolist():
+            p, q = root(int(a[k])), root(int(b[k]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                kept.append(k)
+        if len(part):
+            label = np.array([root(j) for j in range(n)]) if n <= 4096 else np.fromiter(map(root, range(n)), np.int64, n)
+    return np.array(kept, np.int64)
+
+
+def _forest_of(ids: np.ndarray, prints: np.ndarray, left: np.ndarray | None, most: int) -> pd.DataFrame:
+    """The forest of a block's rows; where ``left`` marks half of them, of the pairs across the halves."""
+    if left is None:
+        a, b, d = _near_pairs(prints, prints, most)
+    else:
+        one, two = np.flatnonzero(left), np.flatnonzero(~left)
+        a, b, d = _near_pairs(prints[one], prints[two], most)
+        a, b = one[a], two[b]
+    kept = _nearest_forest(len(ids), a, b, d)
+    x, y = ids[a[kept]], ids[b[kept]]
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def _block_forests(most: int):
+    """Rows come sorted by (block, value, part); a group that ends a batch is held back for the next one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            b = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(b):
+                continue
+            key = b[["block", "value", "part"]].to_numpy(np.int64)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            for i, j in zip(edges, edges[1:], strict=False):
+                yield of(b.iloc[i:j])
+            held = b.iloc[edges[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield of(held)
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        prints = np.frombuffer(b"".join(rows["print"]), np.uint64).reshape(-1, WORDS)
+        part = rows["part"].iloc[0]
+        left = rows["side"].to_numpy(np.int64) == 0 if part >= 0 and (rows["side"] == 1).any() else None
+        return _forest_of(rows["id"].to_numpy(np.int64), prints, left, most)
+
+    return run
+
+
+def similar_links(spark: SparkSession, reps: DataFrame, path: str, count: int, similarity: float, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """Likely links (a, b) of ids in ``reps`` (id, print): in each block the spanning forest of least distance.
+
+    A block value that more than ``chunk`` rows share is cut into parts, and every two parts are compared in a task
+    of their own, so that no task holds more than two parts.
+    """
+    plan = block_plan(count, similarity)
+    share, bits = differing_share(similarity), 64 * WORDS
+    most = int(bits * share + 2.5 * (bits * share * (1 - share)) ** 0.5)
+    weight = 1 << np.arange(plan.shape[1], dtype=np.int64)
+
+    def values(with_print: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n, k = b.num_rows, len(plan)
+                bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
+                value = np.stack([bits[:, at] @ weight for at in plan], axis=1).ravel()
+                place = [pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(value)]
+                own = [b.column(i).take(pa.array(np.repeat(np.arange(n), k))) for i in range(2)] if with_print else []
+                yield pa.RecordBatch.from_arrays(place + own, ["block", "value", "id", "print"][: 2 + len(own)])
+
+        return run
+
+    ship(spark)
+    rows = reps.select("id", "print")
+    crowded = rows.mapInArrow(values(False), "block int, value long").groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
+    crowded = land(crowded, f"{path}/crowded")
+    keyed = rows.mapInArrow(values(True), "block int, value long, id long, print binary")
+    none = F.lit(-1).alias("part"), F.lit(0).alias("side")
+    if not crowded.isEmpty():
+        parts = F.ceil(F.col("n") / chunk).cast("int")
+        mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+        keyed = keyed.join(crowded, ["block", "value"], "left").withColumn("parts", parts).withColumn("mine", mine)
+        # the task of parts i <= j is number i * parts + j
+        tasks = F.when(F.col("n").isNull(), F.array(F.struct(*none))).otherwise(
+            F.transform(
+                F.sequence(F.lit(0), F.col("parts") - 1),
+                lambda j: F.struct((F.least(F.col("mine"), j) * F.col("parts") + F.greatest(F.col("mine"), j)).alias("part"), F.when(F.col("mine") > j, 1).otherwise(0).alias("side")),
+            )
+        )
+        keyed = keyed.select("id", "print", "block", "value", F.explode(tasks).alias("t")).select("id", "print", "block", "value", "t.part", "t.side")
+    else:
+        keyed = keyed.select("id", "print", "block", "value", *none)
+    near = keyed.repartition("block", "value", "part").sortWithinPartitions("block", "value", "part").mapInPandas(_block_forests(most), "a long, b long")
+    return near.distinct()
+
+
+def jaccard(one: str | None, two: str | None, shingle: int) -> float:
+    """Of the sets of word shingles; two texts without words are equal."""
+    x, y = set(_grams(one, shingle)), set(_grams(two, shingle))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links whose whole texts are that similar."""
+    used = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    used = texts.join(used, "id", "left_semi")
+    pairs = links.join(used.select(F.col("id").alias("a"), F.col("text").alias("one")), "a").join(used.select(F.col("id").alias("b"), F.col("text").alias("two")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [jaccard(x, y, shingle) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """doc_id and group_id (the smallest doc_id of its group of similar texts) of every document that has an id."""
+    spark = docs.sparkSession
+    path = work_dir(spark, "similar")
+
+    def prints(texts: list) -> tuple:
+        return ([wide_fingerprint(t, shingle) for t in texts],)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    found = land(map_texts(texts, ["doc_id"], "text", prints, {"print": ("binary", pa.binary())}), f"{path}/prints")
+    # texts of one fingerprint are one from here on, so that a text repeated in other layouts crowds no block
+    reps = land(found.groupBy("print").agg(F.min("doc_id").alias("id")), f"{path}/reps")
+    links = land(similar_links(spark, reps, path, reps.count(), similarity, chunk), f"{path}/candidates")
+    good = _verified(links, texts.withColumnRenamed("doc_id", "id"), shingle, similarity)
+    roots = components(spark, good, path).select(F.col("fp").alias("id"), "root")
+    classes = land(reps.join(roots, "id", "left").select("print", F.coalesce("root", "id").alias("group_id")), f"{path}/classes")
+    return found.join(classes, "print").select("doc_id", "group_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id left of each group of similar texts.
+
+    Texts are linked when the Jaccard similarity of their sets of ``shingle`` words is ``similarity`` or more:
+    wide fingerprints find likely links, and each is verified on the whole texts. Rows that share a doc_id are one
+    document and stay or go together; rows without an id stay; texts without words are equal. Columns pass as they
+    are, whatever their names; an empty table stays empty.
+    """
+    gone = similar_groups(docs, shingle, similarity).filter("doc_id <> group_id").select(F.col("doc_id").alias("gone"))
+    gone = land(gone.distinct(), work_dir(docs.sparkSession, "similar-dropped"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti").select("row.*")

@@ -157,6 +157,68 @@ def test_simhash_stage(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def brute_similar(texts, shingle=5, least=0.8):
+    """The smallest row number of each group that is linked by the Jaccard similarity of word shingles, and the linked pairs."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if (len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) if sets[a] or sets[b] else True)]
+    root = list(range(len(sets)))
+    for _ in sets:
+        before = list(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    return root, pairs
+
+
+@pytest.mark.parametrize("chunk", [simhash.CHUNK_ROWS, 3])
+def test_similar_groups(spark, chunk):
+    texts = near_texts() + ["  Word  one two three four five six", "word ONE two three four five\nsix", "word one two three four five nine"]
+    want, pairs = brute_similar(texts)
+    got = {r.doc_id: r.group_id for r in simhash.similar_groups(docs(spark, texts), chunk=chunk).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(pairs) > 40 and len(set(want)) < len(texts)
+
+
+def test_similar_groups_on_a_table(spark):
+    """At the similarity itself at least nine of ten pairs are found, and nothing is dropped without a partner."""
+    rows = {lower(r.text): r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()}
+    texts, ids = list(rows), list(rows.values())
+    _, pairs = brute_similar_fast(texts)
+    got = {r.doc_id: r.group_id for r in simhash.similar_groups(docs(spark, texts, ids)).collect()}
+    met = sum(got[ids[a]] == got[ids[b]] for a, b in pairs)
+    paired = {ids[i] for p in pairs for i in p}
+    assert pairs and met >= 0.9 * len(pairs)
+    assert all(i in paired for i in ids if got[i] != i)
+
+
+def brute_similar_fast(texts, shingle=5, least=0.8):
+    """The pairs of ``brute_similar``, looked for among texts that share a shingle."""
+    sets, where, pairs = [], {}, set()
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({hash(tuple(w[k : k + shingle])) for k in range(max(1, len(w) - shingle + 1))} if w else set())
+        met = Counter(j for g in sets[i] for j in where.get(g, ()))
+        pairs |= {(j, i) for j, n in met.items() if n >= least * (len(sets[i]) + len(sets[j]) - n)}
+        for g in sets[i]:
+            where.setdefault(g, []).append(i)
+    return None, sorted(pairs)
+
+
+def test_similar_edges(spark):
+    t = prose(5, 60)
+    frame = docs(spark, [t, t + " x", None, "", " ", t, "solo"], [7, 3, 4, 5, 9, None, 8]).withColumn("gone", F.lit(1)).withColumn("group_id", F.lit(2)).withColumn("row", F.lit(3))
+    left = simhash.drop_near_copies(frame)
+    assert left.columns == frame.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["3", "4", "8", "None"]
+    assert all((r.gone, r.group_id, r.row) == (1, 2, 3) for r in left.collect())
+    assert simhash.drop_near_copies(empty(spark)).count() == 0
+    long = " ".join(f"w{i}" for i in range(40_000))
+    assert [r.doc_id for r in simhash.drop_near_copies(docs(spark, [long, "y" + long])).collect()] == [0]
+
+
 # personal data
 
 _RULES = {
@@ -231,56 +293,75 @@ def test_boosted_trees_learn():
 # language model
 
 
-def brute_lm(rows, block=None):
-    """The automaton, state by state: arcs of the state, else its failure arc and an arc of the root."""
+def brute_lm(rows, other=()):
+    """The automaton, token by token: the arc of the state, else its failure arc and the next state's; scores of ``rows`` and of ``other``."""
     token = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), "</s>"]
-    uni, bi = Counter(), Counter()
+    count = Counter()
     for text, training in rows:
         if training:
-            w = token(text)
-            uni.update(w)
-            bi.update(zip(["<s>", *w], w, strict=False))
-    n, v = sum(uni.values()), len(uni)
-    state = lambda h: uni["</s>"] if h == "<s>" else uni[h]
-    kind = lambda c: min(int(math.log10(c)), lm.CLASSES - 1)
-    gain = np.zeros((lm.CLASSES, len(lm.LAMBDAS)))
-    for text, training in rows:
-        if training:
-            w = token(text)
-            for h, x in zip(["<s>", *w], w, strict=False):
-                if state(h) > 1:
-                    rest, back = (bi[h, x] - 1) / (state(h) - 1), uni[x] / (n + v)
-                    gain[kind(state(h))] += np.log10(lm.LAMBDAS * rest + (1 - lm.LAMBDAS) * back)
-    share = lm.LAMBDAS[gain.argmax(axis=1)]
+            w = ["<s>", *token(text)]
+            count.update((x,) for x in w)
+            count.update(zip(w, w[1:], strict=False))
+            count.update(zip(w, w[1:], w[2:], strict=False))
+    n, v = sum(c for g, c in count.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 and g != ("<s>",) for g in count)
+    histories = lambda w: [tuple(w[max(0, i - 2) : i]) for i in range(1, len(w))]
+
+    def p(history, x, masses, less=0):
+        if not history:
+            return (count[x,] + 1 - less) / (n + v + 1 - less)
+        m = masses[len(history) - 1]
+        return (max(count[*history, x] - less, 0) + m * p(history[1:], x, masses, less)) / (max(count[history] - less, 0) + m)
+
+    def walk(history, x, masses):
+        if not history:
+            return math.log10(p((), x, masses))
+        if count[*history, x]:
+            return math.log10(p(history, x, masses))
+        m = masses[len(history) - 1]
+        return math.log10(m / (count[history] + m)) + walk(history[1:], x, masses)
+
+    def gain(masses):
+        total = 0.0
+        for text, training in rows:
+            if training:
+                w = ["<s>", *token(text)]
+                total += sum(math.log10(p(h, x, masses, 1)) for h, x in zip(histories(w), w[1:], strict=True))
+        return total
+
+    masses = max(lm._GRID, key=gain)
     out = []
-    for text, _ in rows:
-        total, h = 0.0, "<s>"
-        for x in token(text):
-            root = (uni[x] + 1) / (n + v + 1)
-            if state(h):
-                s = share[kind(state(h))]
-                total += math.log10(s * bi[h, x] / state(h) + (1 - s) * root) if bi[h, x] else math.log10(1 - s) + math.log10(root)
-            else:
-                total += math.log10(root)
-            h = x
+    for text in [*(t for t, _ in rows), *other]:
         w = token(text)
-        out.append((len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), total))
+        s = sum(walk(h, x, masses) for h, x in zip(histories(["<s>", *w]), w, strict=True))
+        out.append((len(w), sum(count[x,] > 0 for x in w), n, sum(math.log10((count[x,] + 1) / (n + v + 1)) for x in w), s))
     return out
 
 
-@pytest.mark.parametrize("block", [50, 10**6])
-def test_lm(spark, block):
-    texts = [prose(i % 7, 5 + i) for i in range(40)] + [None, "", "Known unknown", "x " * 3000]
+@pytest.mark.parametrize(("block", "ranges", "fan", "teams"), [(50, 10**6, 64, None), (10**6, 100, 4, 2), (60, 40, 8, 3)])
+def test_lm(spark, tmp_path, block, ranges, fan, teams):
+    """Also with several levels of key ranges, and a kept model that scores another table."""
+    texts = [prose(i % 7, 5 + i) for i in range(40)] + [None, "", "Known unknown", "x " * 3000, prose(3, 30), prose(3, 30)]
+    other = [prose(3, 40), "never seen", None, prose(99, 20)]
+    want = brute_lm([(t, i % 4 != 2) for i, t in enumerate(texts)], other)
     rows = docs(spark, texts).withColumn("training", F.lit(3)).withColumn("words", F.lit(1))
-    got = lm.score(rows, training=F.col("doc_id") % 4 != 2, block_tokens=block).collect()
-    want = brute_lm([(t, i % 4 != 2) for i, t in enumerate(texts)])
+    path = str(tmp_path / "model")
+    _, scored = lm.fit(rows, F.col("doc_id") % 4 != 2, path, block_tokens=block, range_tokens=ranges, fan=fan, teams=teams)
+    got = scored.collect()
     assert len(got) == len(texts)
     for r in got:
-        n_tokens, known, n, base, score = want[r.doc_id]
+        n_tokens, known, n, base, s = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.training) == (n_tokens, known, n, r.doc_id % 4 != 2)
-        assert math.isclose(r.base_score, base, abs_tol=1e-6) and math.isclose(r.score, score, abs_tol=1e-6)
-    assert lm.score(empty(spark), training=F.lit(True)).count() == 0
-    none = lm.score(docs(spark, ["a b", None], [None, 1]), training=F.lit(False)).collect()
+        assert math.isclose(r.base_score, base, abs_tol=1e-6) and math.isclose(r.score, s, abs_tol=1e-6)
+    again = lm.score(docs(spark, other), lm.Model.load(spark, path), block_tokens=block).collect()
+    for r in again:
+        n_tokens, known, n, base, s = want[len(texts) + r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.training) == (n_tokens, known, n, False)
+        assert math.isclose(r.base_score, base, abs_tol=1e-6) and math.isclose(r.score, s, abs_tol=1e-6)
+
+
+def test_lm_edges(spark):
+    assert lm.fit(empty(spark), F.lit(True))[1].count() == 0
+    none = lm.fit(docs(spark, ["a b", None], [None, 1]), F.lit(False))[1].collect()
     assert {r.train_tokens for r in none} == {0} and {r.doc_id for r in none} == {None, 1}
 
 
