@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import ascii_lower
+from .util import ascii_lower, packed_rows
 
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_PIECE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
-#: The item windows are broadcast up to this many rows (about 100 bytes each); beyond it the joins are left to shuffle.
-BROADCAST_WINDOWS = 400_000
+#: Windows and their k-grams are broadcast up to this many rows together (a window takes about 100 bytes, a k-gram 16);
+#: beyond it the joins are left to shuffle.
+BROADCAST_ROWS = 2_000_000
+#: A word whatever its case, to count words without making them.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -58,7 +60,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFram
     """Distinct (doc_id, text_hash, start, m, item) of the item windows that occur in documents; start counts words from 0."""
     windows = item_windows(benchmark, size)
     counted = windows.groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``size`` rows
-    hint = F.broadcast if sum(r.n for r in counted) <= BROADCAST_WINDOWS else lambda df: df
+    sent = sum(r.n * (1 + _gram(r.m)[1]) for r in counted)  # each window and the k-grams that it may be found by
+    hint = F.broadcast if sent <= BROADCAST_ROWS else lambda df: df
     grams, probes = [], []
     for m in sorted(r.m for r in counted):
         k, stride = _gram(m)
@@ -106,8 +109,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     )
     hits = hits.select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_text"), "spans", "items", covered.cast("long").alias("hit"))
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words")
-    )
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
+    )
     out = texts.join(hits, texts.doc_id.eqNullSafe(hits.h_id) & (texts.text_hash == hits.h_text), "left")
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return out.select(
@@ -118,23 +122,29 @@ def judge(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     )
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """Null-safe identity of a row's document and text."""
+    return F.struct(F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), F.xxhash64(text).alias("text"))
+
+
 def drop_documents(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    bad = judge(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    return keyed.join(bad, match, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` without the contaminated ones; columns pass as they are, whatever their names."""
+    bad = judge(docs, benchmark, size).filter("contaminated").select(_key_of_judged().alias("bad")).distinct()
+    rows = docs.select(packed_rows(docs).alias("row"))
+    return rows.join(bad, _key(F.col("row.doc_id"), F.col("row.text")) == F.col("bad"), "left_anti").select("row.*")
+
+
+def _key_of_judged() -> Column:
+    return F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("text_hash").alias("text"))
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """``docs`` with the hit words, and the characters up to the next word, cut out of each text."""
-    spans = judge(docs, benchmark, size).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    hits = judge(docs, benchmark, size).filter("n_hit > 0").select(_key_of_judged().alias("hit"), "spans").distinct()
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    pieces = F.regexp_extract_all("text", F.lit(_PIECE.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")), F.lit(0))
-    kept = F.filter(pieces, lambda x, i: ~F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    cut = F.concat(lead, F.array_join(kept, ""))
-    joined = keyed.join(spans, match, "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    pieces = F.regexp_extract_all("text", F.lit(_WORD + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
+    kept = F.filter(pieces, lambda x, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    rows = docs.select(packed_rows(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(hits, _key(F.col("row.doc_id"), F.col("row.text")) == F.col("hit"), "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -1,28 +1,36 @@
 """Exact deduplication as a stateful stream over content digests.
 
-Documents become index rows (digest, doc_id, locator). A Structured Streaming
+Documents become index rows: digest, doc_id and the content's locator, which is
+the file that holds the text and the row in it. A Structured Streaming
 aggregation keyed by digest keeps, in a RocksDB state store and without expiry,
 the digest, the identifier of the document that stays, its locator and a count.
 The aggregation combines rows before its shuffle, so a digest that holds a
 third of all rows reaches its state as one row per task. Hits, that is digests
-seen more than once, are then checked on their full bytes; texts that differ
-under one digest are regrouped by the text itself.
+seen more than once, are then checked on their full bytes, which are fetched by
+their locators from the files that hold any; texts that differ under one digest
+are regrouped by the text itself.
+
+``Store`` goes on from kept state: each arrival meets all earlier ones.
+``dedup`` and ``drop_copies`` judge one table with a store of their own.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty.
 Of equal texts the largest doc_id stays. Rows that repeat both doc_id and text
 are copies too and one of them stays; a null doc_id sorts lowest. An empty
-table gives an empty result. Extra columns are ignored by ``dedup`` and kept by
-``drop_copies``, whatever their names.
+table gives an empty result; texts may be as long as Spark's strings. Extra
+columns are ignored by ``dedup`` and kept by ``drop_copies``, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import ascii_lower, land, remove, settings, work_dir
+from .util import ascii_lower, is_scan, land, packed_rows, remove, settings, work_dir
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -32,127 +40,144 @@ _STATE = {
     # else every one of many small stores reserves megabytes of disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Lets Spark build a Bloom filter of the hit digests, at most 8 MB, so that the texts of other documents are not shuffled.
+#: Lets Spark build a Bloom filter of the hits' locators, at most 8 MB, so that fewer of the other texts are shuffled.
 _BLOOM = {
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
 }
 Digest = Callable[[Column], Column]
+_INDEX = "doc_id long, digest string, file string, row long"
+_GROUPS = "digest string, keep_id long, keep_at struct<file:string,row:long>, group_size long"
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def index_rows(docs: DataFrame, digest: Digest = sha256) -> DataFrame:
-    """One small row per document; ``locator`` addresses that row for good once it is written."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        digest(ascii_lower(F.col("text"))).alias("digest"),
-        F.monotonically_increasing_id().alias("locator"),
-        F.input_file_name().alias("file"),
-    )
+def _rank() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+
+
+def _place(*columns: str) -> list[Column]:
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), *map(F.col, columns)]
 
 
 def state_of(arrivals: DataFrame) -> DataFrame:
     """The keyed state, for a stream or a batch of index rows: one row per digest."""
-    rank = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     return arrivals.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"),
-        F.max_by("locator", rank).alias("keep_locator"),
+        F.max_by(F.struct("file", "row"), _rank()).alias("keep_at"),
         F.count(F.lit(1)).alias("group_size"),
     )
 
 
-def run_stream(spark: SparkSession, arrivals: DataFrame, path: str) -> DataFrame:
-    """Feeds all arrived index rows through the keyed state; returns the last state of each digest.
-
-    ``path`` keeps the stream's checkpoint, so a later call with more arrivals
-    goes on from the same state. A batch that is replayed overwrites its own
-    output, so nothing counts twice.
-    """
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/updates/batch={batch_id}")
-
-    with settings(spark, _STATE):
-        query = (
-            state_of(arrivals).writeStream.outputMode("update").foreachBatch(save)
-            .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+class Store:
+    """Documents seen so far, under one folder of shared storage: index rows, the stream's state and the copies' check."""
+
+    def __init__(self, spark: SparkSession, root: str, digest: Digest = sha256, max_files_per_trigger: int = 10_000) -> None:
+        self.spark, self.root, self.digest, self.files = spark, root.rstrip("/"), digest, max_files_per_trigger
+
+    def add(self, docs: DataFrame) -> None:
+        """Takes in an arrival. Locators of plain Parquet files lead to these, which must stay where they are; of
+        anything else the store writes a copy of the texts."""
+        if not is_scan(docs):
+            texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            docs = land(texts, f"{self.root}/content/{uuid.uuid4().hex}")
+        folders = sorted({unquote(f).rsplit("/", 1)[0] for f in docs.inputFiles()})
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), self.digest(ascii_lower(F.col("text"))).alias("digest"), *_place())
+        if folders:
+            self.spark.createDataFrame([(f,) for f in folders], "folder string").coalesce(1).write.mode("append").parquet(f"{self.root}/folders")
+        rows.write.mode("append").parquet(f"{self.root}/index")
+
+    def index(self) -> DataFrame:
+        return self.spark.read.schema(_INDEX).parquet(f"{self.root}/index")
+
+    def groups(self) -> DataFrame:
+        """Feeds what has arrived since the last call through the keyed state; returns the last state of each digest.
+
+        A batch that is replayed overwrites its own output, so nothing counts twice.
+        """
+        spark, root = self.spark, self.root
+        arrivals = spark.readStream.schema(_INDEX).option("maxFilesPerTrigger", self.files).parquet(f"{root}/index")
+
+        def save(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{root}/updates/batch={batch_id}")
+
+        with settings(spark, _STATE):
+            query = (
+                state_of(arrivals).writeStream.outputMode("update").foreachBatch(save)
+                .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+            )
+            query.awaitTermination()
+        # a digest's count only grows, so the row with the highest count is its last state
+        updates = spark.read.schema(_GROUPS).parquet(f"{root}/updates")
+        return updates.groupBy("digest").agg(
+            F.max_by("keep_id", "group_size").alias("keep_id"), F.max_by("keep_at", "group_size").alias("keep_at"), F.max("group_size").alias("group_size")
+        )
+
+    def result(self) -> DataFrame:
+        """One row per document added so far: doc_id, keep_id, group_size, kept, text_sha256 (the digest), file and row."""
+        spark, path = self.spark, f"{self.root}/{uuid.uuid4().hex}"
+        hits = land(self.groups().filter("group_size > 1"), f"{path}/hits")
+        rows = self.index().join(hits, "digest", "left").select(
+            "doc_id",
+            F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+            F.coalesce(F.struct("file", "row") == F.col("keep_at"), F.lit(True)).alias("kept"),
+            F.col("digest").alias("text_sha256"), "file", "row",
         )
-        query.awaitTermination()
-    updates = spark.read.schema("digest string, keep_id long, keep_locator long, group_size long").parquet(f"{path}/updates")
-    # a digest's count only grows, so the row with the highest count is its last state
-    return updates.groupBy("digest").agg(
-        F.max_by("keep_id", "group_size").alias("keep_id"),
-        F.max_by("keep_locator", "group_size").alias("keep_locator"),
-        F.max("group_size").alias("group_size"),
-    )
-
-
-def dedup(docs: DataFrame, digest: Digest = sha256, max_files_per_trigger: int = 10_000) -> DataFrame:
+        rows = land(rows, f"{path}/rows")
+        copies = rows.filter("group_size > 1")
+        if copies.isEmpty():
+            return rows
+        with settings(spark, _BLOOM):
+            texts = self._fetched(copies).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
+            clashes = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
+            clashes = land(clashes, f"{path}/clashes")
+        if clashes.isEmpty():
+            return rows
+        clashing = F.col("text_sha256") == F.col("digest")
+        return rows.join(clashes, clashing, "left_anti").unionByName(self._regrouped(copies.join(clashes, clashing, "left_semi"), path))
+
+    def _fetched(self, wanted: DataFrame) -> DataFrame:
+        """doc_id, digest, file, row and norm (the normalised text) of the wanted rows, read where their locators say."""
+        folders = [r.folder for r in self.spark.read.schema("folder string").parquet(f"{self.root}/folders").distinct().collect()]
+        texts = self.spark.read.parquet(*sorted(folders)).select(*_place(), ascii_lower(F.col("text")).alias("norm"))
+        texts = texts.withColumn("at", F.xxhash64("file", "row")).drop("file", "row")
+        wanted = wanted.select(F.xxhash64("file", "row").alias("at"), "doc_id", F.col("text_sha256").alias("digest"), "file", "row")
+        # a text that another locator of the same hash brought has another digest
+        return texts.join(wanted, "at").filter(self.digest(F.col("norm")) == F.col("digest")).drop("at")
+
+    def _regrouped(self, wanted: DataFrame, path: str) -> DataFrame:
+        rows = land(self._fetched(wanted), f"{path}/regrouped")
+        groups = rows.groupBy("digest", "norm").agg(
+            F.max("doc_id").alias("keep_id"), F.max_by(F.struct("file", "row"), _rank()).alias("keep_at"), F.count(F.lit(1)).alias("group_size")
+        )
+        groups = land(groups, f"{path}/regroups")
+        return rows.join(groups, ["digest", "norm"]).select(
+            "doc_id", "keep_id", "group_size", (F.struct("file", "row") == F.col("keep_at")).alias("kept"), F.col("digest").alias("text_sha256"), "file", "row"
+        )
+
+
+def _judged(docs: DataFrame, digest: Digest) -> DataFrame:
+    store = Store(docs.sparkSession, work_dir(docs.sparkSession, "exact-dedup"), digest)
+    store.add(docs)
+    rows = store.result()
+    remove(docs.sparkSession, f"{store.root}/updates", f"{store.root}/checkpoint")
+    return rows
+
+
+def dedup(docs: DataFrame, digest: Digest = sha256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (the digest)."""
-    spark = docs.sparkSession
-    path = work_dir(spark, "exact-dedup")
-    index = land(index_rows(docs, digest), f"{path}/index")
-    arrivals = spark.readStream.schema(index.schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(f"{path}/index")
-    groups = run_stream(spark, arrivals, path)
-    hits = land(groups.filter("group_size > 1"), f"{path}/hits")
-    remove(spark, f"{path}/updates", f"{path}/checkpoint")
-
-    rows = index.join(hits, "digest", "left").select(
-        "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("locator") == F.col("keep_locator"), F.lit(True)).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
-    with settings(spark, _BLOOM):
-        clashes = land(_clashes(docs, hits.filter("group_size > 1"), digest), f"{path}/clashes")
-    if clashes.isEmpty():
-        return rows
-    return rows.join(clashes, rows.text_sha256 == clashes.digest, "left_anti").unionByName(_regrouped(docs, clashes, digest, path))
-
-
-def _hit_texts(docs: DataFrame, digests: DataFrame, digest: Digest) -> DataFrame:
-    """The normalised texts of documents whose digest was hit.
-
-    The join is on a prefix of the digest, so that the grouping by full text
-    that follows has an exchange of its own and the join can split hot keys.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.col("text")).alias("norm"))
-    texts = texts.withColumn("digest", digest(F.col("norm"))).withColumn("prefix", F.substring("digest", 1, 16))
-    return texts.join(digests.select(F.substring("digest", 1, 16).alias("prefix")), "prefix", "left_semi").drop("prefix")
-
-
-def _clashes(docs: DataFrame, hits: DataFrame, digest: Digest) -> DataFrame:
-    """Digests under which different texts were found, compared on their full bytes."""
-    texts = _hit_texts(docs, hits, digest).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
-    return texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
-
-
-def _regrouped(docs: DataFrame, clashes: DataFrame, digest: Digest, path: str) -> DataFrame:
-    rows = land(_hit_texts(docs, clashes, digest).withColumn("locator", F.monotonically_increasing_id()), f"{path}/regrouped")
-    rank = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    groups = rows.groupBy("digest", "norm").agg(
-        F.max("doc_id").alias("keep_id"), F.max_by("locator", rank).alias("keep_locator"), F.count(F.lit(1)).alias("group_size")
-    )
-    groups = land(groups, f"{path}/regroups")
-    return rows.join(groups, ["digest", "norm"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    return _judged(docs, digest).drop("file", "row")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts left."""
     spark = docs.sparkSession
-    found = land(dedup(docs), work_dir(spark, "exact-dedup-rows"))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    keyed = docs.withColumn("__text_digest", sha256(ascii_lower(F.col("text"))))
-    stays = found.filter("kept").select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__kept_digest"))
-    same = F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__kept_digest"))
-    repeats = not gone.join(stays, same, "left_semi").isEmpty()
-    if repeats:  # rows that repeat id and text: leave one of them
-        gone = gone.join(stays, same, "left_anti")
-        keyed = keyed.dropDuplicates(["doc_id", "__text_digest"])
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_digest") == F.col("__digest"))
-    return keyed.join(gone, match, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    if not is_scan(docs):
+        docs = land(docs, work_dir(spark, "exact-dedup-docs"))
+    gone = _judged(docs, sha256).filter(~F.col("kept")).select("file", "row")
+    gone = land(gone, work_dir(spark, "exact-dedup-gone"))
+    rows = docs.select(packed_rows(docs).alias("packed"), F.struct(*_place()).alias("place"))
+    return rows.join(gone, (F.col("place.file") == F.col("file")) & (F.col("place.row") == F.col("row")), "left_anti").select("packed.*")

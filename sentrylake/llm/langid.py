@@ -15,11 +15,14 @@ keys, addresses) belong to no language and do not count there while other words
 are left. A score below half of what that share of the correctly predicted rows
 fall short of is rejected too.
 
-Training uses at most ``SAMPLE_ROWS`` labelled rows (a documented bound), those
-with the smallest hash of their id; whole texts are used, in training and in
-prediction. A null text, or one without a letter, is ``und`` with score 0 and
-rejected. Without any labelled row everything is ``und``. Empty tables give
-empty results, repeated rows one result each, other columns are ignored.
+Training uses at most ``SAMPLE_ROWS`` labelled rows of at most ``SAMPLE_CHARS``
+characters (documented bounds), of every language as many, those with the
+smallest hash; so a rare language is learned from all its rows. Whole texts are
+used, in training and in prediction, where they may be of any length. A null
+text, or one without a letter, is ``und`` with score 0 and rejected. Without any
+labelled row everything is ``und``. Of equally likely languages the first by
+name is taken. Empty tables give empty results, repeated rows one result each,
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from .util import map_texts
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 3000
+SAMPLE_CHARS = 20_000
 _DIM = 16
 _EPOCHS = 6
 _STEP = 1 << 18
@@ -179,16 +183,28 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     return model
 
 
+def sample(docs: DataFrame, training: Column, rows: int) -> list[tuple[str, str]]:
+    """(text, lang) of at most ``rows`` labelled rows for which ``training`` holds, the same number of every language that has so many."""
+    known = docs.filter(training & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    known = known.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("order"), F.col("text"), F.col("lang").cast("string").alias("lang"))
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    if not counted:
+        return []
+    each, scale = max(1, rows // len(counted)), 1 << 40
+    # a share of each language that holds its smallest hashes for certain, or nearly so
+    most = {r.lang: scale if r.n <= 2 * each else int(scale * min(1.0, (each + 8 * each**0.5 + 16) / r.n)) for r in counted}
+    chosen = F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("lang"))
+    near = known.filter(F.coalesce(F.pmod("order", F.lit(scale)) < chosen, F.lit(False)))
+    out: dict[str, list] = {g: [] for g in most}
+    for r in sorted(near.select(F.pmod("order", F.lit(scale)).alias("order"), "lang", "text").limit(4 * rows + 32 * len(most)).collect()):
+        if len(out[r.lang]) < each:
+            out[r.lang].append((r.text, r.lang))
+    return [x for rs in out.values() for x in rs]
+
+
 def fit(docs: DataFrame, training: Column, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Trains on a bounded sample of the rows of ``docs`` for which ``training`` holds and lang is known."""
-    rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("__order", F.xxhash64(F.col("doc_id").cast("string")))
-    # ids first: only the bounded sample's texts are sent to the driver
-    first = rows.select("__order").orderBy("__order").limit(sample_rows).agg(F.max("__order")).first()[0]
-    if first is None:
-        return None
-    found = rows.filter(F.col("__order") <= first).select("__order", "text", "lang").limit(sample_rows).collect()
-    return train([(r.text, r.lang) for r in sorted(found)])
+    return train(sample(docs, training, sample_rows))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

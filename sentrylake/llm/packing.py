@@ -50,11 +50,18 @@ WEIGHTS = (1.0, 0.02, 0.02)
 _REPACK_BELOW = 0.97
 
 
+@cache
+def whole_tokenizer(path: str):
+    """The tokenizer of a file; one per Python worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @cache
 def encoder(tokenizer_json: str, ranks_file: str, pattern: str) -> Callable[[str], np.ndarray]:
     """The encoding function of a byte-level BPE; one per Python worker, with a bounded memo."""
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -74,7 +81,7 @@ def encoder(tokenizer_json: str, ranks_file: str, pattern: str) -> Callable[[str
 
     def encode(text: str) -> np.ndarray:
         if _SPECIAL in text:
-            return np.array(Tokenizer.from_file(tokenizer_json).encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(whole_tokenizer(tokenizer_json).encode(text, add_special_tokens=False).ids, dtype="<u4")
         if text[:1] == " " or text[-1:] == " " or _WHITE(text):
             return np.array(plain(text), dtype="<u4")
         head, *rest = text.split(" ")

@@ -9,12 +9,15 @@ and writes them side by side (``coalesce``), so it neither shuffles nor sorts.
 The table is what the newest manifest lists. A manifest is a JSON file whose
 name is its version; it is written aside and renamed to its name, which fails
 if another writer took the version first, so that a commit happens wholly or
-not at all, and the loser tries again on the newer version. Files that no
-manifest lists, such as those of a lost job, are never read.
+not at all, and the loser tries again on the newer version. That holds where
+the file system renames without overwriting in one step, as HDFS does; local
+disks and object stores look first and rename then, so there one writer at a
+time must commit. Files that no manifest lists, such as those of a lost job,
+are never read, and ``clean`` removes them once they are old.
 
 An empty arrival adds no run, and a store of nothing else reads as an empty
-table; all columns and nulls are kept as they
-come, repeated rows are kept too. All arrivals of a store share its schema; a
+table; all columns, whatever their names, and nulls are kept as they come, texts
+may be as long as Parquet holds, repeated rows are kept too. All arrivals of a store share its schema; a
 different one is refused.
 """
 
@@ -23,7 +26,9 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +39,8 @@ from .util import hadoop_path, remove
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
 _BASE_BYTES = 1 << 20
-_ARRIVAL = "shard_arrival_number"
+#: Groups of runs that one job merges side by side, and jobs at a time.
+_GROUPS, _JOBS = 64, 4
 
 
 @dataclass(frozen=True)
@@ -119,7 +125,8 @@ class ShardStore:
         if number is None:
             number = F.lit(0)
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        arrivals.withColumn(_ARRIVAL, number).write.partitionBy(_ARRIVAL).parquet(folder)
+        name = f"arrival_{uuid.uuid4().hex}"  # the name of no column
+        arrivals.withColumn(name, number).write.partitionBy(name).parquet(folder)
         fs, p = hadoop_path(self.spark, folder)
         names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
         names.sort(key=lambda n: int(n.split("=")[1]))
@@ -130,33 +137,58 @@ class ShardStore:
 
         return self._change(arrivals.schema.json(), add)
 
-    def due(self, runs: list[Run]) -> list[Run]:
-        """The oldest ``fan_in`` runs of the lowest tier that has so many below the target size."""
+    def due(self, runs: list[Run]) -> list[list[Run]]:
+        """Groups of ``fan_in`` runs to merge: of each tier below the target size the oldest, as often as it is full."""
         tiers: dict[int, list[Run]] = {}
         for r in sorted(runs, key=lambda r: r.order):
             if r.bytes < r.files * self.target_bytes / 2 or r.files == 0:
                 tiers.setdefault(r.tier(self.fan_in), []).append(r)
-        return next((rs[: self.fan_in] for _, rs in sorted(tiers.items()) if len(rs) >= self.fan_in), [])
+        full = [(rs, i) for _, rs in sorted(tiers.items()) for i in range(0, len(rs) - self.fan_in + 1, self.fan_in)]
+        return [rs[i : i + self.fan_in] for rs, i in full]
+
+    def _merge(self, groups: list[list[Run]], schema: str) -> list[Run]:
+        """Each group as one run of target-sized shards; one job, with tasks of its own for every group."""
+        folder, name = f"{self.root}/data/{uuid.uuid4().hex}", f"group_{uuid.uuid4().hex}"
+        parts = [
+            self._read(g, schema).coalesce(max(1, -(-sum(r.bytes for r in g) // self.target_bytes))).withColumn(name, F.lit(i)) for i, g in enumerate(groups)
+        ]
+        reduce(DataFrame.unionAll, parts).write.partitionBy(name).parquet(folder)
+        fs, p = hadoop_path(self.spark, folder)
+        held = {s.getPath().getName() for s in fs.listStatus(p)}
+        paths = [f"{folder}/{name}={i}" for i in range(len(groups))]
+        return [self._measured(x, g[0].order) for x, g in zip(paths, groups, strict=True) if x.rsplit("/", 1)[1] in held]
 
     def compact(self, vacuum: bool = True) -> dict:
-        """Merges until no tier is full; each merge is a commit of its own."""
+        """Merges until no tier is full. All groups that are due are merged side by side and committed together."""
         now = self.manifest()
-        while group := self.due(now["runs"]):
-            total = sum(r.bytes for r in group)
-            path = f"{self.root}/data/{uuid.uuid4().hex}/merged"
-            self._read(group, now["schema"]).coalesce(max(1, -(-total // self.target_bytes))).write.parquet(path)
-            merged, gone = self._measured(path, group[0].order), set(group)
+        while groups := self.due(now["runs"]):
+            batches = [groups[i : i + _GROUPS] for i in range(0, len(groups), _GROUPS)]
+            with ThreadPoolExecutor(_JOBS) as pool:
+                merged = [r for rs in pool.map(lambda b, s=now["schema"]: self._merge(b, s), batches) for r in rs]
+            gone = {r for g in groups for r in g}
 
-            def swap(runs: list[Run], merged: Run = merged, gone: set[Run] = gone) -> list[Run]:
+            def swap(runs: list[Run], merged: list[Run] = merged, gone: set[Run] = gone) -> list[Run]:
                 if not gone <= set(runs):
                     return runs  # another compaction was faster
-                return [r for r in runs if r not in gone] + [merged]
+                return [r for r in runs if r not in gone] + merged
 
             now = self._change(now["schema"], swap)
             if vacuum:
-                remove(self.spark, *[r.path for r in group if r not in now["runs"]])
+                kept = {r.path for r in now["runs"]}
+                remove(self.spark, *[r.path for r in gone if r.path not in kept])
         return now
 
+    def clean(self, older_than_ms: int = 24 * 3_600_000) -> list[str]:
+        """Removes data folders that no manifest lists and that are older than any job may run; returns them."""
+        fs, p = hadoop_path(self.spark, f"{self.root}/data")
+        listed = {r.path.split("/data/")[1].split("/")[0] for v in self.versions() for r in self.manifest(v)["runs"]}
+        now, old = self.spark._jvm.java.lang.System.currentTimeMillis(), []
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            if s.getPath().getName() not in listed and now - s.getModificationTime() > older_than_ms:
+                old.append(f"{self.root}/data/{s.getPath().getName()}")
+        remove(self.spark, *old)
+        return old
+
     def _read(self, runs: list[Run], schema: str) -> DataFrame:
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*[r.path for r in runs])
 

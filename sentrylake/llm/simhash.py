@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .util import land, map_texts, remove, work_dir
+from .util import land, map_texts, packed_rows, remove, work_dir
 
 MAX_BITS = 3
 GROUP_LIMIT = 512
@@ -451,5 +451,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """
     gone = similar_groups(docs, shingle, similarity).filter("doc_id <> group_id").select(F.col("doc_id").alias("gone"))
     gone = land(gone.distinct(), work_dir(docs.sparkSession, "similar-dropped"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(packed_rows(docs).alias("row"))
     return rows.join(gone, F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti").select("row.*")

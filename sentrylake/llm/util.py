@@ -16,6 +16,9 @@ from ..session import ship
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_made: list[list[str]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +36,25 @@ def work_dir(spark: SparkSession, name: str) -> str:
         else:
             root = spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the work folders made inside the block at its end; what is still needed must have been written elsewhere."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_made.pop())
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is files as they are, so that a row's file and place in it lead back to its columns."""
+    return df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
 
 
 def land(df: DataFrame, path: str) -> DataFrame:
@@ -80,6 +101,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
+def packed_rows(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that none of their names can clash with helper columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
