@@ -25,9 +25,9 @@ the finer ranges. A model kept by ``fit`` scores other tables with ``score``.
 
 Text is lower-cased A-Z; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end.
 A null or empty text is the end alone. Words are told apart by 64-bit hashes and
-longer n-grams by hashes of 24 bits more than the corpus needs to number its
-tokens (63 at most), so that counts are exact up to collisions, which at most
-one n-gram in some millions has. Rows that repeat count and are scored as often
+longer n-grams by hashes of 20 bits more than the corpus needs to number its
+tokens (63 at most), so that counts are exact up to collisions, which about one
+n-gram in a million has. Rows that repeat count and are scored as often
 as they occur; of equally likely masses the smallest are taken; other columns
 are ignored; an empty table gives an empty result, an empty training part gives
 every token 1/(N+V+1).
@@ -51,9 +51,9 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .util import land, remove, work_dir
 
-BLOCK_TOKENS = 1_200_000
+BLOCK_TOKENS = 600_000
 #: Tokens of the corpus for each key range.
-RANGE_TOKENS = 1_500_000
+RANGE_TOKENS = 1_000_000
 #: Rows that a block, or a group of blocks, sends at most.
 FAN = 4096
 MASSES = (1.0, 6.0, 36.0)
@@ -75,8 +75,8 @@ def encode(docs: DataFrame, training: Column, block_tokens: int = BLOCK_TOKENS)
 
         def flush() -> pa.RecordBatch:
             hashes = np.array([_END, _START, *map(xxhash.xxh64_intdigest, number)], dtype="<u8")
-            kind = "<u2" if len(hashes) <= 1 << 16 else "<u4"
-            packed = zstandard.compress(b"".join(x.astype(kind).tobytes() for x in tokens), 1)
+            # byte by byte, as common words have small numbers
+            packed = zstandard.compress(np.ascontiguousarray(np.concatenate(tokens).view("u1").reshape(-1, 4).T).tobytes(), 1)
             row = [[part << 32 | made], [ids], [train], [lens], [hashes.tobytes()], [packed]]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, _BLOCK.values(), strict=True)], list(_BLOCK))
 
@@ -111,8 +111,8 @@ class Block:
     def __init__(self, row, shift: int) -> None:
         self.lens = np.asarray(row.n_tokens, dtype=np.int64)
         self.hashes = np.frombuffer(row.words, dtype="<u8")
-        raw = zstandard.decompress(row.tokens)
-        self.word = np.frombuffer(raw, dtype="<u2" if len(self.hashes) <= 1 << 16 else "<u4").astype(np.int64)
+        raw = np.frombuffer(zstandard.decompress(row.tokens), "u1").reshape(4, -1)
+        self.word = np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
         width, first = len(self.hashes), np.cumsum(self.lens) - self.lens
         history = np.empty_like(self.word)
         history[1:] = self.word[:-1]
@@ -195,7 +195,7 @@ class Shape:
     @staticmethod
     def of(tokens: int, range_tokens: int = RANGE_TOKENS, fan: int = FAN) -> Shape:
         cuts = max(min(64, fan), -(-tokens // range_tokens))
-        return Shape(min(63, 24 + max(tokens, 2).bit_length()), min(cuts, fan), -(-cuts // fan))
+        return Shape(min(63, 20 + max(tokens, 2).bit_length()), min(cuts, fan), -(-cuts // fan))
 
 
 def _cut(words: tuple, grams: tuple, bits: int, first: int, last: int, cuts: int) -> Iterator[tuple]:
