@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
             detection.write_alerts(alerts, out)
         if config.console:
             print(detection.show(alerts))
-        for r in detect.summary(alerts).collect():
+        for r in report.summary.collect():
             print(f"{r.section} {r['name']}: {r.alerts}")
         for r in report.skipped.orderBy("rule_id", "field").collect():
             print(f"skipped by {r.rule_id} for want of {r.field}: {r.skipped}")

@@ -56,6 +56,12 @@ def is_dga(label: Column) -> Column:
     return F.coalesce((F.length(label) > DGA_LENGTH) & (entropy(label) > DGA_ENTROPY), F.lit(False))
 
 
+def canonical_text(value: Column) -> Column:
+    """Text; an object or a list with the keys of its objects in order and without white space, so that equal ones are one text."""
+    s = value.cast("string")
+    return F.when(s.rlike(r"^\s*[\[{]"), F.coalesce(F.to_json(F.try_parse_json(s)), s)).otherwise(s)
+
+
 def severity_rank(severity: Column) -> Column:
     """0 for low to 3 for critical; null for anything else."""
     at = F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)

@@ -2,11 +2,15 @@
 
 An event can satisfy several rules; one scan turns it into one hit per rule.
 Whether a rule could fire at a hit depends only on the hits before it, so
-candidates come from window functions (threshold, match) or one ordered pass
-(distinct count, sequence). What remains is a small fold over candidates: a
-window restarts after the alert that it raised, and an alert is suppressed for
-``dedupe`` seconds after the last one of its key. State never spans keys, and
-passes stream over sorted partitions, so no group is held in memory.
+window functions find candidates. Candidates of a key that lie further apart
+than the rule's window and the throttle have nothing to do with each other:
+they make sessions of their own. A session of one match or threshold candidate
+is an alert as it stands; a session that cannot hold enough values, or the last
+step of a sequence, is left out; only the other ones go through a fold, which
+restarts a window after the alert that it raised and suppresses alerts for
+``dedupe`` seconds after the last one of the key. Folds stream over sorted
+partitions dealt by session, so no group is held in memory and a busy group is
+many sessions.
 """
 
 from __future__ import annotations
@@ -18,10 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SEVERITIES
+from ..functions.text import SEVERITIES, canonical_text
 from ..functions.timestamps import iso_utc
 from ..session import ship
 from .conditions import Fields, matches, split_key
+from .folds import Trail
 from .rules import Rule
 
 _FIRED = "rule int, group_key string, pos long, ts_us long, first long, evidence_count int, picked array<long>, emitted boolean"
@@ -49,7 +54,7 @@ def hits(events: DataFrame, rules: Sequence[Rule], fields: Fields, raw: Column)
     fields = lambda n: F.col(at[n])
     made = []
     for r in rules:
-        values = [fields(f).cast("string") for f in r.group_by]
+        values = [canonical_text(fields(f)) for f in r.group_by]
         steps = [matches(s.conditions, None, None, fields) for s in r.steps]
         missing = F.array_compact(F.array(*[F.when(v.isNull(), F.lit(f)) for f, v in zip(r.group_by, values, strict=True)])) if values else F.array()
         filled = [F.coalesce(v, F.lit("unknown" if r.type == "match" else "")) for v in values]
@@ -67,7 +72,7 @@ def hits(events: DataFrame, rules: Sequence[Rule], fields: Fields, raw: Column)
                     group.cast("map<string,string>").alias("group"),
                     F.to_json(F.array(*filled)).alias("group_key") if filled else F.lit("").alias("group_key"),
                     (F.array().cast("array<string>") if r.type == "match" else missing.cast("array<string>")).alias("missing"),
-                    (fields(r.field).cast("string") if r.field else F.lit(None).cast("string")).alias("value"),
+                    (canonical_text(fields(r.field)) if r.field else F.lit(None).cast("string")).alias("value"),
                     F.array(*steps).cast("array<boolean>").alias("steps"),
                 ),
             )
@@ -94,7 +99,7 @@ def _positions(found: DataFrame) -> DataFrame:
 
 
 def _pass(rows: DataFrame, step: Callable[[int], Callable], schema: str) -> DataFrame:
-    """Runs ``step(rule)`` on each key's rows in order and streams what it returns; the key's state is the closure's own."""
+    """Runs ``step(rule)`` on each session's rows in order and streams what it returns; a session's state is the closure's own."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,13 +107,13 @@ def _pass(rows: DataFrame, step: Callable[[int], Callable], schema: str) -> Data
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                if (row.rule, row.group_key) != key:
-                    key, each = (row.rule, row.group_key), step(int(row.rule))
+                if (row.rule, row.group_key, row.session) != key:
+                    key, each = (row.rule, row.group_key, row.session), step(int(row.rule))
                 if (made := each(row)) is not None:
                     out.append(made)
             yield pd.DataFrame(out, columns=names)
 
-    ordered = rows.repartition("rule", "group_key").sortWithinPartitions("rule", "group_key", "pos")
+    ordered = rows.repartition("rule", "group_key", "session").sortWithinPartitions("rule", "group_key", "session", "pos")
     return ordered.mapInPandas(run, schema)
 
 
@@ -132,25 +137,11 @@ def _distinct(rule: Rule) -> Callable:
 
 def _sequence(rule: Rule) -> Callable:
     """Gives the positions that a sequence is made of at the row that completes it."""
-    at, count, since, picked = 0, 0, None, []
-    span = rule.window * 1_000_000
+    trail = Trail(rule)
 
     def start(row):
-        nonlocal at, count, since, picked
-        if since is not None and row.ts_us - since > span:
-            at, count, since, picked = 0, 0, None, []
-        if not row.steps[at]:
-            return None
-        since = row.ts_us if since is None else since
-        picked.append(row.pos)
-        count += 1
-        if count >= rule.steps[at].count:
-            at, count = at + 1, 0
-        if at < len(rule.steps):
-            return None
-        found = picked
-        at, count, since, picked = 0, 0, None, []
-        return row.pos, found
+        found = trail.add(row.ts_us, None, row.steps, row.pos)
+        return None if found is None else (row.pos, [p for _, _, p in found])
 
     return start
 
@@ -162,7 +153,7 @@ def _counted(rule: Rule) -> Callable:
 
 
 def _chain(rules: Sequence[Rule], dedupe: int) -> Callable[[int], Callable]:
-    """The fold of one key: a window restarts after its alert, and the throttle counts from the last alert."""
+    """The fold of one session: a window restarts after its alert, and the throttle counts from the last alert."""
     by_order = {r.order: r for r in rules}
     kinds = {"distinct_count": _distinct, "sequence": _sequence}
 
@@ -189,31 +180,47 @@ def _chain(rules: Sequence[Rule], dedupe: int) -> Callable[[int], Callable]:
     return new
 
 
-def candidates(placed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Rows that the fold needs, with ``low``, the last position that the window has left behind.
-
-    Of match and threshold rules these are the rows that could fire; distinct
-    counts and sequences need all of theirs.
-    """
-    order = Window.partitionBy("rule", "group_key").orderBy("ts_us", "pos")
-    behind = Window.partitionBy("rule", "group_key").orderBy("ts_us")
+def candidates(placed: DataFrame, rules: Sequence[Rule], dedupe: int) -> DataFrame:
+    """Rows that could fire, or that decide about one that could, with their ``session`` and ``low``, the last position
+    that the window has left behind; ``alone`` marks those that are an alert as they stand."""
+    key = Window.partitionBy("rule", "group_key")
+    order, behind = key.orderBy("ts_us", "pos"), key.orderBy("ts_us")
     of = lambda rs: F.col("rule").isin([r.order for r in rs])
-    windowed = [r for r in rules if r.type in ("threshold", "distinct_count")]
-    rows = placed.select("rule", "group_key", "pos", "ts_us", "value", "steps").withColumn("low", F.col("pos") - 1).withColumn("fires", F.lit(True))
-    for window in sorted({r.window for r in windowed}):
+    kind = lambda *types: [r for r in rules if r.type in types]
+    rows = placed.select("rule", "group_key", "pos", "ts_us", "value", "steps").withColumn("low", F.col("pos") - 1)
+    for window in sorted({r.window for r in kind("threshold", "distinct_count")}):
         n = F.count(F.lit(1)).over(behind.rangeBetween(Window.unboundedPreceding, -window * 1_000_000 - 1))
-        rows = rows.withColumn("low", F.when(of([r for r in windowed if r.window == window]), n).otherwise(F.col("low")))
-    for n, window in sorted({(r.threshold, r.window) for r in rules if r.type == "threshold" and r.threshold > 1}):
-        mine = [r for r in rules if (r.type, r.threshold, r.window) == ("threshold", n, window)]
+        mine = [r for r in kind("threshold", "distinct_count") if r.window == window]
+        rows = rows.withColumn("low", F.when(of(mine), n).otherwise(F.col("low")))
+    for n, window in sorted({(r.threshold, r.window) for r in kind("threshold") if r.threshold > 1}):
+        mine = [r for r in kind("threshold") if (r.threshold, r.window) == (n, window)]
         near = F.coalesce(F.col("ts_us") - F.lag("ts_us", n - 1).over(order) <= window * 1_000_000, F.lit(False))
-        rows = rows.withColumn("fires", F.when(of(mine), near).otherwise(F.col("fires")))
-    return rows.filter("fires").drop("fires")
+        rows = rows.withColumn("fires", near).filter(~of(mine) | F.col("fires")).drop("fires")
+    apart = _by_rule(rules, lambda r: max(0 if r.type == "match" else r.window * 1_000_000, dedupe - 1))
+    begins = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(order) > apart, F.lit(True))
+    rows = rows.withColumn("session", F.sum(begins.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("rule", "group_key", "session")
+    if counted := kind("distinct_count"):
+        new = F.col("value").isNotNull() & (F.row_number().over(Window.partitionBy("rule", "group_key", "session", "value").orderBy("pos")) == 1)
+        rows = rows.withColumn("new", new & of(counted)).withColumn("values", F.sum(F.col("new").cast("long")).over(whole))
+        rows = rows.filter(~of(counted) | (F.col("values") >= _by_rule(rules, lambda r: r.threshold))).drop("new", "values")
+    if steps := kind("sequence"):
+        last = F.coalesce(F.get("steps", _by_rule(rules, lambda r: max(0, len(r.steps) - 1))), F.lit(False))
+        rows = rows.withColumn("ends", F.max(last & of(steps)).over(whole)).filter(~of(steps) | F.col("ends")).drop("ends")
+    alone = of(kind("match", "threshold")) & (F.lit(dedupe == 0) & of(kind("match")) | (F.count(F.lit(1)).over(whole) == 1))
+    return rows.withColumn("alone", alone)
 
 
 def fire(found: DataFrame, rules: Sequence[Rule], dedupe_seconds: int) -> tuple[DataFrame, DataFrame]:
     """Numbered hits, and the attempted alerts: emitted ones and suppressed ones."""
-    placed = _positions(found)
-    return placed, _pass(candidates(placed, rules), _chain(rules, dedupe_seconds * 1_000_000), _FIRED)
+    placed, dedupe = _positions(found), dedupe_seconds * 1_000_000
+    rows = candidates(placed, rules, dedupe)
+    simple = all(r.type == "match" for r in rules) and not dedupe
+    alone = (rows if simple else rows.filter("alone")).select(
+        "rule", "group_key", "pos", "ts_us", F.col("low").alias("first"), (F.col("pos") - F.col("low")).cast("int").alias("evidence_count"),
+        F.lit(None).cast("array<long>").alias("picked"), F.lit(True).alias("emitted"),
+    )
+    return placed, alone if simple else alone.unionByName(_pass(rows.filter("NOT alone").drop("alone"), _chain(rules, dedupe), _FIRED))
 
 
 def active(rules: Sequence[Rule], min_severity: str = "low") -> list[Rule]:
@@ -221,51 +228,61 @@ def active(rules: Sequence[Rule], min_severity: str = "low") -> list[Rule]:
     return [r for r in rules if SEVERITIES.index(r.severity) >= SEVERITIES.index(min_severity)]
 
 
-def alerts(found: DataFrame, rules: Sequence[Rule], dedupe_seconds: int = 120, evidence_limit: int = 5, min_severity: str = "low") -> DataFrame:
-    """Alerts in the order (time, arrival, rule).
+def described(fired: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Alerts (rule, group_key, ts_us, pos, evidence_count, evidence) with all that their rules say.
 
     ``alert_id`` is a hash of rule, group, time and place, so that it is the same in every run.
-    Evidence is the last ``evidence_limit`` events; 0 means all of them.
     """
+    get = lambda f: _by_rule(rules, f)
+    listed = lambda f: F.element_at(F.create_map(*[x for r in rules for x in (F.lit(r.order), F.array(*map(F.lit, f(r))).cast("array<string>"))]), F.col("rule"))
+    values = F.coalesce(F.from_json("group_key", "array<string>"), F.array().cast("array<string>"))
+    return fired.select(
+        F.substring(F.sha2(F.concat_ws("|", get(lambda r: r.id), "group_key", "ts_us", "pos"), 256), 1, 8).alias("alert_id"),
+        get(lambda r: r.id).alias("rule_id"), get(lambda r: r.name).alias("rule_name"), get(lambda r: r.severity).alias("severity"),
+        get(lambda r: r.description).alias("description"), get(lambda r: r.recommendation).alias("recommendation"), listed(lambda r: r.mitre).alias("mitre"),
+        F.map_from_arrays(listed(lambda r: r.group_by), values).alias("group"), "group_key", iso_utc(F.col("ts_us")).alias("event_time"),
+        F.timestamp_micros("ts_us").alias("event_ts"), "evidence_count", "evidence",
+    )
+
+
+def alerts(found: DataFrame, rules: Sequence[Rule], dedupe_seconds: int = 120, evidence_limit: int = 5, min_severity: str = "low") -> DataFrame:
+    """Alerts in the order (time, arrival, rule)."""
     rules = active(rules, min_severity)
-    placed, fired = fire(found.filter(F.col("rule").isin([r.order for r in rules])), rules, dedupe_seconds)
-    fired = fired.filter("emitted")
+    return alerts_of(*fire(found.filter(F.col("rule").isin([r.order for r in rules])), rules, dedupe_seconds), rules, evidence_limit)
+
+
+def alerts_of(placed: DataFrame, fired: DataFrame, rules: Sequence[Rule], evidence_limit: int = 5) -> DataFrame:
+    """Alerts of what ``fire`` gives. Evidence is the last ``evidence_limit`` events; 0 means all of them."""
+    last = max(1, evidence_limit)
     lowest = F.greatest(F.col("first") + 1, F.col("pos") - (evidence_limit - 1 if evidence_limit else 1 << 40))
-    picked = F.when(F.lit(evidence_limit > 0), F.slice("picked", -F.least(F.size("picked"), F.lit(max(1, evidence_limit))), F.lit(max(1, evidence_limit)))).otherwise(F.col("picked"))
-    wanted = fired.withColumn("at", F.explode(F.when(F.col("picked").isNotNull(), picked).otherwise(F.sequence(lowest, F.col("pos")))))
-    shown = placed.select("rule", "group_key", F.col("pos").alias("at"), "raw", "group", F.col("seq").alias("at_seq"))
-    rows = wanted.join(shown, ["rule", "group_key", "at"])
-    one = rows.groupBy("rule", "group_key", "pos", "ts_us", "evidence_count").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda x: x["raw"]).alias("evidence"),
-        F.first("group").alias("group"), F.max("at_seq").alias("seq"),
-    )
-    text = {r.order: r for r in rules}
-    get = lambda f: _by_rule(list(text.values()), f)
-    mitre = F.element_at(F.create_map(*[x for r in rules for x in (F.lit(r.order), F.array(*map(F.lit, r.mitre)).cast("array<string>"))]), F.col("rule"))
-    alert_id = F.substring(F.sha2(F.concat_ws("|", get(lambda r: r.id), "group_key", "ts_us", "pos"), 256), 1, 8)
-    return one.select(
-        alert_id.alias("alert_id"), get(lambda r: r.id).alias("rule_id"), get(lambda r: r.name).alias("rule_name"), get(lambda r: r.severity).alias("severity"),
-        get(lambda r: r.description).alias("description"), get(lambda r: r.recommendation).alias("recommendation"), mitre.alias("mitre"),
-        "group", "group_key", iso_utc(F.col("ts_us")).alias("event_time"), F.timestamp_micros("ts_us").alias("event_ts"), "evidence_count", "evidence", "rule", "seq",
-    ).orderBy("event_ts", "seq", "rule").drop("seq", "rule")
+    picked = F.slice("picked", -F.least(F.size("picked"), F.lit(last)), F.lit(last)) if evidence_limit else F.col("picked")
+    wanted = fired.filter("emitted").withColumn("at", F.explode(F.when(F.col("picked").isNotNull(), picked).otherwise(F.sequence(lowest, F.col("pos")))))
+    shown = placed.select("rule", "group_key", F.col("pos").alias("at"), "raw", F.col("seq").alias("at_seq"))
+    one = wanted.join(shown, ["rule", "group_key", "at"]).groupBy("rule", "group_key", "pos", "ts_us", "evidence_count").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda x: x["raw"]).alias("evidence"), F.max("at_seq").alias("seq")
+    )
+    return described(one.orderBy("ts_us", "seq", "rule"), rules)
 
 
 def suppressed(found: DataFrame, rules: Sequence[Rule], dedupe_seconds: int = 120) -> DataFrame:
     """How many alerts of each rule the throttle held back: rule_id, suppressed."""
-    _, fired = fire(found, rules, dedupe_seconds)
-    lost = fired.filter(~F.col("emitted"))
-    return lost.groupBy(_by_rule(rules, lambda r: r.id).alias("rule_id")).agg(F.count(F.lit(1)).alias("suppressed"))
+    return suppressed_of(fire(found, rules, dedupe_seconds)[1], rules)
 
 
-def summary(alerts: DataFrame) -> DataFrame:
-    """Alert counts by severity (critical first) and by rule (most first, then by id): section, name, alerts."""
-    rank = F.array_position(F.array(*map(F.lit, reversed(SEVERITIES))), F.col("name"))
-    by_severity = alerts.groupBy(F.col("severity").alias("name")).agg(F.count(F.lit(1)).alias("alerts")).select(F.lit("severity").alias("section"), "name", "alerts", rank.cast("long").alias("k"))
-    by_rule = alerts.groupBy(F.col("rule_id").alias("name")).agg(F.count(F.lit(1)).alias("alerts")).select(F.lit("rule").alias("section"), "name", "alerts", (-F.col("alerts")).alias("k"))
-    return by_severity.unionByName(by_rule).orderBy(F.desc("section"), "k", "name").drop("k")
+def suppressed_of(fired: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    lost = fired.filter(~F.col("emitted"))
+    return lost.groupBy(_by_rule(rules, lambda r: r.id).alias("rule_id")).agg(F.count(F.lit(1)).alias("suppressed"))
 
 
-def evidence_tail(items: Column, limit: int) -> Column:
-    """The last ``limit`` entries, without keys that start with an underscore; 0 means all."""
-    tail = items if limit == 0 else F.slice(items, -F.least(F.size(items), F.lit(limit)), F.lit(limit))
-    return F.transform(F.when(F.size(items) == 0, items).otherwise(tail), lambda m: F.map_filter(m, lambda k, v: ~k.startswith("_")))
+def summary(fired: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Alert counts, of what ``fire`` gives, by severity (critical first) and by rule (most first, then by id): section, name, alerts."""
+    by_rule = fired.filter("emitted").groupBy("rule").agg(F.count(F.lit(1)).alias("alerts"))
+    by_rule = by_rule.select(_by_rule(rules, lambda r: r.id).alias("id"), _by_rule(rules, lambda r: r.severity).alias("severity"), "alerts")
+    rank = F.array_position(F.array(*map(F.lit, reversed(SEVERITIES))), F.col("severity"))
+    both = F.explode(F.array(
+        F.struct(F.lit("severity").alias("section"), F.col("severity").alias("name"), rank.cast("long").alias("k")),
+        F.struct(F.lit("rule").alias("section"), F.col("id").alias("name"), F.lit(0).cast("long").alias("k")),
+    ))
+    counted = by_rule.select(both.alias("x"), "alerts").groupBy("x.section", "x.name", "x.k").agg(F.sum("alerts").alias("alerts"))
+    k = F.when(F.col("section") == "rule", -F.col("alerts")).otherwise(F.col("k"))
+    return counted.orderBy(F.desc("section"), k, "name").select("section", "name", "alerts")

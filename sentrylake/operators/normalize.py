@@ -20,6 +20,8 @@ _FIELDS = (
     "timestamp", "log_type", "message", "raw", "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "action", "event_id", "severity",
     "user", "hostname",
 )
+#: The normalized schema.
+SCHEMA = ", ".join(f"`{c}` {'int' if c.endswith('_port') else 'string'}" for c in _FIELDS) + ", extra map<string,string>"
 
 
 def rename(records: DataFrame) -> DataFrame:

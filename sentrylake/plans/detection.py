@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 from ..operators import detect
 from ..operators.conditions import of_map
+from ..operators.normalize import SCHEMA, csv_columns
 from ..operators.rules import Rule, rulebook
 from ..sources.events import ALIASES, read_events
 
 
 @dataclass(frozen=True)
 class Report:
-    """Results that share the hits of one scan, which are kept on the executors' disks and in memory until ``release``."""
+    """Results that share the hits and the attempted alerts of one scan, which are kept with the executors until ``release``."""
 
     hits: DataFrame
+    fired: DataFrame
     alerts: DataFrame
     suppressed: DataFrame
     skipped: DataFrame
@@ -27,6 +29,7 @@ class Report:
     bad_lines: DataFrame
 
     def release(self) -> None:
+        self.fired.unpersist()
         self.hits.unpersist()
 
 
@@ -41,9 +44,11 @@ def run(
     hidden = F.exists(F.map_keys("fields"), lambda k: k.startswith("_"))
     raw = F.when(hidden, F.to_json(F.map_filter("fields", lambda k, v: ~k.startswith("_")))).otherwise(F.col("raw"))
     found = detect.hits(parsed.events, rules, of_map(), raw).persist(StorageLevel.MEMORY_AND_DISK)
-    alerts = detect.alerts(found, rules, dedupe_seconds, evidence_limit, min_severity)
     kept = detect.active(rules, min_severity)
-    return Report(found, alerts, detect.suppressed(found, kept, dedupe_seconds), detect.skipped(found, rules), detect.summary(alerts), parsed.bad)
+    placed, fired = detect.fire(found.filter(F.col("rule").isin([r.order for r in kept])), kept, dedupe_seconds)
+    fired = fired.persist(StorageLevel.MEMORY_AND_DISK)
+    alerts = detect.alerts_of(placed, fired, kept, evidence_limit)
+    return Report(found, fired, alerts, detect.suppressed_of(fired, kept), detect.skipped(found, rules), detect.summary(fired, kept), parsed.bad)
 
 
 def write_alerts(alerts: DataFrame, path: str, append: bool = False) -> None:
@@ -55,10 +60,28 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def newest_file(spark: SparkSession, folder: str, pattern: str = "live_capture_*.jsonl") -> str | None:
+    """The file of a folder that was changed last, of those whose name fits; of equal times the last by name."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")
+    last = files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+    return last
+
+
+def export_csv(spark: SparkSession, folder: str, out: str, pattern: str = "live_capture_*.jsonl") -> str | None:
+    """The newest capture file as CSV with the seven columns; returns the file, None if there is none."""
+    found = newest_file(spark, folder, pattern)
+    if found is not None:
+        write_csv(csv_columns(spark.read.schema(SCHEMA).json(found)), out)
+    return found
+
+
 def preview(rows: DataFrame, n: int = 20) -> DataFrame:
-    """The first rows with their message cut to 100 characters; ``alarm`` marks grave ones."""
-    grave = F.upper("severity").isin("CRITICAL", "HIGH")
-    return rows.select("timestamp", "log_type", "severity", F.substring("message", 1, 100).alias("message"), F.coalesce(grave, F.lit(False)).alias("alarm")).limit(n)
+    """The first rows with their message cut to 100 characters; ``alarm`` marks grave ones and threats."""
+    grave = F.coalesce(F.upper("severity").isin("CRITICAL", "HIGH"), F.lit(False))
+    if "THREAT" in rows.columns:
+        grave = grave | F.coalesce(F.col("THREAT"), F.lit(False))
+    kind = F.coalesce(*[F.col(c) for c in ("log_type", "related_log_type") if c in rows.columns])
+    return rows.select("timestamp", kind.alias("log_type"), "severity", F.substring("message", 1, 100).alias("message"), grave.alias("alarm")).limit(n)
 
 
 def show(alerts: DataFrame, n: int = 50) -> str:

@@ -315,7 +315,8 @@ SELECT 'rule' AS section, name, n AS alerts FROM r WHERE n > 0 AND sev <> 'low'
 def alert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several rules in one scan without a throttle, those under medium dropped, counted by severity and rule."""
     found, rules = _hits(spark, sf_dir, *_MIXED)
-    return detect.summary(detect.alerts(found, rules, 0, min_severity="medium"))
+    kept = detect.active(rules, "medium")
+    return detect.summary(detect.fire(found.filter(F.col("rule").isin([r.order for r in kept])), kept, 0)[1], kept)
 
 
 # heuristics

@@ -2,8 +2,11 @@
 
 It starts at the end of the file (or at its start, on request), hands out whole
 lines only, waits for a file that is not there yet, and starts anew when the
-file is replaced or cut. An offset is the file's number and a byte position, so
-a restarted query goes on where its checkpoint says.
+file is replaced or cut. A batch takes about ``maxBytes``, and a longer line
+whole. An offset is the file's number and a byte position, so a restarted query
+goes on where its checkpoint says. One file is read by one reader, the driver;
+for more than it can carry let agents land files in a folder and read that with
+``spark.readStream.text``, as the tasks then do the reading.
 """
 
 from __future__ import annotations
@@ -30,32 +33,33 @@ class TailReader(SimpleDataSourceStreamReader):
         inode, size = self._stat()
         return {"inode": inode, "byte": 0 if self.from_start else size}
 
-    def _lines(self, start: int, end: int) -> list[tuple[str, int]]:
+    def _read(self, start: int, size: int, limit: int) -> tuple[list[tuple[str, int]], int]:
+        """Whole lines from ``start`` on, and where they end: as many as ``limit`` bytes hold, one at least, however long it is."""
+        out, at = [], start
         with open(self.path, "rb") as f:
             f.seek(start)
-            data = f.read(end - start)
-        out, at = [], start
-        for line in data.split(b"\n")[:-1]:
-            out.append((line.rstrip(b"\r").decode("utf-8", "replace"), at))
-            at += len(line) + 1
-        return out
+            while at < size and (not out or at - start < limit):
+                line = f.readline(size - at)
+                if not line.endswith(b"\n"):
+                    break
+                out.append((line[:-1].removesuffix(b"\r").decode("utf-8", "replace"), at))
+                at += len(line)
+        return out, at
+
+    def _from(self, start: dict, inode: int, size: int) -> int:
+        """Where to go on: at the start of a file that is another one or has been cut."""
+        return start["byte"] if inode == start["inode"] and size >= start["byte"] else 0
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         inode, size = self._stat()
-        at = start["byte"] if inode == start["inode"] and size >= start["byte"] else 0
         if not size:
             return iter([]), {"inode": inode, "byte": 0}
-        rows = self._lines(at, min(size, at + self.max_bytes))
-        end = rows[-1][1] + len(rows[-1][0].encode()) + 1 if rows else at
-        if rows:  # measured on the file, as decoding may have replaced bytes
-            with open(self.path, "rb") as f:
-                f.seek(rows[-1][1])
-                end = rows[-1][1] + len(f.readline())
+        rows, end = self._read(self._from(start, inode, size), size, self.max_bytes)
         return iter(rows), {"inode": inode, "byte": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        at = start["byte"] if start["inode"] == end["inode"] and end["byte"] >= start["byte"] else 0
-        return iter(self._lines(at, end["byte"]))
+        at = self._from(start, end["inode"], end["byte"])
+        return iter(self._read(at, end["byte"], end["byte"] - at + 1)[0])
 
 
 class TailSource(DataSource):

@@ -1,99 +1,105 @@
 """The rules over a stream: keyed state in the state store, alerts as they happen.
 
-Each (rule, group) has its own state: the window's rows, the step of a sequence
-and the time of the last alert. Within a micro-batch a key's hits are taken in
-order of time and arrival; a hit older than what its key has already seen is
-taken as it comes. State without activity for longer than the rule's window and
-the throttle is dropped by a timer, and a restarted query goes on from its
-checkpoint.
+Each (rule, group) has its own state: the rows that its fold remembers, a list
+that grows by the new rows only while none is taken away, and a record of how
+many hits there were and when it last alerted. Within a micro-batch a key's
+hits are taken in order of time and arrival, arrivals compared as what they are
+(numbers, texts, or structures of them); a hit older than what its key has
+already seen is taken as it comes. State without activity for longer than the
+rule's window and the throttle is dropped by a timer, and a restarted query
+goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
-import json
-from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..operators.detect import described
+from ..operators.folds import fold_of
 from ..operators.rules import Rule
 from ..session import ship
 
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-OUTPUT = "rule_id string, severity string, group_key string, ts_us long, evidence_count int, evidence array<string>"
-_STATE = StructType([StructField("doc", StringType()), StructField("seen_us", LongType())])
+_ATTEMPTS = "rule int, group_key string, ts_us long, pos long, evidence_count int, evidence array<string>, emitted boolean"
+
+
+def _order(x: object) -> object:
+    """A sort key for an arrival; a structure is compared field by field."""
+    return tuple(_order(v) for v in x.values()) if isinstance(x, dict) else tuple(map(_order, x)) if isinstance(x, tuple | list) else x
 
 
 class RuleProcessor(StatefulProcessor):
+    """Attempted alerts of one (rule, group); suppressed ones come out too, marked."""
+
     def __init__(self, rules: Sequence[Rule], dedupe_seconds: int, evidence_limit: int) -> None:
         self.rules = {r.order: r for r in rules}
         self.dedupe, self.limit = dedupe_seconds * 1_000_000, evidence_limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", _STATE)
+        self.rows = handle.getListState("rows", "ts long, value string, raw string")
+        self.mark = handle.getValueState("mark", "pos long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rule = self.rules[key[0]]
-        found = pd.concat(list(rows)).sort_values(["ts_us", "seq"], kind="stable")
-        doc = json.loads(self.state.get()[0]) if self.state.exists() else {"win": [], "at": 0, "count": 0, "start": None, "ev": [], "last": None}
-        window, out = deque(tuple(x) for x in doc["win"]), []
-        for row in found.itertuples(index=False):
-            evidence = self._step(rule, row, doc, window)
-            if evidence is None or (doc["last"] is not None and row.ts_us - doc["last"] < self.dedupe):
+        rule, order = self.rules[key[0]], key[1]
+        pos, last = self.mark.get() if self.mark.exists() else (0, None)
+        before = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        fold, out = fold_of(rule, before), []
+        hits = [(r.ts_us, _order(r.seq), r) for b in rows for r in b.itertuples(index=False)]
+        hits.sort(key=lambda h: h[:2])
+        for ts, _, hit in hits:
+            pos += 1
+            found = fold.add(int(ts), hit.value, hit.steps, hit.raw)
+            if found is None:
                 continue
-            doc["last"] = int(row.ts_us)
-            window.clear()
-            shown = evidence[-self.limit :] if self.limit else evidence
-            out.append((rule.id, rule.severity, key[1], int(row.ts_us), len(evidence), shown))
-        doc["win"] = list(window)
-        newest = int(found["ts_us"].max())
-        self.state.update((json.dumps(doc), newest))
+            emitted = last is None or ts - last >= self.dedupe
+            if emitted:
+                last = int(ts)
+                fold.restart()
+            shown = [r for _, _, r in (found[-self.limit :] if self.limit else found)]
+            out.append((key[0], order, int(ts), pos, len(found), shown if emitted else [], emitted))
+        self._save(fold, len(before))
+        self.mark.update((pos, last))
+        newest = max(int(ts) for ts, _, _ in hits)
         for timer in list(self.handle.listTimers()):
+            newest = max(newest, (timer - 1) * 1000 - rule.window * 1_000_000 - self.dedupe)
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest // 1000 + rule.window * 1000 + self.dedupe // 1000 + 1)
-        yield pd.DataFrame(out, columns=["rule_id", "severity", "group_key", "ts_us", "evidence_count", "evidence"])
+        self.handle.registerTimer((newest + rule.window * 1_000_000 + self.dedupe) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _ATTEMPTS.split(", ")])
+
+    def _save(self, fold, known: int) -> None:
+        kept = list(fold.rows)
+        if not fold.cut:
+            if len(kept) > known:
+                self.rows.appendList(kept[known:])
+        elif kept:
+            self.rows.put(kept)
+        elif known:
+            self.rows.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        self.rows.clear()
+        self.mark.clear()
         return iter(())
 
-    def _step(self, rule: Rule, row, doc: dict, window: deque) -> list[str] | None:
-        """The evidence if the rule fires at this hit."""
-        ts, span = int(row.ts_us), rule.window * 1_000_000
-        if rule.type == "match":
-            return [row.raw]
-        if rule.type == "sequence":
-            fresh = {"at": 0, "count": 0, "start": None, "ev": []}
-            if doc["start"] is not None and ts - doc["start"] > span:
-                doc.update(fresh)
-            if not row.steps[doc["at"]]:
-                return None
-            doc["start"] = ts if doc["start"] is None else doc["start"]
-            doc["ev"] = [*doc["ev"], row.raw]
-            doc["count"] += 1
-            if doc["count"] >= rule.steps[doc["at"]].count:
-                doc["at"], doc["count"] = doc["at"] + 1, 0
-            if doc["at"] < len(rule.steps):
-                return None
-            evidence = doc["ev"]
-            doc.update(fresh)
-            return evidence
-        window.append((ts, row.value, row.raw))
-        while window[0][0] < ts - span:
-            window.popleft()
-        size = len(window) if rule.type == "threshold" else len({v for _, v, _ in window if v is not None})
-        return [r for _, _, r in window] if size >= rule.threshold else None
-
-
-def detect_stream(hits: DataFrame, rules: Sequence[Rule], dedupe_seconds: int = 120, evidence_limit: int = 5, lateness: str = "10 minutes") -> DataFrame:
-    """Streaming alerts of streaming hits (as ``operators.detect.hits`` makes them, ``seq`` being of any type that sorts)."""
+
+def detect_stream(
+    hits: DataFrame, rules: Sequence[Rule], dedupe_seconds: int = 120, evidence_limit: int = 5, lateness: str = "10 minutes", name: str = "detections"
+) -> DataFrame:
+    """Streaming alerts, with the columns of the batch's, of streaming hits (as ``operators.detect.hits`` makes them).
+
+    A ``streaming.sinks.Detections`` of the same ``name`` adds up what was skipped, emitted and suppressed.
+    """
     ship(hits.sparkSession)
-    rows = hits.filter(F.size("missing") == 0).withColumn("event_ts", F.timestamp_micros("ts_us")).withWatermark("event_ts", lateness)
-    rows = rows.select("rule", "group_key", "value", "steps", "ts_us", F.col("seq").cast("string").alias("seq"), "raw", "event_ts")
+    seen = hits.observe(f"{name}-hits", F.sum(F.size("missing")).alias("skipped"))
+    rows = seen.filter(F.size("missing") == 0).withColumn("event_ts", F.timestamp_micros("ts_us")).withWatermark("event_ts", lateness)
+    rows = rows.select("rule", "group_key", "value", "steps", "ts_us", "seq", "raw", "event_ts")
     processor = RuleProcessor(rules, dedupe_seconds, evidence_limit)
-    return rows.groupBy("rule", "group_key").transformWithStateInPandas(processor, OUTPUT, outputMode="Append", timeMode="EventTime")
+    made = rows.groupBy("rule", "group_key").transformWithStateInPandas(processor, _ATTEMPTS, outputMode="Append", timeMode="EventTime")
+    made = made.observe(name, F.count_if("emitted").alias("emitted"), F.count_if(~F.col("emitted")).alias("suppressed"))
+    return described(made.filter("emitted"), rules)

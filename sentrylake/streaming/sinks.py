@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -27,44 +27,78 @@ def to_json(alerts: DataFrame, path: str, checkpoint: str, available_now: bool =
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def to_handlers(alerts: DataFrame, handlers: Iterable[Handler], checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Hands every alert to each handler on the driver, batch by batch and streamed, so a batch is never held whole."""
+def to_handlers(alerts: DataFrame, handlers: Iterable[Handler], checkpoint: str, available_now: bool = False, on_driver: bool = True) -> StreamingQuery:
+    """Hands every alert to each handler, batch by batch and streamed, so a batch is never held whole.
+
+    With ``on_driver`` false, handlers are sent to the tasks and called there; what they keep in themselves is then
+    lost, and an alert can come twice when a task is tried again.
+    """
     handlers = list(handlers)
 
-    def deliver(batch: DataFrame, _: int) -> None:
-        for row in batch.toLocalIterator():
-            for h in handlers:
-                h.handle(row.asDict(recursive=True))
+    def handle(row) -> None:
+        for h in handlers:
+            h.handle(row.asDict(recursive=True))
 
-    writer = alerts.writeStream.outputMode("append").foreachBatch(deliver).option("checkpointLocation", checkpoint)
+    writer = alerts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    if on_driver:
+        writer = writer.foreachBatch(lambda batch, _: [None for row in batch.toLocalIterator() if handle(row)])
+    else:
+        writer = writer.foreach(handle)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def counted(rows: DataFrame, name: str = "live") -> DataFrame:
-    """``rows`` with running counters observed: rows, grave ones, and machines (approximately)."""
+    """``rows`` with running counters observed: rows, grave ones, and a sketch of the machines."""
     return rows.observe(
         name,
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("severity").isin("high", "critical")).alias("grave"),
-        F.approx_count_distinct("hostname").alias("machines"),
+        F.hll_sketch_agg("hostname").alias("machines"),
     )
 
 
-class Status(StreamingQueryListener):
+class _Sums(StreamingQueryListener):
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+
+class Status(_Sums):
     """Adds up what ``counted`` observes in each batch."""
 
     def __init__(self, name: str = "live") -> None:
-        self.name, self.rows, self.grave, self.machines = name, 0, 0, 0
-
-    def onQueryStarted(self, event) -> None: ...
+        self.name, self.rows, self.grave, self.sketches = name, 0, 0, []
 
     def onQueryProgress(self, event) -> None:
         seen = event.progress.observedMetrics.get(self.name)
         if seen is not None:
             self.rows += seen["rows"]
             self.grave += seen["grave"]
-            self.machines = max(self.machines, seen["machines"])
+            if seen["rows"]:
+                self.sketches.append(bytes(seen["machines"]))
 
-    def onQueryIdle(self, event) -> None: ...
+    def machines(self, spark: SparkSession) -> int:
+        """About how many distinct machines there were in the whole run."""
+        if not self.sketches:
+            return 0
+        union = spark.createDataFrame([(bytearray(s),) for s in self.sketches], "s binary").agg(F.hll_union_agg("s").alias("s"))
+        self.sketches = [bytes(union.first()[0])]
+        return union.select(F.hll_sketch_estimate("s")).first()[0]
 
-    def onQueryTerminated(self, event) -> None: ...
+
+class Detections(_Sums):
+    """Adds up what ``detect_stream`` observes: skipped group fields, alerts emitted, alerts suppressed."""
+
+    def __init__(self, name: str = "detections") -> None:
+        self.name, self.skipped, self.emitted, self.suppressed = name, 0, 0, 0
+
+    def onQueryProgress(self, event) -> None:
+        hits, made = (event.progress.observedMetrics.get(n) for n in (f"{self.name}-hits", self.name))
+        self.skipped += (hits["skipped"] or 0) if hits is not None else 0
+        if made is not None:
+            self.emitted += made["emitted"]
+            self.suppressed += made["suppressed"]
