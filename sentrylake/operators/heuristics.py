@@ -20,25 +20,40 @@ _SEVERITY = {"BRUTE_FORCE": "critical", "C2_BEACON": "critical", "KNOWN_MALWARE"
 
 
 def trailing_count(key: list[str], ts_us: str, window: int, order: list[str], when: Column) -> Column:
-    """How many rows of the key, this one included, fall in the last ``window`` seconds, later arrivals of the same instant left out."""
+    """How many rows of the key, this one included, fall in the last ``window`` seconds, later arrivals of the same instant left out.
+
+    It is the difference of two running counts, which takes the same time however many rows a window holds.
+    """
     by_time = Window.partitionBy(*key).orderBy(ts_us)
     one = F.when(when, 1)
-    inside = F.count(one).over(by_time.rangeBetween(-window * 1_000_000 + 1, 0))
-    same = F.count(one).over(Window.partitionBy(*key, ts_us))
-    before = F.count(one).over(Window.partitionBy(*key, ts_us).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return inside - (same - before)
+    so_far = F.count(one).over(Window.partitionBy(*key).orderBy(ts_us, *order).rowsBetween(Window.unboundedPreceding, 0))
+    return so_far - F.count(one).over(by_time.rangeBetween(Window.unboundedPreceding, -window * 1_000_000))
+
 
+def trailing_distinct(rows: DataFrame, key: list[str], ts_us: str, window: int, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the column ``name``: distinct non-null values of the key in the last ``window`` seconds, in arrival order.
 
-def trailing_distinct(key: list[str], ts_us: str, window: int, order: list[str], value: Column) -> Column:
-    """Distinct non-null values of the key in the last ``window`` seconds, in arrival order."""
-    w = Window.partitionBy(*key).orderBy(ts_us)
-    seen = F.collect_list(F.struct(F.struct(ts_us, *order).alias("at"), value.alias("v"))).over(w.rangeBetween(-window * 1_000_000 + 1, 0))
-    now = F.struct(ts_us, *order)
-    return F.size(F.array_distinct(F.transform(F.filter(seen, lambda x: x["v"].isNotNull() & (x["at"] <= now)), lambda x: x["v"])))
+    A value enters where its last occurrence is no longer in the window, and leaves ``window`` seconds after an
+    occurrence that none follows in time; the count is the running sum of both, so no window is ever collected.
+    """
+    span, cols = window * 1_000_000, rows.columns
+    occurrence = Window.partitionBy(*key, "__value").orderBy(ts_us, *order)
+    ts, there = F.col(ts_us), F.col("__value").isNotNull()
+    seen = rows.withColumn("__value", value).withColumn("__last", F.lag(ts_us).over(occurrence)).withColumn("__next", F.lead(ts_us).over(occurrence))
+    enters = there & (F.col("__last").isNull() | (ts - F.col("__last") >= span))
+    leaves = there & (F.col("__next").isNull() | (F.col("__next") - ts >= span))
+    change = lambda at, row, by: F.struct(at.alias("at"), F.lit(row).alias("row"), by.alias("by"))
+    both = F.array_compact(F.array(change(ts, 1, enters.cast("int")), F.when(leaves, change(ts + span, 0, F.lit(-1)))))
+    steps = seen.withColumn("__change", F.explode(both))
+    # a value that leaves needs its key only
+    kept = [F.col(f"`{c}`") if c in key or c in order else F.when(F.col("__change.row") == 1, F.col(f"`{c}`")).alias(c) for c in cols]
+    steps = steps.select(*kept, F.col("__change.at").alias("__at"), F.col("__change.row").alias("__row"), F.col("__change.by").alias("__by"))
+    running = Window.partitionBy(*key).orderBy("__at", "__row", *order).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn(name, F.sum("__by").over(running)).filter("__row = 1").drop("__at", "__row", "__by")
 
 
-def threats(rows: DataFrame, ts_us: str = "ts_us", order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """THREAT, threat_type, severity, source, message, timestamp, related_log_type of every row that a check fires on."""
+def threats(rows: DataFrame, ts_us: str = "ts_us", order: tuple[str, ...] = ("seq",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """THREAT, threat_type, severity, source, message, timestamp, related_log_type of every row that a check fires on, and its columns ``keep``."""
     extra = lambda k: F.element_at("extra", F.lit(k))
     src = F.coalesce("source_ip", F.lit(""))
     port = F.col("destination_port")
@@ -49,12 +64,12 @@ def threats(rows: DataFrame, ts_us: str = "ts_us", order: tuple[str, ...] = ("se
     alone = F.xxhash64(ts_us, *order, "raw").cast("string")
     rows = rows.withColumn("__fail_key", F.when(failed, src).otherwise(alone)).withColumn("__scan_key", F.when(scanned, src).otherwise(alone))
     rows = rows.withColumn("__fails", F.when(failed, trailing_count(["__fail_key"], ts_us, BRUTE_WINDOW, list(order), failed)))
-    rows = rows.withColumn("__ports", F.when(scanned, trailing_distinct(["__scan_key"], ts_us, SCAN_WINDOW, list(order), F.when(scanned, port))))
+    rows = trailing_distinct(rows, ["__scan_key"], ts_us, SCAN_WINDOW, list(order), F.when(scanned, port), "__ports")
     size, name = extra("bytes").try_cast("double"), F.coalesce(extra("query_name"), F.lit(""))
     host = F.coalesce("hostname", F.lit("?"))
     checks = {
         "BRUTE_FORCE": (F.col("__fails") >= BRUTE_COUNT, F.format_string("BRUTE FORCE: %d failures from %s in " + f"{BRUTE_WINDOW}s", "__fails", src)),
-        "PORT_SCAN": (F.col("__ports") >= SCAN_PORTS, F.format_string("PORT SCAN: %s contacted %d different ports in " + f"{SCAN_WINDOW}s", src, "__ports")),
+        "PORT_SCAN": (scanned & (F.col("__ports") >= SCAN_PORTS), F.format_string("PORT SCAN: %s contacted %d different ports in " + f"{SCAN_WINDOW}s", src, "__ports")),
         "C2_BEACON": (flow & port.isin(*C2_PORTS), F.format_string("C2 BEACON: Connection to known C2 port %d from %s", port, src)),
         "KNOWN_MALWARE": (
             (F.col("log_type") == "edr") & (F.coalesce(extra("attack_indicator"), F.lit("")) != ""),
@@ -74,6 +89,6 @@ def threats(rows: DataFrame, ts_us: str = "ts_us", order: tuple[str, ...] = ("se
     severity = F.when(kind.isin(*_SEVERITY), "critical").otherwise("high")
     made = rows.select(
         F.lit(True).alias("THREAT"), kind.alias("threat_type"), severity.alias("severity"), source.alias("source"), message.alias("message"),
-        F.coalesce("timestamp", F.lit("")).alias("timestamp"), F.col("log_type").alias("related_log_type"),
+        F.coalesce("timestamp", F.lit("")).alias("timestamp"), F.col("log_type").alias("related_log_type"), *keep,
     )
     return made.filter(F.col("threat_type").isNotNull())

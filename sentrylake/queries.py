@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +14,11 @@ from .functions import text as T
 from .functions import timestamps as TS
 from .operators import detect, heuristics, normalize
 from .operators.conditions import OPERATORS, Fields, matches, of_columns, of_map
-from .operators.rules import build_rule
-from .plans import bridge
-from .session import utc
+from .operators.rules import build_rule, load_rules
+from .plans import bridge, capture, detection
+from .session import shared_dir, utc
 from .sources import live, parsers
-from .sources.events import canonical_type, fill_aliases, parse_lines, spread
+from .sources.events import canonical_type, fill_aliases, parse_lines, read_lines, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,8 +337,8 @@ def trailing_bruteforce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, n FROM ({_trailing_sql('true', 172_800, 'count(DISTINCT event_type)')}) WHERE n >= 4")
 def trailing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = heuristics.trailing_distinct(["user_id"], "ts_us", 172_800, ["event_id"], F.col("event_type"))
-    return _events(spark, sf_dir).withColumn("n", n.cast("long")).filter("n >= 4").select("event_id", "n")
+    rows = heuristics.trailing_distinct(_events(spark, sf_dir), ["user_id"], "ts_us", 172_800, ["event_id"], F.col("event_type"), "n")
+    return rows.filter("n >= 4").select("event_id", "n")
 
 
 _THREAT_ROWS = """SELECT event_id, epoch_us(ts) AS t, user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type,
@@ -539,13 +541,18 @@ CASE event_type WHEN 'error' THEN ' ALERT:known_tool:Mimikatz.exe' WHEN 'view' T
 }
 
 
+_UNREADABLE = ["", "   ", "no log line at all", "{\"broken\": ", "[1, 2]", "7"]
+
+
 def _lines(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
     return _events(spark, sf_dir).withColumn("t", F.timestamp_micros("ts_us")).select("event_id", "event_type", "user_id", "ts_us", "t", line.alias("value"))
 
 
 def _parse_query(kind: str, line: Callable[[], Column], columns: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = parsers.parse(_lines(spark, sf_dir, line()).select(F.col("event_id").alias("id"), "value"), kind)
+        # among the lines are such as no parser reads
+        lines = _lines(spark, sf_dir, line()).select(F.col("event_id").alias("id"), F.explode(F.array("value", *map(F.lit, _UNREADABLE))).alias("value"))
+        made = parsers.parse(lines, kind)
         return made.select("id", *columns)
 
     return run
@@ -566,28 +573,115 @@ def parse_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", "log_type", "message")
 
 
-@query(
-    f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp, 'firewall' AS log_type, CASE WHEN event_type = 'error' THEN 'medium' ELSE 'info' END AS severity, {_IP_SQL} AS source_ip,
-'8.8.8.8' AS destination_ip, CASE WHEN event_type = 'error' THEN 'block' ELSE 'allow' END AS action, 'Firewall ' || CASE WHEN event_type = 'error' THEN 'block' ELSE 'allow' END || 'ed TCP ' ||
-{_IP_SQL} || ' -> 8.8.8.8:' || {_PORT_SQL} AS message FROM events WHERE event_id % 2 = 0"""
-)
+_EXPORT_SQL = f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp, 'firewall' AS log_type, CASE WHEN event_type = 'error' THEN 'medium' ELSE 'info' END AS severity, {_IP_SQL} AS source_ip,
+'8.8.8.8' AS destination_ip, CASE WHEN event_type = 'error' THEN 'block' ELSE 'allow' END AS action, 'Firewall ' || CASE WHEN event_type = 'error' THEN 'block' ELSE 'allow' END || 'ed ' ||
+CASE WHEN event_id % 2 = 0 THEN 'TCP' ELSE 'tcp' END || ' ' || {_IP_SQL} || ' -> 8.8.8.8:' || {_PORT_SQL} AS message FROM events"""
+
+
+def _firewall_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every firewall line made of the events, UFW and ASA, parsed and normalized."""
+    lines = _lines(spark, sf_dir, _PARSED["firewall"][0]()).select("value", "t")
+    as_of = F.lit("2024-12-31 00:00:00").cast("timestamp")
+    return normalize.normalize(parsers.parse(lines, "firewall").withColumnRenamed("t", "parsed_at"), _year_end(spark, sf_dir, as_of))
+
+
+@query(_EXPORT_SQL)
 def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Firewall lines parsed, normalized and projected to the columns of the CSV export."""
-    lines = _lines(spark, sf_dir, _PARSED["firewall"][0]()).filter("event_id % 2 = 0").select("value", "t")
-    as_of = F.lit("2024-12-31 00:00:00").cast("timestamp")
-    return normalize.csv_columns(normalize.normalize(parsers.parse(lines, "firewall").withColumnRenamed("t", "parsed_at"), _year_end(spark, sf_dir, as_of)))
+    return normalize.csv_columns(_firewall_log(spark, sf_dir))
+
+
+@query(_EXPORT_SQL)
+def export_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV export itself: from the newest capture file in a folder to CSV, read back."""
+    out = shared_dir(spark, "export")
+    capture.write_normalized(_firewall_log(spark, sf_dir), f"{out}/live_capture_1.jsonl")
+    detection.write_csv(normalize.csv_columns(spark.read.schema(normalize.SCHEMA).json(f"{out}/live_capture_1.jsonl")), f"{out}/csv")
+    return spark.read.option("header", True).csv(f"{out}/csv")
 
 
 @query(
-    f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp, 'firewall' AS log_type, CASE WHEN event_type = 'error' THEN 'medium' ELSE 'info' END AS severity, {_IP_SQL} AS source_ip,
-'8.8.8.8' AS destination_ip, CASE WHEN event_type = 'error' THEN 'block' ELSE 'allow' END AS action, 'Firewall ' || CASE WHEN event_type = 'error' THEN 'block' ELSE 'allow' END || 'ed ' ||
-CASE WHEN event_id % 2 = 0 THEN 'TCP' ELSE 'tcp' END || ' ' || {_IP_SQL} || ' -> 8.8.8.8:' || {_PORT_SQL} AS message FROM events"""
+    f"""SELECT event_id, epoch_us(ts) AS ts_us, trim(regexp_replace(lower(event_type), '[^a-z0-9]+', '_', 'g'), '_') AS log_type, CAST(user_id AS VARCHAR) AS "user" FROM events"""
 )
-def export_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The CSV export of every firewall line, UFW and ASA."""
-    lines = _lines(spark, sf_dir, _PARSED["firewall"][0]()).select("value", "t")
-    as_of = F.lit("2024-12-31 00:00:00").cast("timestamp")
-    return normalize.csv_columns(normalize.normalize(parsers.parse(lines, "firewall").withColumnRenamed("t", "parsed_at"), _year_end(spark, sf_dir, as_of)))
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written as a folder of JSON-lines files, with files of other kinds and bad lines among them, and scanned."""
+    out = shared_dir(spark, "scan")
+    e = _events(spark, sf_dir)
+    good = F.to_json(F.struct(F.col("event_id").alias("n"), F.col("ts_us").alias("@timestamp"), F.upper("event_type").alias("type"), F.col("user_id").alias("account")))
+    e.select(F.explode(F.array(good, F.lit(""), F.lit("no object"))).alias("value")).write.option("fileExtension", "x").text(f"{out}/text")
+    _renamed(spark, f"{out}/text", f"{out}/logs")
+    found = parse_lines(read_lines(spark, f"{out}/logs"), F.lit("2024-01-01").cast("timestamp")).events
+    get = lambda k: F.element_at("fields", F.lit(k))
+    return found.select(get("n").cast("long").alias("event_id"), "ts_us", get("log_type").alias("log_type"), get("user").alias("user"))
+
+
+def _renamed(spark: SparkSession, source: str, target: str) -> None:
+    """Puts the files of a folder into another one under names that end in .jsonl, and a file of another kind beside them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target))
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path(source)))
+    for i, n in enumerate(x for x in names if x.startswith("part-")):
+        fs.rename(path(f"{source}/{n}"), path(f"{target}/{i:05d}.jsonl"))
+    fs.create(path(f"{target}/readme.txt"), True).close()
+
+
+@query(
+    _HITS.format(where="event_type = 'error'")
+    + ", cand AS (SELECT g, t, i, i AS start FROM h)"
+    + _CHAIN.format(dedupe=2 * _DAY)
+    + " SELECT 'Q0' AS rule_id, 'high' AS severity, g AS user_id, t AS ts_us, CAST(1 AS BIGINT) AS evidence_count FROM chain"
+)
+def sink_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts written as JSON lines, in two parts of which the second is appended, and read back."""
+    out = shared_dir(spark, "alerts")
+    found, rules = _hits(spark, sf_dir, {"type": "match", **_ERRORS})
+    a = detect.alerts(found, rules, 172_800)
+    early = F.col("event_ts") < F.lit("2024-01-10").cast("timestamp")
+    detection.write_alerts(a.filter(early), f"{out}/alerts")
+    detection.write_alerts(a.filter(~early), f"{out}/alerts", append=True)
+    back = spark.read.schema("rule_id string, severity string, group map<string,string>, event_time string, evidence_count long").json(f"{out}/alerts")
+    ts = F.unix_micros(F.to_timestamp("event_time"))
+    return back.select("rule_id", "severity", F.element_at("group", F.lit("user")).cast("long").alias("user_id"), ts.alias("ts_us"), "evidence_count")
+
+
+@query(
+    f"""WITH l AS (SELECT event_type, {_IP_SQL} AS ip, epoch_us(date_trunc('second', ts)) AS t FROM events)
+SELECT 'log' AS part, 'linux' AS kind, CASE WHEN event_type IN ('error', 'view') THEN ip END AS source, count(*) AS n FROM l GROUP BY ALL
+UNION ALL SELECT 'log', 'edr', NULL, count(*) FROM l
+UNION ALL SELECT 'threat', 'BRUTE_FORCE', ip, count(*) FROM (SELECT ip, count(*) OVER (PARTITION BY ip ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS fails FROM l WHERE event_type = 'error')
+WHERE fails >= 5 GROUP BY ip
+UNION ALL SELECT 'threat', 'KNOWN_MALWARE', 'pc', count(*) FROM l WHERE event_type IN ('error', 'view', 'click') HAVING count(*) > 0"""
+)
+def capture_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lines of two sources through the whole plan: parsed, normalized, written, read back and checked for threats."""
+    lines = lambda k: _lines(spark, sf_dir, _PARSED[k][0]())
+    as_of = _year_end(spark, sf_dir, F.lit("2024-12-31 00:00:00").cast("timestamp"))
+    got = capture.run(spark, {"linux": lines("linux"), "edr": lines("edr")}, shared_dir(spark, "capture"), as_of)
+    log = got.log.groupBy(F.lit("log").alias("part"), F.col("log_type").alias("kind"), F.col("source_ip").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    found = got.threats.groupBy(F.lit("threat").alias("part"), F.col("threat_type").alias("kind"), "source").agg(F.count(F.lit(1)).alias("n"))
+    return log.unionByName(found)
+
+
+_RULE_FILES = {
+    "b.yml": "rules:\n- {id: B1, name: second file, severity: low, type: match, conditions: {event_type: $lists.odd}}\n- {id: B2, name: idle, severity: low, type: match, enabled: false}\n",
+    "a.yaml": "rules:\n- {id: A1, name: first file, severity: critical, type: threshold, threshold: 3, window: 60, conditions: {'value|gt': 99}}\n",
+    "notes.txt": "no rules here",
+}
+
+
+@query(
+    """SELECT 'A1' AS rule_id, count(*) AS hits FROM events WHERE value > 99 HAVING count(*) > 0 UNION ALL
+SELECT 'B1', count(*) FROM events WHERE event_type IN ('error', 'signup') HAVING count(*) > 0"""
+)
+def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of rules that were loaded from a folder of files, with a named list and a disabled rule."""
+    with tempfile.TemporaryDirectory() as folder:  # rules stay on the driver
+        for name, text in _RULE_FILES.items():
+            (Path(folder) / name).write_text(text)
+        rules = load_rules(folder, {"odd": ["ERROR", "signup"]})
+    found = detect.hits(_events(spark, sf_dir).withColumn("seq", F.col("event_id")), rules, _fields(), F.lit(""))
+    return found.groupBy(F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.order, r.id)]), F.col("rule")).alias("rule_id")).agg(F.count(F.lit(1)).alias("hits"))
 
 
 def _year_end(spark: SparkSession, sf_dir: str, default: Column) -> Column:

@@ -1,9 +1,10 @@
-"""Getting the package to the Python workers of a cluster."""
+"""What every session needs: the package at the Python workers, shared folders, the time zone."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,6 +30,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """The path of a fresh folder that the driver and all executors can reach.
+
+    It lies in ``spark.checkpoint.dir``. Where that is unset, a local master
+    gets a temporary folder and any other master one under the warehouse.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @contextmanager
 def utc(spark: SparkSession) -> Iterator[None]:
     """The session time zone is UTC inside the block; plans made there keep it."""

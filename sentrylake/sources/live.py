@@ -7,13 +7,14 @@ They work on batches and on streams alike.
 
 from __future__ import annotations
 
-from functools import reduce
+import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_dga, xml_events
-from .parsers import PARSERS, parse
+from .parsers import parse, parse_typed
+from .tail import TailSource
 
 #: Ports, event numbers and paths that collectors look for.
 LIVE_C2_PORTS = (4444, 1337, 31337, 5555, 6666, 9999, 8888, 1234, 65535)
@@ -146,11 +147,32 @@ def agent_records(rows: DataFrame) -> DataFrame:
 def agent_parsed(rows: DataFrame) -> DataFrame:
     """Agent records whose raw line the parser of their log type reads, with the machine in ``extra``."""
     rows = rows.withColumn("__machine", F.coalesce("source_machine", F.lit("unknown"))).withColumn("__kind", F.coalesce("_log_type", F.lit("application")))
-    parts = [parse(rows.filter(F.col("__kind") == k).select("__machine", F.col("raw").alias("value")), k) for k in PARSERS]
-    made = reduce(DataFrame.unionByName, parts)
+    made = parse_typed(rows.select("__machine", "__kind", F.col("raw").alias("value")), F.col("__kind")).drop("__kind")
     return made.withColumn("extra", F.map_concat("extra", F.create_map(F.lit("source_machine"), "__machine"))).drop("__machine")
 
 
+#: Where sensors write their events, in the order in which they are looked for.
+EVE_PATHS = (
+    r"C:\Suricata\log\eve.json", r"C:\Program Files\Suricata\log\eve.json", r"C:\Program Files (x86)\Suricata\log\eve.json",
+    "/var/log/suricata/eve.json", "/var/log/snort/alert.json",
+)
+
+
+def eve_path(paths: tuple[str, ...] = EVE_PATHS) -> str | None:
+    """The first of the files that is there."""
+    return next((p for p in paths if os.path.exists(p)), None)
+
+
+def sensor_events(spark: SparkSession, paths: tuple[str, ...] = EVE_PATHS, from_start: bool = False) -> DataFrame | None:
+    """A stream of what the sensor on this machine writes from now on, parsed; None where there is no sensor."""
+    path = eve_path(paths)
+    if path is None:
+        return None
+    spark.dataSource.register(TailSource)
+    lines = spark.readStream.format("line_tail").option("path", path).option("fromStart", str(from_start).lower()).load()
+    return parse(lines.select("value"), "ids_ips")
+
+
 def web_lines(lines: DataFrame, file: Column) -> DataFrame:
     """Web server lines with the name of the file that they come from in ``extra``."""
     made = parse(lines.withColumn("__file", F.element_at(F.split(file, "/"), -1)), "webserver")

@@ -548,6 +548,16 @@ def parse(lines: DataFrame, log_type: str, value: str = "value") -> DataFrame:
     return lines.select(*[c for c in lines.columns if c != value], F.lit(log_type).alias("log_type"), F.inline(F.array_compact(F.array(record))))
 
 
+def parse_typed(lines: DataFrame, kind: Column, value: str = "value") -> DataFrame:
+    """As ``parse``, each line by the parser of its own type; lines of an unknown type are left out."""
+    stripped = F.regexp_replace(F.col(value), r"^\s+|\s+$", "")
+    made = F.when(F.lit(False), F.lit(None))
+    for k, parser in PARSERS.items():
+        made = made.when(kind == k, let(stripped, lambda t, k=k, parser=parser: let(parser(t), _typed(k))))
+    found = lines.select(*[c for c in lines.columns if c != value], F.inline(F.array_compact(F.array(made))))
+    return found.select(*[c for c in lines.columns if c != value], "log_type", "r.*")
+
+
 def parse_syslog(lines: DataFrame, value: str = "value") -> DataFrame:
     """Syslog lines of unknown origin: priority cut off, then linux, firewall, dns and application parsers in turn, else ``application`` as it is."""
     line = F.regexp_replace(strip_priority(F.col(value)), r"^\s+|\s+$", "")
