@@ -7,18 +7,20 @@ IPv6 addresses and card numbers with other separators. Boosted trees, fitted in
 numpy to labelled candidates by logistic loss, score each on its format and its
 surroundings; Platt scaling calibrates the scores and every kind has the
 threshold that reached ``PRECISION`` on candidates left out of training. Of
-accepted candidates that overlap, or that overlap a rule's span of their kind,
-the better one stays.
+accepted candidates that overlap the better one stays, of equally good ones the
+one proposed first; a rule's span of any kind goes before a candidate.
 
 Spans are kind:start:end in code points, end exclusive, ordered by start and
-then kind as in ``KINDS``. Null and empty texts have none. Whole texts are
-read; repeated rows get one result each; other columns are ignored.
+then kind as in ``KINDS``. Null and empty texts have none. Whole texts of any
+length are read; repeated rows get one result each; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import cache
 
@@ -263,15 +265,30 @@ def find(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
     if not proposed:
         return base, base
     p = model.probability(np.array([features(text, s) for s in proposed], dtype=np.float64))
-    taken, added = list(base), []
+    taken, added = _union(base), []
     for i in np.argsort(-p, kind="stable"):
         start, kind, end = proposed[i]
-        if p[i] >= model.threshold[kind] and not any(s < end and start < e for s, _, e in taken):
-            taken.append(proposed[i])
-            added.append(proposed[i])
+        if p[i] < model.threshold[kind]:
+            continue
+        at = bisect_left(taken, (start, start))
+        if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+            continue
+        taken.insert(at, (start, end))
+        added.append(proposed[i])
     return base, sorted(base + added)
 
 
+def _union(spans: list[Span]) -> list[tuple[int, int]]:
+    """The places that spans cover, apart from each other and in order."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def _digest(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

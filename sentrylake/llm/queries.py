@@ -21,8 +21,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.labelled_findings(spark))
-    found = secrets.scan(table(spark, sf_dir, "documents"), model, path=F.col("source"))
+    docs = table(spark, sf_dir, "documents")
+    words = secrets.dictionary(docs)
+    model = secrets.train(secrets.labelled_findings(spark), words)
+    found = secrets.scan(docs, model, path=F.col("source"), dictionary=words)
     return found.select(
         "doc_id", "ordinal", "start", F.length("candidate").cast("long").alias("length"),
         F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "secret",

@@ -5,17 +5,23 @@ characters with a digit, and whatever a name with a credential word is given,
 short or without a digit too. Names and "=" stay outside a candidate. Each
 becomes a row with the text before and after it. Features are SQL expressions: length,
 changes of character class, share of distinct characters, digits and capitals,
-dictionary coverage, the path and the neighbouring words. A random forest of
-the DataFrame machine-learning API, trained on labelled findings that the same pattern proposes, scores them.
-Scanning and scoring stay in the JVM.
+dictionary coverage, the path and the neighbouring words. The dictionary is a
+list of words that stand where secrets would, and the most frequent words of
+the corpus (``dictionary``). A random forest of the DataFrame machine-learning
+API, trained on labelled findings that the same pattern proposes, scores them.
+Scanning and scoring stay in the JVM; texts may be of any length, and the
+places of many candidates in one are added up in two levels.
 
 A null or empty text has no candidates; an unknown or null path counts as an
-ordinary one. Repeated rows give their findings each. Rows without findings
+ordinary one. Candidates do not overlap: of two that begin at one place the
+longer, named one is taken. Repeated rows give their findings each. Rows without findings
 give none, as does an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +38,7 @@ _NAMED = rf"(?:(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]{{1,80}}+[\"']?\s{{0,4}}[=:])
 #: What such a name is given: six or more key characters, or anything without white space between quotes.
 _VALUE = rf"(?!-----BEGIN)(?:(?<=\")[^\s\"]{{6,512}}(?=\")|(?<=')[^\s']{{6,512}}(?=')|[{_CHARS}]{{6,}}{_PAD})"
 _PROPOSED = rf"{_NAMED}{_VALUE}|{CANDIDATE}"
-_DICTIONARY = (
+WORDS = (
     "example sample test demo dummy fake placeholder your here change changeme replace insert default null none undefined "
     "value string user name admin root local host server client service config setting version release build branch commit "
     "page chapter section table figure order item number code data file path image asset style script index article post "
@@ -44,6 +50,27 @@ _ASSIGNED = r"[=:]\s*[\"']?$"
 _ODD_PATH = r"(?i)(test|example|sample|fixture|docs?/|\.md$|lock|vendor|node_modules)"
 _CONTEXT = 48
 TREES, DEPTH, SEED = 40, 8, 7
+#: So many of the corpus's words of four letters and more are in the dictionary too.
+DICTIONARY_WORDS = 400
+_LEVEL = 256
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
+    """The words above and the ``size`` most frequent words of four to twelve letters in all texts."""
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit("(?<![a-z0-9])[a-z]{4,12}(?![a-z0-9])"), F.lit(0))).alias("w"))
+    top = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(size)
+    return sorted({*WORDS, *(r.w for r in top.collect())})
+
+
+def _running(start: Column, steps: Column) -> Column:
+    """``start`` and the sums of it and the first, the first two, ... of ``steps``."""
+    sums = lambda xs, first: F.aggregate(xs, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    number = F.greatest(F.ceil(F.size(steps) / _LEVEL), F.lit(1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.slice(steps, i * _LEVEL + 1, _LEVEL))
+    heads = sums(F.transform(parts, lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)), start)
+    inner = F.zip_with(parts, F.slice(heads, F.lit(1), number), lambda xs, head: F.slice(sums(xs, head), F.lit(1), F.greatest(F.size(xs), F.lit(1))))
+    # a part begins with the sum of all before it; the last sum of all is missing where the last part is full of steps
+    return F.concat(F.flatten(inner), F.when(F.size(steps) > 0, F.array(F.element_at(heads, -1))).otherwise(F.array().cast("array<bigint>")))
 
 
 def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
@@ -55,7 +82,7 @@ def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
     n = F.size("found")
     ahead, behind = F.slice("between", F.lit(1), n), F.slice("between", F.lit(2), n)
     steps = F.slice(F.zip_with("found", behind, lambda x, b: (F.length(x) + F.length(b)).cast("long")), F.lit(1), n - 1)
-    starts = F.aggregate(steps, F.array(F.length(F.get("between", F.lit(0))).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    starts = _running(F.length(F.get("between", F.lit(0))).cast("long"), steps)
     names = F.transform("found", lambda x: F.regexp_extract(x, f"^{_NAMED}(?=.{{6}})", 0))
     cut = cut.withColumn("starts", starts).withColumn("names", names)
     cut = cut.select(
@@ -71,13 +98,13 @@ def _share(c: Column, pattern: str, n: Column) -> Column:
     return F.length(F.regexp_replace(c, pattern, "")) / n
 
 
-def features(rows: DataFrame) -> DataFrame:
+def features(rows: DataFrame, dictionary: Sequence[str] = WORDS) -> DataFrame:
     """Adds the vector ``features``."""
     c = F.col("candidate")
     n = F.greatest(F.length(c), F.lit(1)).cast("double")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "[^aB0]", "-")
     changes = F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
-    words = "(" + "|".join(sorted(_DICTIONARY, key=len, reverse=True)) + ")"
+    words = "(" + "|".join(sorted(dictionary, key=lambda w: (-len(w), w))) + ")"
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     values = [
         F.log(n),
@@ -139,21 +166,23 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     before = F.coalesce(*[F.when(kind == i, b) for i, (_, b, _) in enumerate(kinds)])
     value = F.coalesce(*[F.when(kind == i, v) for i, (_, _, v) in enumerate(kinds)])
     label = F.coalesce(*[F.when(kind == i, F.lit(y)) for i, (y, _, _) in enumerate(kinds)])
-    path = F.when((label == 0) & (F.pmod(F.xxhash64(value), F.lit(3)) == 0), F.lit("tests/fixtures/a.txt")).otherwise(F.lit("src/app.py"))
+    # secrets stand in test files too, if less often, and other strings in ordinary ones
+    odd = F.pmod(F.xxhash64(F.lit("path"), value), F.lit(6)) < F.when(label == 0, 2).otherwise(1)
+    path = F.when(odd, pick("v2", "tests/fixtures/a.txt", "docs/setup.md", "package-lock.json")).otherwise(pick("w2", "src/app.py", "deploy/run.sh", "", "config.yml", "s"))
     text = F.concat(before, value, F.when(before.endswith('"'), F.lit('" ')).otherwise(F.lit(" ")))
     found = candidates(spark.range(rows).select(F.col("id").alias("doc_id"), text.alias("text"), path.alias("path")), F.col("path"))
     found = found.withColumn("id", F.col("doc_id")).filter(F.col("start") == F.length(before))
     return found.select(label.alias("label"), "before", "candidate", "after", "path")
 
 
-def train(findings: DataFrame) -> RandomForestClassificationModel:
+def train(findings: DataFrame, dictionary: Sequence[str] = WORDS) -> RandomForestClassificationModel:
     """Fits the forest to findings with candidate, before, after, path and label."""
-    rows = features(findings).select("features", "label")
+    rows = features(findings, dictionary).select("features", "label")
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
-    """One row per candidate: doc_id, ordinal, start, candidate, path, probability and secret, the forest's verdict."""
-    scored = model.transform(features(candidates(docs, path)))
+def scan(docs: DataFrame, model: RandomForestClassificationModel, path: Column | None = None, threshold: float = 0.5, dictionary: Sequence[str] = WORDS) -> DataFrame:
+    """One row per candidate: doc_id, ordinal, start, candidate, path, probability and secret, the forest's verdict. The dictionary is that of the training."""
+    scored = model.transform(features(candidates(docs, path), dictionary))
     p = F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)
     return scored.select("doc_id", "ordinal", "start", "candidate", "path", p.alias("probability"), (p >= threshold).alias("secret"))

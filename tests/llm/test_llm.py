@@ -301,6 +301,47 @@ def test_pii_on_tables(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
 
 
+def planted_pii(spark):
+    """The smallest table's texts, each with a sentence that has one candidate; doc_id -> (text, span, label)."""
+    r, out = random.Random(12), {}
+    rows = [(x.doc_id, x.text or "") for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for (i, text), (sentence, label) in zip(rows, pii.labelled_candidates(len(rows), seed=77), strict=True):
+        words = text.split(" ")
+        at = r.randrange(len(words) + 1)
+        before = "".join(w + " " for w in words[:at])
+        spans = pii.candidates(sentence)
+        out[i] = (before + sentence + " " + " ".join(words[at:]), [(len(before) + s, k, len(before) + e) for s, k, e in spans], label)
+    return out
+
+
+def brute_spans(text, model):
+    """All spans: the rules', then accepted candidates by probability, each compared with every one taken."""
+    base = brute_pii(text)
+    scored = [(-float(model.probability(np.array([pii.features(text, c)]))[0]), n, c) for n, c in enumerate(pii.candidates(text or ""))]
+    out = list(base)
+    for p, _, (s, k, e) in sorted(scored):
+        if -p >= model.threshold[k] and not any(a < e and s < b for a, _, b in out):
+            out.append((s, k, e))
+    return ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
+
+
+def test_pii_added_spans_on_a_table(spark):
+    """What the trees add on texts of a table is what a direct evaluation adds; nearly all planted data is found, hardly anything else."""
+    planted, model = planted_pii(spark), pii.default_model()
+    got = {r.doc_id: r.spans for r in pii.detect(docs(spark, [t for t, _, _ in planted.values()], list(planted))).collect()}
+    found = missed = wrong = 0
+    for i, (text, spans, label) in planted.items():
+        assert got[i] == brute_spans(text, model)
+        hit = any(f"{pii.KINDS[k]}:{s}:{e}" in got[i].split(",") for s, k, e in spans)
+        found, missed, wrong = found + (hit and label), missed + (label and not hit), wrong + (hit and not label)
+    assert found >= 0.9 * (found + missed) and wrong <= 0.02 * len(planted)
+
+
+def test_pii_many_candidates_in_one_text():
+    text = " ".join(f"call {i % 997:03d} {i % 1000:03d} 4567" for i in range(20_000))
+    assert len(pii.find(text, pii.default_model())[1]) > 15_000
+
+
 def test_boosted_trees_learn():
     held = pii.labelled_candidates(600, seed=99)
     model = pii.default_model()
@@ -686,6 +727,78 @@ def test_secret_candidates(spark):
     assert rows[0].before.endswith('= "') and rows[0].after.startswith('" end')
 
 
+def brute_secrets(text):
+    """(start, candidate, before, after) of what the pattern proposes, without the names."""
+    out = []
+    for m in re.finditer(secrets._PROPOSED, text or "", re.ASCII):
+        name = re.match(f"{secrets._NAMED}(?=.{{6}})", m[0], re.ASCII)
+        start = m.start() + (name.end() if name else 0)
+        out.append((start, text[start : m.end()]))
+    return out
+
+
+def brute_features(candidate, before, after, path, words):
+    n = max(1, len(candidate))
+    classes = re.sub(r"[^aB0]", "-", re.sub("[0-9]", "0", re.sub("[A-Z]", "B", re.sub("[a-z]", "a", candidate))))
+    share = lambda pattern, t=candidate: len(re.sub(pattern, "", t)) / n
+    flag = lambda pattern, t=candidate: float(re.search(pattern, t) is not None)
+    listed = "(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
+    return [
+        math.log(n), (len(re.sub(r"(.)\1+", r"\1", classes)) - 1) / n, len(set(candidate)) / min(n, 64), share("[^0-9]"), share("[^A-Z]"), share("[^a-z]"), share("[A-Za-z0-9]"),
+        flag("^[0-9a-f]+$"), flag("^[0-9a-f]{8}-[0-9a-f]{4}-"), flag("^(AKIA|ASIA|gh[pousr]_|xox[baprs]-|sk[-_]|eyJ|-----BEGIN)"), 1 - share(listed, candidate.lower()),
+        flag(secrets._ODD_PATH, path), flag(secrets._GOOD_BEFORE, before[-24:]), flag(secrets._BAD_BEFORE, before[-24:]), flag(secrets._ASSIGNED, before), flag("^[\"']", after),
+    ]
+
+
+def test_secret_query_against_brute_force(spark):
+    """Candidates, places and probabilities of the query on a table, and of planted secrets and other strings in it."""
+    from pyspark.ml.linalg import Vectors
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    words = secrets.dictionary(table)
+    assert len(words) > 300 and "token" in words
+    model = secrets.train(secrets.labelled_findings(spark), words)
+    texts = {r.doc_id: (r.text, r.source) for r in table.collect()}
+    rows = queries.op2_secret_scan(spark, SF).collect()
+    got = {(r.doc_id, r.start): (r.length, r.candidate_sha256, r.probability) for r in rows}
+    want = {(i, s): c for i, (t, _) in texts.items() for s, c in brute_secrets(t)}
+    assert set(got) == set(want) and len(want) > 3
+    for (i, s), c in want.items():
+        text, source = texts[i]
+        others = [x for x in brute_secrets(text)]
+        after = next((x for x, _ in others if x > s), None)
+        before = text[max(0, s - 48) : s]
+        end = s + len(c)
+        vector = brute_features(c, before, text[end : end + 48] if after is None or len(others) == 1 else text[end : end + 1], source, words)
+        length, digest, p = got[i, s]
+        assert (length, digest) == (len(c), hashlib.sha256(c.encode()).hexdigest())
+        if len(others) == 1:
+            assert abs(float(model.predictProbability(Vectors.dense(vector))[1]) - p) < 2e-6
+
+
+def test_secrets_planted_in_a_table(spark):
+    """Precision and recall on labelled strings that stand in a table's texts."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 40").select("doc_id", "text").limit(150).collect()
+    labelled = secrets.labelled_findings(spark, 4000).collect()[-len(table) :]
+    r, rows = random.Random(4), []
+    for x, f in zip(table, labelled, strict=True):
+        at = r.choice([k for k, c in enumerate(x.text) if c == " "] or [0])
+        rows.append((x.doc_id, x.text[:at] + " " + f.before + f.candidate + f.after + x.text[at:], f.candidate, f.label))
+    words = secrets.dictionary(spark.read.parquet(f"{SF}/documents.parquet"))
+    model = secrets.train(secrets.labelled_findings(spark, 3500), words)
+    found = secrets.scan(docs(spark, [t for _, t, _, _ in rows], [i for i, *_ in rows]), model, dictionary=words).filter("secret").collect()
+    flagged = {(f.doc_id, f.candidate) for f in found}
+    right = sum((i, c) in flagged for i, _, c, y in rows if y)
+    wrong = sum((i, c) in flagged for i, _, c, y in rows if not y)
+    assert right >= 0.9 * sum(y for *_, y in rows) and right >= 0.9 * (right + wrong)
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"' for i in range(3000))
+    rows = secrets.candidates(docs(spark, [text, "x", 'k: "' + "ab12" * 5 + '"'])).collect()
+    assert sorted((r.doc_id, r.start, r.candidate) for r in rows) == sorted((i, s, c) for i, t in ((0, text), (2, 'k: "' + "ab12" * 5 + '"')) for s, c in brute_secrets(t))
+
+
 def test_secret_forest(spark):
     findings = secrets.labelled_findings(spark, 4000).withColumn("held", F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0)
     model = secrets.train(findings.filter("NOT held"))
