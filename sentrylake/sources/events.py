@@ -34,8 +34,11 @@ _FILES = "*.{jsonl,json,log}"
 
 @dataclass(frozen=True)
 class Parsed:
+    """Events and bad lines; ``lines`` has both, told apart by ``good``, for what needs them in one pass."""
+
     events: DataFrame
     bad: DataFrame
+    lines: DataFrame
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +94,7 @@ def parse_lines(lines: DataFrame, as_of: Column, aliases: dict[str, list[str]] =
     parsed = parsed.withColumn("ts_us", parse_micros(F.when(~F.lower(time).isin("true", "false", "nan"), time), as_of))
     good = F.col("fields").isNotNull() & F.col("ts_us").isNotNull()
     events = parsed.filter(good).select(F.col("value").alias("raw"), "fields", "ts_us", "seq")
-    return Parsed(events, parsed.filter(~good).select("value", "seq"))
+    return Parsed(events, parsed.filter(~good).select("value", "seq"), parsed.select("value", "fields", "ts_us", "seq", good.alias("good")))
 
 
 def read_events(spark: SparkSession, path: str, as_of: Column | None = None, aliases: dict[str, list[str]] = ALIASES) -> Parsed:
