@@ -10,30 +10,46 @@ confirmed on the stored rule text, so colliding digests cannot decide a verdict.
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with
 A-Z lower-cased; path: from there up to ``?``, ``#`` or the end. A null url, or
 one without ``://``, has an empty host and path, fits no rule and is allowed, as
-is any url without a rule. An empty table gives an empty result and repeated
-rows one verdict each. Columns named host, path, rule or verdict are replaced.
-
-The file takes 16 bytes a rule besides the texts. It is meant for lists that
-fit an executor's disk; ``MAX_RULES`` bounds it.
+is any url without a rule. Urls may be of any length. An empty table gives an
+empty result and repeated rows one verdict each; of rules of one length the one
+with the longer host wins. Columns named host, path, rule or verdict are
+replaced.
+
+Rules are a dictionary, or a table (rule, verdict) whose digests Spark computes
+and sorts; the driver then only streams the sorted rows to the file, which takes
+16 bytes a rule besides the texts and must fit an executor's disk: ``MAX_RULES``
+bounds it.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .util import map_texts
 
 MAX_RULES = 100_000_000
 
 
+def _digest(string: bytes) -> int:
+    """XXH64 with the seed that Spark's function of that name takes."""
+    return xxhash.xxh64_intdigest(string, 42)
+
+
+def digested(strings: Iterable[str], digest=_digest) -> list[tuple[int, bytes]]:
+    return sorted((digest(s), s) for s in {s.encode() for s in strings})
+
+
 class DigestArray:
     """Sorted digests, with the offsets of the full strings that they stand for, in one memory-mapped file."""
 
@@ -44,17 +60,23 @@ class DigestArray:
         self.text = np.memmap(path, dtype="u1", mode="r", offset=16 + 16 * n, shape=(text_bytes,)) if text_bytes else np.zeros(0, "u1")
 
     @staticmethod
-    def write(strings: list[str], path: str, digest=xxhash.xxh64_intdigest) -> None:
-        rows = sorted((digest(s.encode()), s.encode()) for s in set(strings))
-        keys = np.array([k for k, _ in rows], dtype="<u8")
-        ends = np.cumsum([len(s) for _, s in rows], dtype="<u8") if rows else keys
+    def write(rows: Iterable[tuple[int, bytes]], path: str) -> None:
+        """``rows``: digests and strings in the order of both, without repeats. They are streamed through files."""
+        with open(f"{path}.keys", "wb") as keys, open(f"{path}.ends", "wb") as ends, open(f"{path}.text", "wb") as text:
+            n = end = 0
+            for digest, string in rows:
+                n, end = n + 1, end + len(string)
+                keys.write(digest.to_bytes(8, "little"))
+                ends.write(end.to_bytes(8, "little"))
+                text.write(string)
         with open(path, "wb") as f:
-            np.array([len(rows), int(ends[-1]) if rows else 0], dtype="<u8").tofile(f)
-            keys.tofile(f)
-            ends.tofile(f)
-            f.write(b"".join(s for _, s in rows))
+            np.array([n, end], dtype="<u8").tofile(f)
+            for part in ("keys", "ends", "text"):
+                with open(f"{path}.{part}", "rb") as p:
+                    shutil.copyfileobj(p, f, 1 << 24)
+                os.remove(f"{path}.{part}")
 
-    def contains(self, strings: list[bytes], digest=xxhash.xxh64_intdigest) -> np.ndarray:
+    def contains(self, strings: list[bytes], digest=_digest) -> np.ndarray:
         """Which of the strings are stored: binary search for all of them, then a check of the full strings."""
         out = np.zeros(len(strings), dtype=bool)
         if not len(self.keys) or not strings:
@@ -86,19 +108,38 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
     return sorted(found, key=lambda r: (-len(r), r.find("/")))
 
 
-def filter_urls(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
+_folders: list[tempfile.TemporaryDirectory] = []
+
+
+def _sorted_rules(rules: DataFrame, verdict: str) -> Iterator[tuple[int, bytes]]:
+    """The digests and texts of a verdict's rules, sorted by Spark and fetched partition by partition."""
+    high = F.col("d").bitwiseXOR(F.lit(-(2**63)))  # unsigned order
+    rows = rules.filter(F.col("verdict") == verdict).select(F.xxhash64("rule").alias("d"), "rule").distinct().orderBy(high, F.col("rule").cast("binary"))
+    return ((r.d % (1 << 64), r.rule.encode()) for r in rows.toLocalIterator())
+
+
+def filter_urls(pages: DataFrame, rules: dict[str, str] | DataFrame) -> DataFrame:
     """``pages`` with host, path, rule and verdict. ``rules`` maps ``host/path`` to allow or block."""
-    if len(rules) > MAX_RULES:
+    spark: SparkSession = pages.sparkSession
+    if isinstance(rules, dict):
+        count, bad = len(rules), [r for r, v in rules.items() if "/" not in r or v not in ("allow", "block")]
+        lengths = sorted({len(r) - r.index("/") for r in rules if "/" in r})
+        rows = {v: iter(digested(r for r, w in rules.items() if w == v)) for v in ("allow", "block")}
+    else:
+        wrong = F.coalesce(~F.col("rule").contains("/") | ~F.col("verdict").isin("allow", "block"), F.lit(True))
+        count, bad = rules.count(), [r.rule for r in rules.filter(wrong).limit(3).collect()]
+        lengths = sorted(r[0] for r in rules.select(F.length("rule") - F.instr("rule", "/") + 1).distinct().collect())
+        rows = {v: _sorted_rules(rules, v) for v in ("allow", "block")}
+    if count > MAX_RULES:
         raise ValueError("too many rules for an array on each executor")
-    if bad := [r for r, v in rules.items() if "/" not in r or v not in ("allow", "block")]:
+    if bad:
         raise ValueError(f"not a rule: {bad[:3]}")
-    spark: SparkSession = pages.sparkSession
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="spark-urls-"))
+    _folders.append(tempfile.TemporaryDirectory(prefix="spark-urls-"))  # served to executors until the program ends
+    folder = os.path.realpath(_folders[-1].name)
     names = {v: f"{v}-{uuid.uuid4().hex}.bin" for v in ("allow", "block")}
     for verdict, name in names.items():
-        DigestArray.write([r for r, v in rules.items() if v == verdict], f"{folder}/{name}")
+        DigestArray.write(rows[verdict], f"{folder}/{name}")
         spark.sparkContext.addFile(f"{folder}/{name}")
-    lengths = sorted({len(r) - r.index("/") for r in rules})
 
     def judge(urls: list) -> tuple:
         arrays = {v: DigestArray(SparkFiles.get(name)) for v, name in names.items()}

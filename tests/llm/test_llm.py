@@ -589,12 +589,18 @@ def test_urls(spark):
     got = urlfilter.filter_urls(rows, queries.URL_RULES).collect()
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: brute_url(u, queries.URL_RULES) for i, u in enumerate(urls)}
     assert urlfilter.filter_urls(rows.limit(0), queries.URL_RULES).count() == 0
+    assert {r.verdict for r in urlfilter.filter_urls(rows, {}).collect()} == {"allow"}
+    listed = spark.createDataFrame([*queries.URL_RULES.items(), ("net/", "block"), *((f"h{i}.é/", "block") for i in range(300))], "rule string, verdict string")
+    again = urlfilter.filter_urls(rows, listed).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in again} == {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got}
+    with pytest.raises(ValueError):
+        urlfilter.filter_urls(rows, listed.withColumn("verdict", F.lit("maybe")))
 
 
 def test_digest_collisions(tmp_path):
     path, stored = str(tmp_path / "d"), [f"h{i}/" for i in range(50)]
     weak = lambda s: xxhash.xxh64_intdigest(s) % 7
-    urlfilter.DigestArray.write(stored, path, weak)
+    urlfilter.DigestArray.write(urlfilter.digested(stored, weak), path)
     probes = [f"h{i}/".encode() for i in range(100)]
     assert list(urlfilter.DigestArray(path).contains(probes, weak)) == [i < 50 for i in range(100)]
 
