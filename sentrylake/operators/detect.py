@@ -29,6 +29,7 @@ from .conditions import Fields, matches, split_key
 from .folds import Trail
 from .rules import Rule
 
+_HITS = "array<struct<rule:int,group:map<string,string>,group_key:string,missing:array<string>,value:string,steps:array<boolean>>>"
 _FIRED = "rule int, group_key string, pos long, ts_us long, first long, evidence_count int, picked array<long>, emitted boolean"
 
 
@@ -77,7 +78,7 @@ def hits(events: DataFrame, rules: Sequence[Rule], fields: Fields, raw: Column)
                 ),
             )
         )
-    found = F.explode(F.array_compact(F.array(*made)))
+    found = F.explode(F.array_compact(F.array(*made)) if made else F.array().cast(_HITS))
     return events.select("ts_us", "seq", "raw", found.alias("hit")).select("hit.*", "ts_us", "seq", "raw")
 
 
@@ -88,6 +89,8 @@ def skipped(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _by_rule(rules: Sequence[Rule], get: Callable[[Rule], object]) -> Column:
+    if not rules:
+        return F.lit(None).cast("string")
     table = F.create_map(*[x for r in rules for x in (F.lit(r.order), F.lit(get(r)))])
     return F.element_at(table, F.col("rule"))
 
@@ -234,7 +237,11 @@ def described(fired: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ``alert_id`` is a hash of rule, group, time and place, so that it is the same in every run.
     """
     get = lambda f: _by_rule(rules, f)
-    listed = lambda f: F.element_at(F.create_map(*[x for r in rules for x in (F.lit(r.order), F.array(*map(F.lit, f(r))).cast("array<string>"))]), F.col("rule"))
+
+    def listed(of: Callable[[Rule], Sequence[str]]) -> Column:
+        lists = [x for r in rules for x in (F.lit(r.order), F.array(*map(F.lit, of(r))).cast("array<string>"))]
+        return F.element_at(F.create_map(*lists), F.col("rule")) if lists else F.array().cast("array<string>")
+
     values = F.coalesce(F.from_json("group_key", "array<string>"), F.array().cast("array<string>"))
     return fired.select(
         F.substring(F.sha2(F.concat_ws("|", get(lambda r: r.id), "group_key", "ts_us", "pos"), 256), 1, 8).alias("alert_id"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -684,6 +684,29 @@ def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.order, r.id)]), F.col("rule")).alias("rule_id")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query(
+    """WITH l AS (SELECT event_id AS id, event_id % 4 AS k, event_id % 500 + 1 AS n FROM events)
+SELECT id, CASE k WHEN 0 THEN least(n, 200) WHEN 1 THEN 16 + least(n + 1, 80) WHEN 2 THEN NULL ELSE least(n, 120) END AS message,
+CASE k WHEN 1 THEN least(n + 1, 200) WHEN 2 THEN least(n, 300) END AS field, CASE WHEN k = 1 THEN least(n, 200) END AS agent FROM l"""
+)
+def truncated_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long messages, paths, agents and commands of up to 500 characters become."""
+    n = (F.col("event_id") % 500 + 1).cast("int")
+    long = lambda c: F.repeat(F.lit(c), n)
+    forms = {
+        "linux": _line(_t(), " web01 cron[3]: ", long("m")), "webserver": _line("10.0.0.1 - - [15/Jan/2024:10:00:00 +0000] \"GET /", long("p"), ' HTTP/1.1" 200 5 "-" "', long("a"), '"'),
+        "edr": _line('{"hostname": "pc", "user": "u", "event_type": "x", "process": {"name": "a.exe", "cmdline": "', long("c"), '"}}'), "syslog": _line("<13>", long("z")),
+    }
+    parts = []
+    for i, (kind, line) in enumerate(forms.items()):
+        rows = _lines(spark, sf_dir, line).filter(F.col("event_id") % 4 == i).select(F.col("event_id").alias("id"), "value")
+        made = parsers.parse_syslog(rows) if kind == "syslog" else parsers.parse(rows, kind)
+        size = lambda k: F.length(F.element_at("extra", F.lit(k)))
+        shown = F.length("message") if kind != "edr" else F.lit(None).cast("int")
+        parts.append(made.select("id", shown.cast("long").alias("message"), F.coalesce(size("url_path"), size("cmdline")).cast("long").alias("field"), size("user_agent").cast("long").alias("agent")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _year_end(spark: SparkSession, sf_dir: str, default: Column) -> Column:
     """The last day of the year that the events lie in, which dates their syslog times."""
     last = _events(spark, sf_dir).agg(F.max("ts_us")).first()[0]

@@ -287,6 +287,13 @@ def test_no_events(spark, tmp_path):
     assert report.alerts.count() == 0 and report.summary.count() == 0 and report.skipped.count() == 0
 
 
+def test_no_active_rules(spark, tmp_path):
+    low = build_rule({"id": "A", "name": "n", "severity": "low", "type": "match"})
+    for rules in ([], [low]):
+        report = run(spark, tmp_path, [ev(0, "dns")], rules=rules, min_severity="critical")
+        assert [x.count() for x in (report.alerts, report.summary, report.suppressed, report.skipped)] == [0, 0, 0, 0]
+
+
 def test_command_line(spark, tmp_path, capsys):
     from sentrylake.__main__ import main
 
