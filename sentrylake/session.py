@@ -13,10 +13,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds this package to the application's Python files, once, so that workers import it wherever they start."""
+    """Adds this package to the application's Python files, once, so that workers import it wherever they start.
+
+    It also bounds the batches that go to the workers, unless the session has a bound of its own.
+    """
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":  # the default: batches of that size are what fills executors beside the heap
+        spark.conf.set(_BATCH_BYTES, "8m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
