@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import let
 
 _ISO = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}:\d{2})(?:[.,](\d+))?\s*([Zz]|[+-]\d{2}(?::?\d{2})?)?$"
-_NUMBER = r"^[+-]?\d+(\.\d+)?$"
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 #: Layouts other than ISO, each with the shape of its texts, as a failed parse costs far more than a pattern; a leading weekday is cut off first.
 _LAYOUTS = (
     (r"^\d{2}/[A-Za-z]{3}/\d{4}:", "dd/MMM/yyyy:HH:mm:ss Z"),

@@ -179,7 +179,7 @@ def test_bad_lines(spark, tmp_path):
 
 def test_timestamps(spark):
     same = [
-        "2026-10-04T09:01:40Z", "1791104500", "1791104500000", "1791104500000000000", "2026-10-04 09:01:40", "2026-10-04T14:31:40+0530", "2026-10-04T14:31:40+05:30",
+        "2026-10-04T09:01:40Z", "1791104500", "1.7911045E9", "1791104500.0", "1791104500000", "1791104500000000000", "2026-10-04 09:01:40", "2026-10-04T14:31:40+0530", "2026-10-04T14:31:40+05:30",
         "04/Oct/2026:09:01:40 +0000", "Sun, 04 Oct 2026 09:01:40 +0000", "2026/10/04 09:01:40", "04 Oct 2026 09:01:40", "Oct  4 09:01:40",
     ]
     none = ["", "garbage", "true", "nan", "2026-13-04T09:01:40Z"]
