@@ -30,7 +30,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import ascii_lower, is_scan, land, packed_rows, remove, settings, work_dir
+from .util import BLOOM, ascii_lower, is_scan, land, packed_rows, remove, settings, work_dir
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -40,11 +40,6 @@ _STATE = {
     # else every one of many small stores reserves megabytes of disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Lets Spark build a Bloom filter of the hits' locators, at most 8 MB, so that fewer of the other texts are shuffled.
-_BLOOM = {
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
-}
 Digest = Callable[[Column], Column]
 _INDEX = "doc_id long, digest string, file string, row long"
 _GROUPS = "digest string, keep_id long, keep_at struct<file:string,row:long>, group_size long"
@@ -130,7 +125,7 @@ class Store:
         copies = rows.filter("group_size > 1")
         if copies.isEmpty():
             return rows
-        with settings(spark, _BLOOM):
+        with settings(spark, BLOOM):
             texts = self._fetched(copies).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
             clashes = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
             clashes = land(clashes, f"{path}/clashes")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .util import land, map_texts, packed_rows, remove, work_dir
+from .util import BLOOM, land, map_texts, packed_rows, remove, settings, work_dir
 
 MAX_BITS = 3
 GROUP_LIMIT = 512
@@ -408,10 +408,12 @@ def jaccard(one: str | None, two: str | None, shingle: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(links: DataFrame, texts: DataFrame, path: str, shingle: int, similarity: float) -> DataFrame:
     """The links whose whole texts are that similar."""
-    used = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    used = texts.join(used, "id", "left_semi")
+    # written first, so that their number is known when the texts are joined, and other texts are not shuffled
+    used = land(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{path}/used")
+    with settings(links.sparkSession, BLOOM):
+        used = land(texts.join(used, "id", "left_semi"), f"{path}/texts")
     pairs = links.join(used.select(F.col("id").alias("a"), F.col("text").alias("one")), "a").join(used.select(F.col("id").alias("b"), F.col("text").alias("two")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +437,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     # texts of one fingerprint are one from here on, so that a text repeated in other layouts crowds no block
     reps = land(found.groupBy("print").agg(F.min("doc_id").alias("id")), f"{path}/reps")
     links = land(similar_links(spark, reps, path, reps.count(), similarity, chunk), f"{path}/candidates")
-    good = _verified(links, texts.withColumnRenamed("doc_id", "id"), shingle, similarity)
+    good = _verified(links, texts.withColumnRenamed("doc_id", "id"), path, shingle, similarity)
     roots = components(spark, good, path).select(F.col("fp").alias("id"), "root")
     classes = land(reps.join(roots, "id", "left").select("print", F.coalesce("root", "id").alias("group_id")), f"{path}/classes")
     return found.join(classes, "print").select("doc_id", "group_id")

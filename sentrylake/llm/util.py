@@ -14,6 +14,11 @@ from ..session import shared_dir, ship
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Lets Spark build a Bloom filter of a join's small side, at most 8 MB, so that fewer texts are shuffled that have no partner.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
+}
 _made: list[list[str]] = []
 
 
