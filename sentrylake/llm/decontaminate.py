@@ -56,47 +56,58 @@ def _probe_at(w: Column, m: int, k: int):
     return lambda i: F.struct(F.lit(m).alias("m"), (i - 1).alias("p"), F.xxhash64(F.slice(w, i, k)).alias("h"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """Distinct (doc_id, text_hash, start, m, item) of the item windows that occur in documents; start counts words from 0."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """One pass over the texts: for every row one line (doc_id, text_hash, n_words, start null), and a line for every
+    occurrence of an item's window (start, counted in words from 0, m, item)."""
     windows = item_windows(benchmark, size)
     counted = windows.groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``size`` rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    base = ["doc_id", "text_hash", F.size("w").cast("long").alias("n_words")]
+    if not counted:
+        return texts.select(*base, F.lit(None).cast("int").alias("start"), F.lit(0).alias("m"), F.lit(None).cast("string").alias("item"))
     sent = sum(r.n * (1 + _gram(r.m)[1]) for r in counted)  # each window and the k-grams that it may be found by
     hint = F.broadcast if sent <= BROADCAST_ROWS else lambda df: df
-    grams, probes = [], []
+    grams, probes = [], [F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("p"), F.lit(0).cast("long").alias("h")))]  # the row itself is of no length
+    none = F.array().cast("array<struct<m:int,p:int,h:bigint>>")
     for m in sorted(r.m for r in counted):
         k, stride = _gram(m)
         inside = F.transform(F.sequence(F.lit(1), F.lit(stride)), _hash_at(F.split(F.col("window"), " "), k))
         grams.append(windows.filter(F.col("m") == m).select(F.lit(m).alias("m"), F.explode(inside).alias("h")))
         probe = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1, F.lit(stride)), _probe_at(F.col("w"), m, k))
-        probes.append(F.when(F.size("w") >= m, probe))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    if not counted:
-        return texts.select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit("").alias("item")).limit(0)
-    none = F.array().cast("array<struct<m:int,p:int,h:bigint>>")
-    probe = F.coalesce(probes[0], none) if len(probes) == 1 else F.concat(*[F.coalesce(p, none) for p in probes])
-    probed = texts.select("doc_id", "text_hash", "w", F.explode(probe).alias("x")).select("doc_id", "text_hash", "w", "x.*")
+        probes.append(F.coalesce(F.when(F.size("w") >= m, probe), none))
+    probed = texts.select(*base, "w", F.explode(F.concat(*probes)).alias("x")).select("doc_id", "text_hash", "n_words", "w", "x.*")
     seen = grams[0]
     for more in grams[1:]:
         seen = seen.unionByName(more)
     # what a shuffled probe carries along is the words around it, not its document
     k = F.floor((F.col("m") + 1) / 2).cast("int")
     lo, hi = F.greatest(F.col("p") - F.col("m") + k, F.lit(0)), F.least(F.size("w"), F.col("p") + F.col("m"))
-    probed = probed.filter(hi - lo >= F.col("m")).select("doc_id", "text_hash", "m", "h", lo.alias("lo"), F.slice("w", lo + 1, hi - lo).alias("near"))
-    hit = probed.join(hint(seen.distinct()), ["m", "h"], "left_semi")
-    around = hit.select("doc_id", "text_hash", "m", "lo", "near", F.explode(F.sequence(F.lit(0), F.size("near") - F.col("m"))).alias("j"))
-    around = around.select(
-        "doc_id", "text_hash", "m", (F.col("lo") + F.col("j")).alias("start"),
-        F.array_join(F.slice("near", F.col("j") + 1, F.col("m")), " ").alias("window"),
-    )
-    return around.join(hint(windows), ["m", "window"]).select("doc_id", "text_hash", "start", "m", "item")
+    probed = probed.filter((F.col("m") == 0) | (hi - lo >= F.col("m")))
+    probed = probed.select("doc_id", "text_hash", "n_words", "m", "h", lo.alias("lo"), F.when(F.col("m") > 0, F.slice("w", lo + 1, hi - lo)).alias("near"))
+    itself = F.col("m") == 0
+    hit = probed.join(hint(seen.distinct().withColumn("known", F.lit(True))), ["m", "h"], "left").filter(itself | F.col("known"))
+    places = F.transform(
+        F.sequence(F.lit(0), F.size("near") - F.col("m")),
+        lambda j: F.struct((F.col("lo") + j).alias("start"), F.array_join(F.slice("near", j + 1, F.col("m")), " ").alias("window")),
+    )
+    empty = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("window")))
+    around = hit.select("doc_id", "text_hash", "n_words", "m", F.explode(F.when(itself, empty).otherwise(places)).alias("x")).select("doc_id", "text_hash", "n_words", "m", "x.*")
+    found = around.join(hint(windows), ["m", "window"], "left").filter(itself | F.col("item").isNotNull())
+    return found.select("doc_id", "text_hash", "n_words", "start", "m", "item")
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
+    """Distinct (doc_id, text_hash, start, m, item) of the item windows that occur in documents; start counts words from 0."""
+    return _scanned(docs, benchmark, size).filter("start IS NOT NULL").drop("n_words").distinct()
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """One row per document: doc_id, text_hash, n_words, n_hit, items (sorted), spans (word ranges), contaminated."""
-    hits = find_hits(docs, benchmark, size).groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("m")).alias("end")))).alias("spans"),
+    hits = _scanned(docs, benchmark, size).groupBy("doc_id", "text_hash").agg(
+        F.max("n_words").alias("n_words"), F.count_if(F.col("start").isNull()).cast("int").alias("rows"),
+        F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct(F.col("start").alias("start"), (F.col("start") + F.col("m")).alias("end"))))).alias("spans"),
         F.array_sort(F.collect_set("item")).alias("items"),
-    )
+    )
     # the length of the union of one document's spans, which are sorted by start
     covered = F.aggregate(
         "spans",
@@ -107,19 +118,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
         ),
         lambda acc: acc["n"],
     )
-    hits = hits.select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_text"), "spans", "items", covered.cast("long").alias("hit"))
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
-    out = texts.join(hits, texts.doc_id.eqNullSafe(hits.h_id) & (texts.text_hash == hits.h_text), "left")
-    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    return out.select(
-        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
-    )
+    n_hit = covered.cast("long")
+    out = hits.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "items", "spans", "rows")
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    # rows that repeat id and text were one group
+    return out.select("*", F.explode(F.sequence(F.lit(1), "rows")).alias("copy")).drop("rows", "copy")
 
 
 def _key(doc_id: Column, text: Column) -> Column:
