@@ -288,17 +288,16 @@ class Automaton:
         self.after[1] = self.words[0]  # a document has one start and one end
         self.size = n + v + 1.0
         self.root = (self.words + 1) / self.size
+        self.root_arc = np.log10(self.root)
 
     def arcs(self, masses: tuple[float, float]) -> np.ndarray:
         """What reading an n-gram's last word after its history costs: the arc, or failure arcs and the arc behind them."""
         b, (one, two) = self.block, masses
-        low, state = self.root[b.pair_word], self.after[b.pair_history]
-        seen = (self.pairs + one * low) / (state + one)
-        word_fail, root_arc = np.log10(one / (state + one)), np.log10(low)
-        pair = np.where(self.pairs > 0, np.log10(seen), word_fail + root_arc)
-        state = self.pairs[b.triple_history]
-        arc, pair_fail = np.log10((self.triples + two * seen[b.triple_pair]) / (state + two)), np.log10(two / (state + two))
-        return np.concatenate((pair, np.where(self.triples > 0, arc, pair_fail + pair[b.triple_pair])))
+        seen = (self.pairs + one * self.root[b.pair_word]) / (self.after[b.pair_history] + one)
+        word_fail, pair_fail = np.log10(one / (self.after + one)), np.log10(two / (self.pairs + two))
+        pair = np.where(self.pairs > 0, np.log10(seen), word_fail[b.pair_history] + self.root_arc[b.pair_word])
+        arc = np.log10((self.triples + two * seen[b.triple_pair]) / (self.pairs[b.triple_history] + two))
+        return np.concatenate((pair, np.where(self.triples > 0, arc, pair_fail[b.triple_history] + pair[b.triple_pair])))
 
     def left_out(self, masses: tuple[float, float]) -> float:
         """The log likelihood of the block's training tokens, each left out of all counts."""
@@ -349,7 +348,7 @@ def _traversed(blocks: DataFrame, answers: DataFrame, shape: Shape, n: int, v: i
         scores = np.stack([auto.traverse(m) for m in grid], axis=1)
         return pd.DataFrame({
             "doc_id": pd.array(row.doc_id, dtype="Int64"), "training": row.training, "n_tokens": block.lens, "n_known": by_doc(auto.words > 0).astype(np.int64),
-            "base_score": by_doc(np.log10(auto.root)), "scores": list(scores), "left_out": [[auto.left_out(m) for m in grid]] + [None] * (docs - 1),
+            "base_score": by_doc(auto.root_arc), "scores": list(scores), "left_out": [[auto.left_out(m) for m in grid]] + [None] * (docs - 1),
         })
 
     sides = answers.filter("sender >= 0").select(F.col("sender").alias("block"), "range", "word_counts", "gram_counts").groupBy("block")
