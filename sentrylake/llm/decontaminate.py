@@ -13,6 +13,8 @@ Null and empty texts have no words and are never contaminated. Items without
 words or with a null text have no windows; items that share a window are all
 counted. An empty benchmark hits nothing, an empty table gives an empty result.
 Repeated rows get one result each; documents are told apart by doc_id and text.
+Texts may be of any length; judging one and cutting its hit words out take time in
+proportion to it.
 """
 
 from __future__ import annotations
@@ -146,8 +148,14 @@ def drop_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFra
     hits = judge(docs, benchmark, size).filter("n_hit > 0").select(_key_of_judged().alias("hit"), "spans").distinct()
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
     pieces = F.regexp_extract_all("text", F.lit(_WORD + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    kept = F.filter(pieces, lambda x, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    # the places of all hit words, and beyond them the end: what stands between two neighbours stays
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
     rows = docs.select(packed_rows(docs).alias("row"), F.col("text").cast("string").alias("text"))
     joined = rows.join(hits, _key(F.col("row.doc_id"), F.col("row.text")) == F.col("hit"), "left")
+    cut = joined.withColumn("pieces", F.when(F.col("spans").isNotNull(), pieces)).withColumn("places", F.concat(places, F.array(F.size("pieces"))))
+    begins = F.concat(F.array(F.lit(0)), F.transform("places", lambda p: p + 1))
+    gaps = F.filter(F.arrays_zip(begins.alias("from"), F.col("places").alias("to")), lambda g: g["from"] < g["to"])
+    cut = cut.withColumn("gaps", gaps)
+    kept = F.transform("gaps", lambda g: F.array_join(F.slice("pieces", g["from"] + 1, g["to"] - g["from"]), ""))
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return cut.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

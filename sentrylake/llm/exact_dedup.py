@@ -75,13 +75,10 @@ class Store:
     def add(self, docs: DataFrame) -> None:
         """Takes in an arrival. Locators of plain Parquet files lead to these, which must stay where they are; of
         anything else the store writes a copy of the texts."""
-        if not is_scan(docs):
+        if not is_scan(docs) or dict(docs.dtypes)["text"] != "string":
             texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             docs = land(texts, f"{self.root}/content/{uuid.uuid4().hex}")
-        folders = sorted({unquote(f).rsplit("/", 1)[0] for f in docs.inputFiles()})
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), self.digest(ascii_lower(F.col("text"))).alias("digest"), *_place())
-        if folders:
-            self.spark.createDataFrame([(f,) for f in folders], "folder string").coalesce(1).write.mode("append").parquet(f"{self.root}/folders")
         rows.write.mode("append").parquet(f"{self.root}/index")
 
     def index(self) -> DataFrame:
@@ -135,9 +132,10 @@ class Store:
         return rows.join(clashes, clashing, "left_anti").unionByName(self._regrouped(copies.join(clashes, clashing, "left_semi"), path))
 
     def _fetched(self, wanted: DataFrame) -> DataFrame:
-        """doc_id, digest, file, row and norm (the normalised text) of the wanted rows, read where their locators say."""
-        folders = [r.folder for r in self.spark.read.schema("folder string").parquet(f"{self.root}/folders").distinct().collect()]
-        texts = self.spark.read.parquet(*sorted(folders)).select(*_place(), ascii_lower(F.col("text")).alias("norm"))
+        """doc_id, digest, file, row and norm (the normalised text) of the wanted rows, read where their locators say: of the
+        files that hold any, the column text."""
+        files = [unquote(r.file) for r in wanted.select("file").distinct().collect()]
+        texts = self.spark.read.schema("text string").parquet(*sorted(files)).select(*_place(), ascii_lower(F.col("text")).alias("norm"))
         texts = texts.withColumn("at", F.xxhash64("file", "row")).drop("file", "row")
         wanted = wanted.select(F.xxhash64("file", "row").alias("at"), "doc_id", F.col("text_sha256").alias("digest"), "file", "row")
         # a text that another locator of the same hash brought has another digest

@@ -112,6 +112,42 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
+
+
+def _merkle_sql() -> str:
+    """Trees, and folds of the received leaves, level by level by recursion: first in each source, then over the subroots."""
+    part = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda t: "sha256(" + " || ".join(map(part, ["doc_id", "source", "lang", "n_chars", t])) + ")"
+    # a bit a step; the first of each byte's takes the byte in. The last complement changes what is even
+    x = "CASE WHEN j % 8 = 0 THEN xor(c, CAST(ascii(s[j // 8 + 1]) AS BIGINT)) ELSE c END"
+    crc = f"xor(4294967295, list_reduce(list_concat([4294967295], range(8 * length(s))), lambda c, j: xor(({x}) >> 1, 3988292384 * (({x}) & 1))))"
+    tree = """
+SELECT k, 0 AS lvl, i, n, d FROM {leaves}
+UNION ALL SELECT k, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY k, lvl, i // 3, n"""
+    beside = """
+SELECT k, lvl, i, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {tree} WINDOW w AS (PARTITION BY k, lvl, i // 3 ORDER BY i)"""
+    fold = """
+SELECT x, k, i, 0 AS lvl, n, d, proof FROM {start}
+UNION ALL SELECT f.x, f.k, f.i // 3, f.lvl + 1, (f.n + 2) // 3, sha256(l || d || r), proof || l || r
+FROM {name} f JOIN {beside} s ON f.k = s.k AND f.lvl = s.lvl AND f.i = s.i WHERE f.n > 1"""
+    return f"""
+WITH RECURSIVE given AS (SELECT doc_id, coalesce('=' || source, '') AS k, {leaf("text")} AS leaf,
+  CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS received FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+leaves AS (SELECT doc_id AS x, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY k) AS n, leaf AS d, received FROM given),
+tree AS ({tree.format(leaves="leaves", name="tree")}),
+subroots AS (SELECT k, d AS subroot FROM tree WHERE n = 1),
+tops AS (SELECT '' AS k, k AS source, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n, subroot AS d FROM subroots),
+top AS ({tree.format(leaves="tops", name="top")}),
+beside AS ({beside.format(tree="tree")}),
+over AS ({beside.format(tree="top")}),
+up AS ({fold.format(start="(SELECT x, k, i, n, received AS d, '' AS proof FROM leaves)", name="up", beside="beside")}),
+uptop AS ({fold.format(start="(SELECT x, '' AS k, t.i, t.n, up.d, proof FROM up JOIN tops t ON up.k = t.source WHERE up.n = 1)", name="uptop", beside="over")}),
+root AS (SELECT d AS root FROM top WHERE n = 1)
+SELECT x AS doc_id, leaves.d AS leaf, subroot, root, sha256(proof) AS proof_sha256, uptop.d AS folded_root, uptop.d = root AS verified
+FROM uptop JOIN leaves USING (x) JOIN subroots ON leaves.k = subroots.k CROSS JOIN root WHERE uptop.n = 1"""
+
+
 ORACLE_SQL = {
     "op1_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op3_exact_dedup": f"""
@@ -139,4 +175,5 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CA
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN pos ON dw.doc_id = pos.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id""",
+    "op11_merkle_manifest": _merkle_sql(),
 }

@@ -4,7 +4,8 @@ A rule is ``host/path``: it fits its host and all subdomains of it, for urls
 whose path starts with the rule's path; the longest rule wins. The XXH64 keys of
 all rules lie sorted in a file that Spark ships to every executor once; tasks
 memory-map it and probe it by vectorised binary search with every combination
-of a url's host suffixes and of the path lengths that rules have. A hit is
+of a url's host suffixes and of its path's starts that have as many labels, and
+characters, as rules have. A hit is
 confirmed on the stored rule text, so colliding digests cannot decide a verdict.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with
@@ -100,10 +101,13 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every rule text that could fit, the longest first; of equal length, the one with the longer host."""
-    labels = host.split(".")
-    suffixes = [".".join(labels[i:]) for i in range(len(labels))] if host else []
+def candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[str]:
+    """Every rule text that could fit, the longest first; of equal length, the one with the longer host.
+
+    ``lengths`` are those of the rules' paths, ``labels`` the numbers of labels that their hosts have.
+    """
+    last = host.rsplit(".", max(labels, default=0))
+    suffixes = [".".join(last[-n:]) for n in labels if n < len(last) or n == len(last) == host.count(".") + 1] if host else []
     found = {s + path[:n] for s in suffixes for n in lengths if n <= len(path)}
     return sorted(found, key=lambda r: (-len(r), r.find("/")))
 
@@ -124,11 +128,13 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] | DataFrame) -> DataFram
     if isinstance(rules, dict):
         count, bad = len(rules), [r for r, v in rules.items() if "/" not in r or v not in ("allow", "block")]
         lengths = sorted({len(r) - r.index("/") for r in rules if "/" in r})
+        labels = sorted({r.count(".", 0, r.index("/")) + 1 for r in rules if "/" in r})
         rows = {v: iter(digested(r for r, w in rules.items() if w == v)) for v in ("allow", "block")}
     else:
         wrong = F.coalesce(~F.col("rule").contains("/") | ~F.col("verdict").isin("allow", "block"), F.lit(True))
         count, bad = rules.count(), [r.rule for r in rules.filter(wrong).limit(3).collect()]
         lengths = sorted(r[0] for r in rules.select(F.length("rule") - F.instr("rule", "/") + 1).distinct().collect())
+        labels = sorted(r[0] for r in rules.select(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))).distinct().collect())
         rows = {v: _sorted_rules(rules, v) for v in ("allow", "block")}
     if count > MAX_RULES:
         raise ValueError("too many rules for an array on each executor")
@@ -144,7 +150,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] | DataFrame) -> DataFram
     def judge(urls: list) -> tuple:
         arrays = {v: DigestArray(SparkFiles.get(name)) for v, name in names.items()}
         parts = [split_url(u) for u in urls]
-        tried = [candidates(h, p, lengths) for h, p in parts]
+        tried = [candidates(h, p, lengths, labels) for h, p in parts]
         flat = [r.encode() for t in tried for r in t]
         hits = {v: a.contains(flat) for v, a in arrays.items()}
         rule: list[str | None] = []

@@ -45,8 +45,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def is_scan(df: DataFrame) -> bool:
-    """Whether ``df`` is files as they are, so that a row's file and place in it lead back to its columns."""
-    return df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    """Whether ``df`` is Parquet files as they are, so that a row's file and place in it lead back to its columns."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.nodeName() == "LogicalRelation" and plan.simpleString(1).rstrip().lower().endswith("parquet")
 
 
 def land(df: DataFrame, path: str) -> DataFrame:
