@@ -1,24 +1,32 @@
 """Keyed detections over events: match, threshold, distinct count and sequence, with de-duplication.
 
 An event can satisfy several rules; one scan turns it into one hit per rule.
-Whether a rule could fire at a hit depends only on the hits before it, so
-window functions find candidates. Candidates of a key that lie further apart
-than the rule's window and the throttle have nothing to do with each other:
-they make sessions of their own. A session of one match or threshold candidate
-is an alert as it stands; a session that cannot hold enough values, or the last
-step of a sequence, is left out; only the other ones go through a fold, which
-restarts a window after the alert that it raised and suppresses alerts for
-``dedupe`` seconds after the last one of the key. Folds stream over sorted
-partitions dealt by session, so no group is held in memory and a busy group is
-many sessions.
+What a hit may fire on lies within the rule's window before it, so the hits of
+a key are dealt out by time buckets as long as the window and the throttle, and
+a bucket's work needs the bucket before it at most: one busy group is the work
+of many tasks. Positions within a key are prefix sums of the buckets' counts;
+window functions over (key, bucket), one sorted pass for all rules, find
+candidates; distinct counts are a pass over each bucket with two ends.
+
+Which candidates are alerts depends on the alert before: a window restarts after
+it and the throttle counts from it. Candidates of a key that lie further apart
+than window and throttle have nothing to do with each other and make sessions of
+their own. A session of one candidate is an alert as it stands. In longer ones
+the next alert is the first candidate whose window starts after the last one
+and whose time is past the throttle; both grow along the session, so it is
+found by bisection: the pass takes a step an alert, not a step a hit, over
+sorted numbers that stream through. Sequences go through a fold by session.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import Counter, deque
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +103,26 @@ def _by_rule(rules: Sequence[Rule], get: Callable[[Rule], object]) -> Column:
     return F.element_at(table, F.col("rule"))
 
 
-def _positions(found: DataFrame) -> DataFrame:
-    """Complete hits, numbered from 1 within their key by time and arrival."""
-    w = Window.partitionBy("rule", "group_key").orderBy("ts_us", "seq")
-    return found.filter(F.size("missing") == 0).withColumn("pos", F.row_number().over(w).cast("long"))
+_BUCKET = ["rule", "group_key", "bucket"]
+
+
+def _micros(seconds: int) -> int:
+    return seconds * 1_000_000
+
+
+def _width(rule: Rule, dedupe: int) -> int:
+    """Microseconds in a time bucket of a rule: what a hit looks back on is no longer."""
+    return max(0 if rule.type == "match" else _micros(rule.window), dedupe, 1_000_000)
+
+
+def _positions(found: DataFrame, rules: Sequence[Rule], dedupe: int) -> DataFrame:
+    """Complete hits with their time ``bucket``, numbered from 1 within their key by time and arrival (``pos``)."""
+    rows = found.filter(F.size("missing") == 0).withColumn("bucket", F.floor(F.col("ts_us") / _by_rule(rules, lambda r: _width(r, dedupe))).cast("long"))
+    counts = rows.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("rule", "group_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*_BUCKET, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*_BUCKET).orderBy("ts_us", "seq"))
+    return rows.join(counts, _BUCKET).withColumn("pos", F.col("before") + inside).drop("before")
 
 
 def _pass(rows: DataFrame, step: Callable[[int], Callable], schema: str) -> DataFrame:
@@ -120,22 +144,40 @@ def _pass(rows: DataFrame, step: Callable[[int], Callable], schema: str) -> Data
     return ordered.mapInPandas(run, schema)
 
 
-def _distinct(rule: Rule) -> Callable:
-    """Gives the last position from which a row reaches the rule's number of distinct values, None if there is none in the window."""
-    last: OrderedDict[str, tuple[int, int]] = OrderedDict()  # value -> its last position and time, the latest at the end
-    span = rule.window * 1_000_000
-
-    def start(row):
-        if row.value is not None:
-            last[row.value] = (row.pos, row.ts_us)
-            last.move_to_end(row.value)
-        while last and next(iter(last.values()))[1] < row.ts_us - span:
-            last.popitem(last=False)
-        if len(last) < rule.threshold:
-            return None
-        return next(p for i, (p, _) in enumerate(reversed(last.values()), 1) if i == rule.threshold), None
+def _distinct(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``start`` of the hits of distinct-count rules that reach their number of values in the window: the last position
+    from which on there are so many. Buckets stream through in order, each with the hits of the one before at its head."""
+    ship(rows.sparkSession)
+    need = {r.order: (max(1, r.threshold), _micros(r.window)) for r in rules}
+    schema = "rule int, group_key string, bucket long, pos long, ts_us long, low long, start long"
 
-    return start
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, counts, n, span = None, deque(), Counter(), 0, 0
+        for b in batches:
+            picked, starts = [], []
+            columns = [b.column(c).to_pylist() for c in (*_BUCKET, "pos", "ts_us", "value", "own")]
+            for i, (rule, group, bucket, pos, ts, value, own) in enumerate(zip(*columns, strict=True)):
+                if key != (rule, group, bucket):
+                    key, held, counts, (n, span) = (rule, group, bucket), deque(), Counter(), need[rule]
+                held.append((pos, ts, value))
+                if value is not None:
+                    counts[value] += 1
+                # a hit goes when the window has left it, or the others are enough without it
+                while held[0][1] < ts - span or len(counts) > n or len(counts) == n and (held[0][2] is None or counts[held[0][2]] > 1):
+                    old = held.popleft()[2]
+                    if old is not None:
+                        counts[old] -= 1
+                        if not counts[old]:
+                            del counts[old]
+                if own and len(counts) >= n:
+                    picked.append(i)
+                    starts.append(held[0][0])
+            kept = b.take(pa.array(picked, pa.int64()))
+            names = [c.split()[0] for c in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names[:-1]), pa.array(starts, pa.int64())], names)
+
+    rows = rows.select(*_BUCKET, "pos", "ts_us", "low", "value", "own")
+    return rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "pos").mapInArrow(run, schema)
 
 
 def _sequence(rule: Rule) -> Callable:
@@ -149,81 +191,129 @@ def _sequence(rule: Rule) -> Callable:
     return start
 
 
-def _counted(rule: Rule) -> Callable:
-    """Rows of match and threshold rules arrive as candidates: the window functions have tested them."""
-    n = max(1, rule.threshold) if rule.type == "threshold" else 1
-    return lambda row: (row.pos - n + 1, None)
-
-
-def _chain(rules: Sequence[Rule], dedupe: int) -> Callable[[int], Callable]:
-    """The fold of one session: a window restarts after its alert, and the throttle counts from the last alert."""
+def _sequences(rules: Sequence[Rule], dedupe: int) -> Callable[[int], Callable]:
+    """The fold of one session of a sequence rule."""
     by_order = {r.order: r for r in rules}
-    kinds = {"distinct_count": _distinct, "sequence": _sequence}
 
     def new(order: int) -> Callable:
-        rule = by_order[order]
-        start = kinds.get(rule.type, _counted)(rule)
-        after, last = 0, None  # the position of the last alert, and its time
+        start, last = _sequence(by_order[order]), None
 
         def step(row):
-            nonlocal after, last
+            nonlocal last
             found = start(row)
-            if found is None or found[0] <= after:
+            if found is None:
                 return None
-            picked = found[1]
-            first = max(after, row.low)
-            n = row.pos - first if picked is None else len(picked)
             emitted = last is None or row.ts_us - last >= dedupe
             if emitted:
-                after, last = row.pos, row.ts_us
-            return row.rule, row.group_key, row.pos, row.ts_us, first, n, picked, emitted
+                last = row.ts_us
+            return row.rule, row.group_key, row.pos, row.ts_us, row.pos - 1, len(found[1]), found[1], emitted
 
         return step
 
     return new
 
 
-def candidates(placed: DataFrame, rules: Sequence[Rule], dedupe: int) -> DataFrame:
-    """Rows that could fire, or that decide about one that could, with their ``session`` and ``low``, the last position
-    that the window has left behind; ``alone`` marks those that are an alert as they stand."""
-    key = Window.partitionBy("rule", "group_key")
-    order, behind = key.orderBy("ts_us", "pos"), key.orderBy("ts_us")
+def _chained(rows: DataFrame, dedupe: int) -> DataFrame:
+    """The attempted alerts among candidates (pos, ts_us, low, start) of sessions, which stream through in order.
+
+    Attempts are the candidates whose window starts after the last alert; of these the first past the throttle is the next.
+    """
+    ship(rows.sparkSession)
+    keys = ["rule", "group_key", "session"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, after, last = None, 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rule, session, pos, ts, low, start = (b.column(n).to_numpy() for n in ("rule", "session", "pos", "ts_us", "low", "start"))
+            group = b.column("group_key").to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((rule[1:] != rule[:-1]) | (session[1:] != session[:-1]) | (group[1:] != group[:-1])) + 1
+            tried, emitted, since = np.zeros(len(pos), bool), np.zeros(len(pos), bool), np.zeros(len(pos), np.int64)
+            for a, z in zip([0, *turns.tolist()], [*turns.tolist(), len(pos)], strict=True):
+                if key != (rule[a], group[a], session[a]):
+                    key, after, last = (rule[a], group[a], session[a]), 0, None
+                while a < z:
+                    a += int(np.searchsorted(start[a:z], after, "right"))
+                    to = a if last is None else a + int(np.searchsorted(ts[a:z], last + dedupe, "left"))
+                    end = min(to + 1, z)
+                    tried[a:end], since[a:end] = True, after
+                    if to < z:
+                        emitted[to], after, last = True, int(pos[to]), int(ts[to])
+                    a = end
+            first = np.maximum(since, low)[tried]
+            kept = b.filter(pa.array(tried))
+            none = pa.nulls(kept.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(kept.column(n) for n in ("rule", "group_key", "pos", "ts_us")), pa.array(first), pa.array((pos[tried] - first).astype(np.int32)), none, pa.array(emitted[tried])],
+                [c.split()[0] for c in _FIRED.split(", ")],
+            )
+
+    rows = rows.select(*keys, "pos", "ts_us", "low", "start")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(run, _FIRED)
+
+
+def _sessions(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``session`` and whether they are ``alone`` in it. A session is a run of buckets that hold rows:
+    a bucket is as long as window and throttle, so rows with an empty one between them have nothing to do with each other."""
+    key = Window.partitionBy("rule", "group_key").orderBy("bucket")
+    begun = F.when(F.coalesce(F.col("bucket") - F.lag("bucket").over(key) > 1, F.lit(True)), F.col("bucket"))
+    runs = rows.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).withColumn("begun", begun)
+    runs = runs.withColumn("session", F.max("begun").over(key.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("alone", F.sum("n").over(Window.partitionBy("rule", "group_key", "session")) == 1)
+    return rows.join(runs.drop("n", "begun"), _BUCKET)
+
+
+def candidates(placed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Hits of match, threshold and distinct-count rules that could fire: rule, group_key, bucket, pos, ts_us, low (the last
+    position that the window has left behind) and start (where the hits that make it fire begin)."""
     of = lambda rs: F.col("rule").isin([r.order for r in rs])
-    kind = lambda *types: [r for r in rules if r.type in types]
-    rows = placed.select("rule", "group_key", "pos", "ts_us", "value", "steps").withColumn("low", F.col("pos") - 1)
-    for window in sorted({r.window for r in kind("threshold", "distinct_count")}):
-        n = F.count(F.lit(1)).over(behind.rangeBetween(Window.unboundedPreceding, -window * 1_000_000 - 1))
-        mine = [r for r in kind("threshold", "distinct_count") if r.window == window]
-        rows = rows.withColumn("low", F.when(of(mine), n).otherwise(F.col("low")))
-    for n, window in sorted({(r.threshold, r.window) for r in kind("threshold") if r.threshold > 1}):
-        mine = [r for r in kind("threshold") if (r.threshold, r.window) == (n, window)]
-        near = F.coalesce(F.col("ts_us") - F.lag("ts_us", n - 1).over(order) <= window * 1_000_000, F.lit(False))
-        rows = rows.withColumn("fires", near).filter(~of(mine) | F.col("fires")).drop("fires")
-    apart = _by_rule(rules, lambda r: max(0 if r.type == "match" else r.window * 1_000_000, dedupe - 1))
-    begins = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(order) > apart, F.lit(True))
-    rows = rows.withColumn("session", F.sum(begins.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("rule", "group_key", "session")
-    if counted := kind("distinct_count"):
-        new = F.col("value").isNotNull() & (F.row_number().over(Window.partitionBy("rule", "group_key", "session", "value").orderBy("pos")) == 1)
-        rows = rows.withColumn("new", new & of(counted)).withColumn("values", F.sum(F.col("new").cast("long")).over(whole))
-        rows = rows.filter(~of(counted) | (F.col("values") >= _by_rule(rules, lambda r: r.threshold))).drop("new", "values")
-    if steps := kind("sequence"):
-        last = F.coalesce(F.get("steps", _by_rule(rules, lambda r: max(0, len(r.steps) - 1))), F.lit(False))
-        rows = rows.withColumn("ends", F.max(last & of(steps)).over(whole)).filter(~of(steps) | F.col("ends")).drop("ends")
-    alone = of(kind("match", "threshold")) & (F.lit(dedupe == 0) & of(kind("match")) | (F.count(F.lit(1)).over(whole) == 1))
-    return rows.withColumn("alone", alone)
+    values = [r for r in rules if r.type == "distinct_count"]
+    many = [r for r in rules if r.type == "threshold" and r.threshold > 1]
+    shown = [*_BUCKET, "pos", "ts_us", "low", "start"]
+    # hits of rules that look back go to the next bucket too
+    next_one = F.when(of([*many, *values]), F.struct((F.col("bucket") + 1).alias("bucket"), F.lit(False).alias("own")))
+    copies = F.explode(F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(True).alias("own")), next_one)))
+    rows = placed.select("rule", "group_key", copies.alias("at"), "pos", "ts_us", "value").select("rule", "group_key", "at.bucket", "at.own", "pos", "ts_us", "value")
+    here = Window.partitionBy(*_BUCKET)
+    back, first = F.lit(None).cast("long"), F.col("pos")
+    for n in sorted({r.threshold for r in many}):
+        back = F.when(of([r for r in many if r.threshold == n]), F.lag("ts_us", n - 1).over(here.orderBy("ts_us", "pos"))).otherwise(back)
+    for window in sorted({r.window for r in [*many, *values]}):
+        mine = of([r for r in [*many, *values] if r.window == window])
+        first = F.when(mine, F.min("pos").over(here.orderBy("ts_us").rangeBetween(-_micros(window), 0))).otherwise(first)
+    rows = rows.withColumn("back", back).withColumn("low", first - 1)
+    near = F.coalesce(F.col("ts_us") - F.col("back") <= _by_rule(rules, lambda r: _micros(r.window)), F.lit(False)) if many else F.lit(False)
+    fits = F.col("own") & F.when(of(many), near).otherwise(~of(values))
+    start = F.col("pos") - F.when(of(many), _by_rule(rules, lambda r: r.threshold) - 1).otherwise(0)
+    made = rows.filter(fits).withColumn("start", start.cast("long")).select(shown)
+    return made.unionByName(_distinct(rows.filter(of(values)), values).select(shown)) if values else made
 
 
 def fire(found: DataFrame, rules: Sequence[Rule], dedupe_seconds: int) -> tuple[DataFrame, DataFrame]:
     """Numbered hits, and the attempted alerts: emitted ones and suppressed ones."""
-    placed, dedupe = _positions(found), dedupe_seconds * 1_000_000
-    rows = candidates(placed, rules, dedupe)
-    simple = all(r.type == "match" for r in rules) and not dedupe
-    alone = (rows if simple else rows.filter("alone")).select(
+    dedupe = _micros(dedupe_seconds)
+    placed = _positions(found, rules, dedupe)
+    steps, others = [r for r in rules if r.type == "sequence"], [r for r in rules if r.type != "sequence"]
+    plain = lambda rows: rows.select(
         "rule", "group_key", "pos", "ts_us", F.col("low").alias("first"), (F.col("pos") - F.col("low")).cast("int").alias("evidence_count"),
         F.lit(None).cast("array<long>").alias("picked"), F.lit(True).alias("emitted"),
     )
-    return placed, alone if simple else alone.unionByName(_pass(rows.filter("NOT alone").drop("alone"), _chain(rules, dedupe), _FIRED))
+    fired = []
+    if free := [] if dedupe else [r for r in others if r.type == "match"]:  # without a throttle every hit is an alert
+        fired.append(plain(candidates(placed.filter(F.col("rule").isin([r.order for r in free])), free)))
+    if bound := [r for r in others if r not in free]:
+        rows = _sessions(candidates(placed.filter(F.col("rule").isin([r.order for r in bound])), bound))
+        fired += [plain(rows.filter("alone")), _chained(rows.filter("NOT alone"), dedupe)]
+    if steps:
+        rows = placed.filter(F.col("rule").isin([r.order for r in steps])).select(*_BUCKET, "pos", "ts_us", "steps")
+        rows = _sessions(rows)
+        last = F.coalesce(F.get("steps", _by_rule(steps, lambda r: max(0, len(r.steps) - 1))), F.lit(False))
+        rows = rows.withColumn("ends", F.max(last).over(Window.partitionBy("rule", "group_key", "session"))).filter("ends")
+        fired.append(_pass(rows.select("rule", "group_key", "session", "pos", "ts_us", "steps"), _sequences(steps, dedupe), _FIRED))
+    if not fired:
+        return placed, plain(candidates(placed, []))
+    return placed, reduce(DataFrame.unionByName, fired)
 
 
 def active(rules: Sequence[Rule], min_severity: str = "low") -> list[Rule]:
