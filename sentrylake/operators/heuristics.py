@@ -52,19 +52,30 @@ def trailing_distinct(rows: DataFrame, key: list[str], ts_us: str, window: int,
     return steps.withColumn(name, F.sum("__by").over(running)).filter("__row = 1").drop("__at", "__row", "__by")
 
 
+def concerned() -> tuple[Column, Column, Column]:
+    """The source of a normalized row, whether it counts as a failed login and whether it counts as a contact with a port."""
+    src = F.coalesce("source_ip", F.lit(""))
+    failed = F.col("log_type").isin("linux", "windows", "authentication") & F.coalesce(F.col("action") == "block", F.lit(False)) & (src != "")
+    scanned = (F.col("log_type") == "netflow") & (src != "") & (F.coalesce("destination_port", F.lit(0)) != 0)
+    return src, F.coalesce(failed, F.lit(False)), F.coalesce(scanned, F.lit(False))
+
+
 def threats(rows: DataFrame, ts_us: str = "ts_us", order: tuple[str, ...] = ("seq",), keep: tuple[str, ...] = ()) -> DataFrame:
     """THREAT, threat_type, severity, source, message, timestamp, related_log_type of every row that a check fires on, and its columns ``keep``."""
-    extra = lambda k: F.element_at("extra", F.lit(k))
-    src = F.coalesce("source_ip", F.lit(""))
-    port = F.col("destination_port")
-    failed = F.col("log_type").isin("linux", "windows", "authentication") & (F.col("action") == "block") & (src != "")
-    flow = F.col("log_type") == "netflow"
-    scanned = flow & (src != "") & (F.coalesce(port, F.lit(0)) != 0)
+    src, failed, scanned = concerned()
     # rows that a windowed check does not concern get a key of their own, so that they neither sort nor collect with it
     alone = F.xxhash64(ts_us, *order, "raw").cast("string")
     rows = rows.withColumn("__fail_key", F.when(failed, src).otherwise(alone)).withColumn("__scan_key", F.when(scanned, src).otherwise(alone))
     rows = rows.withColumn("__fails", F.when(failed, trailing_count(["__fail_key"], ts_us, BRUTE_WINDOW, list(order), failed)))
-    rows = trailing_distinct(rows, ["__scan_key"], ts_us, SCAN_WINDOW, list(order), F.when(scanned, port), "__ports")
+    rows = trailing_distinct(rows, ["__scan_key"], ts_us, SCAN_WINDOW, list(order), F.when(scanned, F.col("destination_port")), "__ports")
+    return judged(rows, keep)
+
+
+def judged(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``threats`` of rows whose trailing counts are known: ``__fails`` failures and ``__ports`` distinct ports of their source."""
+    extra = lambda k: F.element_at("extra", F.lit(k))
+    src, _, scanned = concerned()
+    port, flow = F.col("destination_port"), F.col("log_type") == "netflow"
     size, name = extra("bytes").try_cast("double"), F.coalesce(extra("query_name"), F.lit(""))
     host = F.coalesce("hostname", F.lit("?"))
     checks = {

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timestamps import parse_micros
-from ..operators.heuristics import BRUTE_WINDOW, SCAN_WINDOW, threats
+from ..operators.heuristics import threats
 from ..operators.normalize import SCHEMA, normalize
 from ..sources.parsers import parse, parse_syslog
+from ..streaming.detector import STORE
 from ..streaming.sinks import counted
+from ..streaming.threats import threat_stream
 
 
 def normalized(sources: dict[str, DataFrame], as_of: Column | None = None) -> DataFrame:
@@ -57,25 +59,42 @@ def run(spark: SparkSession, sources: dict[str, DataFrame], out: str, as_of: Col
     return Captured(n, log, spark.read.schema(found.schema).json(f"{out}/threats"))
 
 
-def follow(sources: dict[str, DataFrame], out: str, checkpoint: str, as_of: Column | None = None, available_now: bool = False, lateness: int = 600) -> StreamingQuery:
-    """Streams of lines: every micro-batch appends to the log and its threats.
+@dataclass(frozen=True)
+class Following:
+    """The two queries of a capture that goes on: raw lines to the log, and the log to its threats."""
+
+    log: StreamingQuery
+    threats: StreamingQuery
+
+    def awaitTermination(self) -> None:
+        for q in (self.log, self.threats):
+            q.awaitTermination()
+
+    def stop(self) -> None:
+        for q in (self.log, self.threats):
+            q.stop()
+
+
+def follow(sources: dict[str, DataFrame], out: str, checkpoint: str, as_of: Column | None = None, available_now: bool = False, keep_seconds: int = 3600) -> Following:
+    """Streams of lines: the log grows under ``out/log`` and its threats under ``out/threats`` (``streaming.threats``).
 
-    The rows of the last window stand by under ``out/recent``, so that a check meets what came in earlier batches, also
-    where one source is up to ``lateness`` seconds behind another. A batch that is replayed writes the same folders again.
+    Each query goes on from its own checkpoint; what the log's query has committed is what the other one reads.
+    ``available_now`` takes what is there and ends.
     """
-    keep = (max(BRUTE_WINDOW, SCAN_WINDOW) + lateness) * 1_000_000
-
-    def save(batch: DataFrame, number: int) -> None:
-        spark, now = batch.sparkSession, as_of if as_of is not None else F.current_timestamp()
-        batch.write.mode("overwrite").json(f"{out}/log/batch={number}")
-        fresh = timed(spark.read.schema(SCHEMA).json(f"{out}/log/batch={number}"), now).withColumn("fresh", F.lit(True))
-        rows = fresh.withColumn("seq", F.struct(F.lit(number).alias("batch"), F.col("seq").alias("row")))
-        if number:
-            rows = spark.read.schema(rows.schema).json(f"{out}/recent/batch={number - 1}").withColumn("fresh", F.lit(False)).unionByName(rows)
-        newest = rows.agg(F.max("ts_us")).first()[0]
-        rows.filter(F.lit(newest is None) | (F.col("ts_us") > (newest or 0) - keep)).write.mode("overwrite").json(f"{out}/recent/batch={number}")
-        found = threats(rows, keep=("fresh",))
-        found.filter("fresh").drop("fresh").write.mode("overwrite").json(f"{out}/threats/batch={number}")
-
-    writer = counted(normalized(sources, as_of)).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    spark = next(iter(sources.values())).sparkSession
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    once = lambda w: (w.trigger(availableNow=True) if available_now else w).start()
+    write = lambda rows, name: rows.writeStream.format("json").option("path", f"{out}/{name}").option("checkpointLocation", f"{checkpoint}/{name}")
+    made = once(write(counted(normalized(sources, as_of)), "log"))
+    if available_now:
+        made.awaitTermination()
+    else:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/log")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    lines = spark.readStream.schema(SCHEMA).json(f"{out}/log").withColumn("place", F.format_string("%020d %s", F.unix_micros("_metadata.file_modification_time"), "_metadata.file_name"))
+    now = as_of if as_of is not None else F.current_timestamp()
+    rows = lines.withColumn("ts_us", parse_micros(F.col("timestamp"), now)).filter("ts_us IS NOT NULL")
+    # a stream cannot number rows: those of one file and instant go by their text, and equal ones are told apart
+    rows = rows.withColumn("seq", F.concat_ws(" ", "place", F.hex(F.xxhash64("raw")), F.expr("uuid()"))).drop("place")
+    return Following(made, once(write(threat_stream(rows, keep_seconds), "threats")))

@@ -97,7 +97,8 @@ def detect_stream(
     """
     ship(hits.sparkSession)
     seen = hits.observe(f"{name}-hits", F.sum(F.size("missing")).alias("skipped"))
-    rows = seen.filter(F.size("missing") == 0).withColumn("event_ts", F.timestamp_micros("ts_us")).withWatermark("event_ts", lateness)
+    mine = F.col("rule").isin([r.order for r in rules])  # hits of other rules only count as skipped
+    rows = seen.filter(mine & (F.size("missing") == 0)).withColumn("event_ts", F.timestamp_micros("ts_us")).withWatermark("event_ts", lateness)
     rows = rows.select("rule", "group_key", "value", "steps", "ts_us", "seq", "raw", "event_ts")
     processor = RuleProcessor(rules, dedupe_seconds, evidence_limit)
     made = rows.groupBy("rule", "group_key").transformWithStateInPandas(processor, _ATTEMPTS, outputMode="Append", timeMode="EventTime")
