@@ -1,8 +1,8 @@
 """What one key remembers while its hits pass in order: shared by batch passes and streams.
 
 Every fold keeps ``rows``, a list of (time, value, item), and ``add`` returns
-the rows that make the rule fire at a hit, or None. ``cut`` says whether rows
-were taken away since the fold was made, else they were only added to.
+the rows that make the rule fire at a hit, or None. Rows are added at the end
+and taken away at the front; ``gone`` counts those taken away.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ class Single:
 
     def __init__(self, rule: Rule, rows: Iterable[Row] = ()) -> None:
         self.rows: Sequence[Row] = ()
-        self.cut = False
+        self.gone = 0
 
     def add(self, ts: int, value: str | None, steps: Sequence[bool], item: object) -> list[Row]:
         return [(ts, value, item)]
@@ -33,17 +33,19 @@ class Trail:
 
     def __init__(self, rule: Rule, rows: Iterable[Row] = ()) -> None:
         self.plan = [i for i, s in enumerate(rule.steps) for _ in range(max(1, s.count))]
-        self.span, self.rows, self.cut = rule.window * 1_000_000, list(rows), False
+        self.span, self.rows, self.gone = rule.window * 1_000_000, list(rows), 0
 
     def add(self, ts: int, value: str | None, steps: Sequence[bool], item: object) -> list[Row] | None:
         if self.rows and ts - self.rows[0][0] > self.span:
-            self.rows, self.cut = [], True
+            self.gone += len(self.rows)
+            self.rows = []
         if not steps[self.plan[len(self.rows)]]:
             return None
         self.rows.append((ts, value, item))
         if len(self.rows) < len(self.plan):
             return None
-        whole, self.rows, self.cut = self.rows, [], True
+        whole, self.rows = self.rows, []
+        self.gone += len(whole)
         return whole
 
     def restart(self) -> None: ...
@@ -53,7 +55,7 @@ class Recent:
     """A threshold or distinct-count rule: the hits of the window, since the last alert."""
 
     def __init__(self, rule: Rule, rows: Iterable[Row] = ()) -> None:
-        self.rule, self.span, self.rows, self.cut = rule, rule.window * 1_000_000, deque(rows), False
+        self.rule, self.span, self.rows, self.gone = rule, rule.window * 1_000_000, deque(rows), 0
         self.values = Counter(v for _, v, _ in self.rows if v is not None)
 
     def add(self, ts: int, value: str | None, steps: Sequence[bool], item: object) -> list[Row] | None:
@@ -62,7 +64,7 @@ class Recent:
             self.values[value] += 1
         while self.rows[0][0] < ts - self.span:
             _, old, _ = self.rows.popleft()
-            self.cut = True
+            self.gone += 1
             if old is not None:
                 self.values[old] -= 1
                 if not self.values[old]:
@@ -71,9 +73,9 @@ class Recent:
         return list(self.rows) if size >= self.rule.threshold else None
 
     def restart(self) -> None:
+        self.gone += len(self.rows)
         self.rows.clear()
         self.values.clear()
-        self.cut = True
 
 
 def fold_of(rule: Rule, rows: Iterable[Row] = ()) -> Single | Trail | Recent:

@@ -89,6 +89,35 @@ def test_random_streams(spark, tmp_path, kind):
     assert seen.skipped == sum(r.skipped for r in detect.skipped(found, rules).collect())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_order_within_the_lateness(spark, tmp_path, seed):
+    """Hits that arrive up to twenty seconds late give the alerts of a batch once the watermark has passed them."""
+    rng = random.Random(seed)
+    common = {"name": "n", "severity": "low", "group_by": "key"}
+    steps = [{"conditions": {"v": "a"}, "count": 2}, {"conditions": {"v": "b"}}]
+    rules = [
+        build_rule({"id": "M", "type": "match", "conditions": {"v": "a"}, **common}, order=0), build_rule({"id": "T", "type": "threshold", "threshold": 3, "window": 6, **common}, order=1),
+        build_rule({"id": "D", "type": "distinct_count", "field": "v", "threshold": 3, "window": 6, **common}, order=2), build_rule({"id": "S", "type": "sequence", "window": 6, "steps": steps, **common}, order=3),
+    ]
+    rows, t = [], 1_700_000_000
+    for i in range(300):
+        t += rng.choice([0, 0, 0, 1, 4, 9])
+        rows.append((t * 1_000_000, i, rng.choice(["k1", "k2"]), rng.choice(["a", "b", "c", None])))
+    arrival = sorted(rows, key=lambda r: r[0] + rng.randrange(20_000_000))
+    assert arrival != rows
+    parts = [arrival[i : i + 25] for i in range(0, len(arrival), 25)]
+    far = [[((t + 1000 * i) * 1_000_000, 10_000 + i, "far", "c")] for i in (1, 2)]  # lets the watermark pass
+    schema = "ts_us long, n long, key string, v string"
+    make = lambda d: detect.hits(d.withColumn("seq", F.col("n")), rules, of_columns(key=F.col("key"), v=F.col("v")), F.format_string("%d", "n"))
+    got, _ = through_stream(spark, rules, schema, parts + far, tmp_path, make, 5, lateness="20 seconds", ordered=True)
+    want = detect.alerts(make(spark.createDataFrame(rows, schema)), rules, 5).collect()
+    strip = lambda xs: sorted(json.dumps([r[c] for c in COLUMNS[1:]], sort_keys=True) for r in xs)
+    assert strip(got) == strip(want) and {r.rule_id for r in want} == set("MTDS")
+    # nothing waits but what the watermark has not passed, and chunks that the window has left are gone
+    left = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "cp"))
+    assert {r.key.group_key for r in left.select("key").collect()} <= {'["far"]'}
+
+
 def test_two_steps_at_one_instant(spark, tmp_path):
     """Arrivals 9 and 10 of one instant are taken in this order."""
     rule = build_rule({"id": "S", "name": "s", "severity": "low", "type": "sequence", "window": 60, "group_by": "key", "steps": [{"conditions": {"v": "a"}}, {"conditions": {"v": "b"}}]})
