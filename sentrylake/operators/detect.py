@@ -15,7 +15,12 @@ their own. A session of one candidate is an alert as it stands. In longer ones
 the next alert is the first candidate whose window starts after the last one
 and whose time is past the throttle; both grow along the session, so it is
 found by bisection: the pass takes a step an alert, not a step a hit, over
-sorted numbers that stream through. Sequences go through a fold by session.
+sorted numbers that stream through.
+
+Where a sequence from a row on leads depends on that row and one window alone,
+so buckets find it side by side; the machine's transitions over whole buckets
+are followed one after the other, a step a bucket, and then each bucket gives
+the sequences that its entry leads to. What ends is throttled like the rest.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +38,6 @@ from ..functions.text import SEVERITIES, canonical_text
 from ..functions.timestamps import iso_utc
 from ..session import ship
 from .conditions import Fields, matches, split_key
-from .folds import Trail
 from .rules import Rule
 
 _HITS = "array<struct<rule:int,group:map<string,string>,group_key:string,missing:array<string>,value:string,steps:array<boolean>>>"
@@ -125,23 +128,23 @@ def _positions(found: DataFrame, rules: Sequence[Rule], dedupe: int) -> DataFram
     return rows.join(counts, _BUCKET).withColumn("pos", F.col("before") + inside).drop("before")
 
 
-def _pass(rows: DataFrame, step: Callable[[int], Callable], schema: str) -> DataFrame:
-    """Runs ``step(rule)`` on each session's rows in order and streams what it returns; a session's state is the closure's own."""
-    ship(rows.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, each, names = None, None, [c.split()[0] for c in schema.split(", ")]
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                if (row.rule, row.group_key, row.session) != key:
-                    key, each = (row.rule, row.group_key, row.session), step(int(row.rule))
-                if (made := each(row)) is not None:
-                    out.append(made)
-            yield pd.DataFrame(out, columns=names)
-
-    ordered = rows.repartition("rule", "group_key", "session").sortWithinPartitions("rule", "group_key", "session", "pos")
-    return ordered.mapInPandas(run, schema)
+def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key, of rows that come sorted by their keys; one key is held at a time."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        turns = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for a, z in zip([0, *turns.tolist()], [*turns.tolist(), b.num_rows], strict=True):
+            now = tuple(c[a] for c in columns)
+            if now != key and held:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = now
+            held.append(b.slice(a, z - a))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()
 
 
 def _distinct(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -180,37 +183,110 @@ def _distinct(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "pos").mapInArrow(run, schema)
 
 
-def _sequence(rule: Rule) -> Callable:
-    """Gives the positions that a sequence is made of at the row that completes it."""
-    trail = Trail(rule)
+_RUNS = "rule int, group_key string, session long, bucket long, pos long, leaves long, ends long, ts_us long, picked array<long>, upto array<long>, exits array<long>"
 
-    def start(row):
-        found = trail.add(row.ts_us, None, row.steps, row.pos)
-        return None if found is None else (row.pos, [p for _, _, p in found])
 
-    return start
+def _numbers(t: pa.Table, column: str) -> np.ndarray:
+    return t.column(column).to_numpy()
 
 
-def _sequences(rules: Sequence[Rule], dedupe: int) -> Callable[[int], Callable]:
-    """The fold of one session of a sequence rule."""
-    by_order = {r.order: r for r in rules}
+def _runs(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """What becomes of a sequence from each row that could begin one, and what that makes of each bucket.
 
-    def new(order: int) -> Callable:
-        start, last = _sequence(by_order[order]), None
+    A sequence that begins at a row either ends within its window or is given up at the first row past it, so where it
+    ``leaves`` the machine empty depends on that row and the bucket after its own alone. Following these from any row of
+    a bucket on leads out of it: the transition of a bucket is kept as ``exits``, by the last beginning (``upto``) that
+    leads to each. Rows with a transition have no ``pos``, others have one.
+    """
+    ship(rows.sparkSession)
+    plans = {r.order: ([i for i, s in enumerate(r.steps) for _ in range(max(1, s.count))], _micros(r.window)) for r in rules}
+    schema = pa.schema([
+        ("rule", pa.int32()), ("group_key", pa.string()), ("session", pa.int64()), ("bucket", pa.int64()), ("pos", pa.int64()), ("leaves", pa.int64()), ("ends", pa.int64()),
+        ("ts_us", pa.int64()), ("picked", pa.list_(pa.int64())), ("upto", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64())),
+    ])
 
-        def step(row):
-            nonlocal last
-            found = start(row)
-            if found is None:
-                return None
-            emitted = last is None or row.ts_us - last >= dedupe
-            if emitted:
-                last = row.ts_us
-            return row.rule, row.group_key, row.pos, row.ts_us, row.pos - 1, len(found[1]), found[1], emitted
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (rule, group, bucket), t in _groups(batches, _BUCKET):
+            plan, span = plans[rule]
+            pos, ts, own = _numbers(t, "pos"), _numbers(t, "ts_us"), t.column("own").to_numpy()
+            n, steps = len(pos), t.column("steps").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(pos), -1)
+            at = [np.append(np.flatnonzero(steps[:, i]), n) for i in range(steps.shape[1])]
+            begins = np.flatnonzero(steps[:, plan[0]] & own)
+            if not len(begins):
+                continue
+            stale = np.searchsorted(ts, ts[begins] + span, "right")
+            met = [begins]
+            for i in plan[1:]:
+                met.append(at[i][np.minimum(np.searchsorted(at[i], met[-1], "right"), len(at[i]) - 1)])
+            done = met[-1] < stale
+            leaves = np.where(done, met[-1] + 1, stale)
+            # the next beginning within the bucket, and by doubling the last one that is reached
+            after = np.searchsorted(begins, leaves, "left")
+            last = np.where(after == len(begins), np.arange(len(begins)), np.minimum(after, len(begins) - 1))
+            while not np.array_equal(further := last[last], last):
+                last = further
+            exits = leaves[last] + pos[0]
+            turns = np.append(np.flatnonzero(exits[1:] != exits[:-1]), len(exits) - 1)
+            session = int(t.column("session")[0].as_py())
+            m = len(begins)
+            flat = np.where(done[:, None], np.stack(met, 1), 0) + pos[0]
+            picked = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * len(plan)), pa.array(flat.ravel()))
+            none = pa.nulls(m, pa.list_(pa.int64()))
+            end = np.where(done, met[-1], 0)
+            same = lambda v, k, kind: pa.array([v] * k, kind)
+            yield pa.RecordBatch.from_arrays([
+                same(rule, m, pa.int32()), same(group, m, pa.string()), same(session, m, pa.int64()), same(bucket, m, pa.int64()), pa.array(pos[begins]), pa.array(leaves + pos[0]),
+                pa.array(end + pos[0], mask=~done), pa.array(ts[end]), picked, none, none,
+            ], schema=schema)
+            lone = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                same(rule, 1, pa.int32()), same(group, 1, pa.string()), same(session, 1, pa.int64()), same(bucket, 1, pa.int64()), lone, lone, lone, lone, pa.nulls(1, pa.list_(pa.int64())),
+                pa.array([pos[begins][turns]], pa.list_(pa.int64())), pa.array([exits[turns]], pa.list_(pa.int64())),
+            ], schema=schema)
+
+    copies = F.explode(F.array(*[F.struct((F.col("bucket") - i).alias("bucket"), F.lit(i == 0).alias("own")) for i in (0, 1)]))
+    rows = rows.select("rule", "group_key", "session", copies.alias("at"), "pos", "ts_us", "steps").select("rule", "group_key", "session", "at.*", "pos", "ts_us", "steps")
+    return rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "pos").mapInArrow(run, _RUNS)
+
+
+def _entered(runs: DataFrame) -> DataFrame:
+    """From which position on the machine is empty in each bucket (``entry``): the transitions of a session's buckets, one after the other."""
+    keys = ["rule", "group_key", "session"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at = None, 0
+        for b in batches:
+            entry = []
+            for rule, group, session, upto, exits in zip(*(b.column(c).to_pylist() for c in (*keys, "upto", "exits")), strict=True):
+                if key != (rule, group, session):
+                    key, at = (rule, group, session), 0
+                entry.append(at)
+                i = int(np.searchsorted(upto, at))
+                at = exits[i] if i < len(exits) else at
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _BUCKET), pa.array(entry, pa.int64())], [*_BUCKET, "entry"])
 
-        return step
+    rows = runs.filter("pos IS NULL").select(*keys, "bucket", "upto", "exits")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "bucket").mapInArrow(run, "rule int, group_key string, bucket long, entry long")
+
+
+def _completed(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The sequences that ``rows`` of sessions make, whether throttled or not: rule, group_key, bucket, pos, ts_us, picked."""
+    runs = _runs(rows, rules)
+    schema = "rule int, group_key string, bucket long, pos long, ts_us long, picked array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _groups(batches, _BUCKET):
+            pos, i = _numbers(t, "pos"), int(np.searchsorted(_numbers(t, "pos"), t.column("entry")[0].as_py()))
+            after, taken = np.searchsorted(pos, _numbers(t, "leaves"), "left").tolist(), []
+            while i < len(pos):  # a step a sequence
+                taken.append(i)
+                i = after[i]
+            kept = t.take(pa.array(taken, pa.int64()))
+            kept = kept.filter(kept.column("ends").is_valid()).select([*_BUCKET, "ends", "ts_us", "picked"]).rename_columns([c.split()[0] for c in schema.split(", ")])
+            yield from kept.to_batches()
 
-    return new
+    placed = runs.filter("pos IS NOT NULL").drop("upto", "exits", "session").join(_entered(runs), _BUCKET)
+    return placed.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "pos").mapInArrow(run, schema)
 
 
 def _chained(rows: DataFrame, dedupe: int) -> DataFrame:
@@ -243,13 +319,12 @@ def _chained(rows: DataFrame, dedupe: int) -> DataFrame:
                     a = end
             first = np.maximum(since, low)[tried]
             kept = b.filter(pa.array(tried))
-            none = pa.nulls(kept.num_rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*(kept.column(n) for n in ("rule", "group_key", "pos", "ts_us")), pa.array(first), pa.array((pos[tried] - first).astype(np.int32)), none, pa.array(emitted[tried])],
+                [*(kept.column(n) for n in ("rule", "group_key", "pos", "ts_us")), pa.array(first), pa.array((pos[tried] - first).astype(np.int32)), kept.column("picked"), pa.array(emitted[tried])],
                 [c.split()[0] for c in _FIRED.split(", ")],
             )
 
-    rows = rows.select(*keys, "pos", "ts_us", "low", "start")
+    rows = rows.select(*keys, "pos", "ts_us", "low", "start", "picked")
     return rows.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(run, _FIRED)
 
 
@@ -297,22 +372,27 @@ def fire(found: DataFrame, rules: Sequence[Rule], dedupe_seconds: int) -> tuple[
     steps, others = [r for r in rules if r.type == "sequence"], [r for r in rules if r.type != "sequence"]
     plain = lambda rows: rows.select(
         "rule", "group_key", "pos", "ts_us", F.col("low").alias("first"), (F.col("pos") - F.col("low")).cast("int").alias("evidence_count"),
-        F.lit(None).cast("array<long>").alias("picked"), F.lit(True).alias("emitted"),
+        "picked", F.lit(True).alias("emitted"),
     )
+    none = lambda rows: rows.withColumn("picked", F.lit(None).cast("array<long>"))
     fired = []
     if free := [] if dedupe else [r for r in others if r.type == "match"]:  # without a throttle every hit is an alert
-        fired.append(plain(candidates(placed.filter(F.col("rule").isin([r.order for r in free])), free)))
+        fired.append(plain(none(candidates(placed.filter(F.col("rule").isin([r.order for r in free])), free))))
     if bound := [r for r in others if r not in free]:
-        rows = _sessions(candidates(placed.filter(F.col("rule").isin([r.order for r in bound])), bound))
+        rows = _sessions(none(candidates(placed.filter(F.col("rule").isin([r.order for r in bound])), bound)))
         fired += [plain(rows.filter("alone")), _chained(rows.filter("NOT alone"), dedupe)]
     if steps:
         rows = placed.filter(F.col("rule").isin([r.order for r in steps])).select(*_BUCKET, "pos", "ts_us", "steps")
         rows = _sessions(rows)
         last = F.coalesce(F.get("steps", _by_rule(steps, lambda r: max(0, len(r.steps) - 1))), F.lit(False))
         rows = rows.withColumn("ends", F.max(last).over(Window.partitionBy("rule", "group_key", "session"))).filter("ends")
-        fired.append(_pass(rows.select("rule", "group_key", "session", "pos", "ts_us", "steps"), _sequences(steps, dedupe), _FIRED))
+        made = _completed(rows, steps).withColumn("low", F.col("pos") - 1).withColumn("start", F.col("pos"))
+        # the bucket is that of the beginning; what ends in the next one belongs there
+        made = _sessions(made.withColumn("bucket", F.floor(F.col("ts_us") / _by_rule(steps, lambda r: _width(r, dedupe))).cast("long")))
+        made = plain(made.filter("alone")).unionByName(_chained(made.filter("NOT alone"), dedupe))
+        fired.append(made.withColumn("first", F.col("pos") - 1).withColumn("evidence_count", F.size("picked")))
     if not fired:
-        return placed, plain(candidates(placed, []))
+        return placed, plain(none(candidates(placed, [])))
     return placed, reduce(DataFrame.unionByName, fired)
 
 
