@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from glob import has_magic
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from .plans import capture, detection
 from .plans.config import load_config
 from .session import utc
 from .sources.events import parse_lines
+from .sources.live import followed
 from .sources.tail import TailSource
 from .streaming.detector import STORE, detect_stream
 from .streaming.sinks import Detections, to_json
@@ -23,7 +25,8 @@ from .streaming.sinks import Detections, to_json
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sentrylake", description="Rules over normalized JSON-lines events.")
     p.add_argument("--logs", help="file or folder of normalized events")
-    p.add_argument("--follow", help="one growing file to watch")
+    p.add_argument("--follow", help="one growing file to watch, or a pattern of many")
+    p.add_argument("--lateness", help="with --follow: take events in order of time, waiting so long for late ones, such as '10 minutes'")
     p.add_argument("--capture", action="append", metavar="TYPE=PATH", help="raw lines of a log type, or of any under syslog; may be given again")
     p.add_argument("--watch", action="store_true", help="with --capture: go on as files arrive in the folders")
     p.add_argument("--rules", help="rule file or folder; the package's rulebook by default")
@@ -62,14 +65,18 @@ def main(argv: list[str] | None = None) -> int:
         if args.follow:
             for k, v in STORE.items():
                 spark.conf.set(k, v)
-            spark.dataSource.register(TailSource)
-            lines = spark.readStream.format("line_tail").option("path", args.follow).load().withColumnRenamed("offset", "seq")
+            if has_magic(args.follow):
+                lines = followed(spark, args.follow).select("value", F.struct("path", "offset").alias("seq"))
+            else:
+                spark.dataSource.register(TailSource)
+                lines = spark.readStream.format("line_tail").option("path", args.follow).load().withColumnRenamed("offset", "seq")
             kept = detect.active(rules, severity)
             hits = detect.hits(parse_lines(lines, F.current_timestamp(), config.aliases).events, rules, of_map(), F.col("raw"))
             seen = Detections()
             spark.streams.addListener(seen)
             try:
-                to_json(detect_stream(hits, kept, config.dedupe_seconds, config.evidence_limit), out or "alerts", args.checkpoint).awaitTermination()
+                late = {"lateness": args.lateness, "ordered": True} if args.lateness else {}
+                to_json(detect_stream(hits, kept, config.dedupe_seconds, config.evidence_limit, **late), out or "alerts", args.checkpoint).awaitTermination()
             except KeyboardInterrupt:
                 pass
             print(f"alerts: {seen.emitted}, suppressed: {seen.suppressed}, skipped for want of a field: {seen.skipped}")

@@ -839,6 +839,19 @@ def live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.windows_events(_xml(spark, sf_dir, F.lit("4624")), 50).select("user", "hostname")
 
 
+@query(
+    """SELECT 'h' || e.user_id AS host, e.event_type AS channel, e.event_id AS record_id FROM events e
+LEFT JOIN (SELECT user_id, event_type, max(event_id) AS last FROM events WHERE event_id <= 500 GROUP BY ALL) m ON m.user_id = e.user_id AND m.event_type = e.event_type
+WHERE e.event_id > coalesce(m.last, -1)"""
+)
+def live_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every channel of every host, above what an earlier delivery of each brought."""
+    host, number = F.concat(F.lit("h"), F.col("user_id").cast("string")), F.col("event_id").cast("string")
+    event = _line("<Event><System><EventRecordID>", number, "</EventRecordID><Channel>", _e(), "</Channel><Computer>", host, "</Computer></System></Event>")
+    docs = _events(spark, sf_dir).select("event_id", event.alias("value"))
+    return live.new_events(docs, live.bookmarks(docs.filter("event_id <= 500"))).select("host", "channel", "record_id")
+
+
 @query("SELECT 'access.log' AS source_file, count(*) AS n FROM events")
 def live_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir, _PARSED["webserver"][0]()).select("value")

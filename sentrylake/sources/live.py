@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_dga, xml_events
+from ..streaming.cursors import lately_new
+from .follow import FolderSource
 from .parsers import parse, parse_typed
 from .tail import TailSource
 
@@ -41,9 +43,14 @@ def firewall_lines(lines: DataFrame) -> DataFrame:
     return parse(ufw, "firewall")
 
 
-def connections(rows: DataFrame, start: Column) -> DataFrame:
+def _once(rows: DataFrame, keys: list[str], keep: str | None) -> DataFrame:
+    """One row of each key; on a stream with ``keep``, one in so long a time, and the state is no larger than that."""
+    return rows.dropDuplicates(keys) if keep is None else lately_new(rows, keys, keep)
+
+
+def connections(rows: DataFrame, start: Column, keep: str | None = None) -> DataFrame:
     """Each connection (src, sport, dst, dport) to another machine once; backdoor ports are critical."""
-    rows = rows.filter(F.col("dst").isNotNull() & ~F.col("dst").isin("", *_IDLE)).dropDuplicates(["src", "sport", "dst", "dport"])
+    rows = _once(rows.filter(F.col("dst").isNotNull() & ~F.col("dst").isin("", *_IDLE)), ["src", "sport", "dst", "dport"], keep)
     flow = F.to_json(
         F.struct(
             start.alias("start"), F.col("src").alias("src_ip"), F.col("sport").alias("src_port"), F.col("dst").alias("dst_ip"), F.col("dport").alias("dst_port"),
@@ -57,14 +64,14 @@ def connections(rows: DataFrame, start: Column) -> DataFrame:
     )
 
 
-def processes(rows: DataFrame) -> DataFrame:
+def processes(rows: DataFrame, keep: str | None = None) -> DataFrame:
     """Each process number once."""
-    return rows.dropDuplicates(["pid"])
+    return _once(rows, ["pid"], keep)
 
 
-def dns_cache(rows: DataFrame, stamp: Column) -> DataFrame:
+def dns_cache(rows: DataFrame, stamp: Column, keep: str | None = None) -> DataFrame:
     """Each looked-up domain once, whatever its case; names that look generated are of high severity."""
-    rows = rows.filter(F.coalesce("domain", F.lit("")) != "").withColumn("__d", F.lower("domain")).dropDuplicates(["__d"]).drop("__d")
+    rows = _once(rows.filter(F.coalesce("domain", F.lit("")) != "").withColumn("__d", F.lower("domain")), ["__d"], keep).drop("__d")
     kind = F.coalesce("record_type", F.lit("A"))
     line = F.concat(
         stamp, F.lit(" queries: info: client @0x7f 127.0.0.1#53 ("), F.col("domain"), F.lit("): query: "), F.col("domain"), F.lit(" IN "), kind, F.lit(" + (127.0.0.1)")
@@ -77,28 +84,40 @@ def dns_cache(rows: DataFrame, stamp: Column) -> DataFrame:
 
 
 def event_rows(documents: DataFrame, value: str = "value") -> DataFrame:
-    """One row per event element of XML documents: value, record_id, event_id."""
+    """One row per event element of XML documents: value, record_id, event_id, host and channel (empty where there is none)."""
     rows = documents.select(F.explode(xml_events(F.col(value))).alias("value"))
     number = lambda tag: F.regexp_extract("value", rf"<{tag}(?:\s[^>]*)?>(\d+)</{tag}>", 1)
-    return rows.withColumn("record_id", number("EventRecordID").try_cast("long")).withColumn("event_id", number("EventID"))
+    name = lambda tag: F.trim(F.regexp_extract("value", rf"<{tag}(?:\s[^>]*)?>([^<]*)</{tag}>", 1))
+    rows = rows.withColumn("record_id", number("EventRecordID").try_cast("long")).withColumn("event_id", number("EventID"))
+    return rows.withColumn("host", name("Computer")).withColumn("channel", name("Channel"))
+
+
+def bookmarks(documents: DataFrame) -> DataFrame:
+    """How far each channel of each host has come: host, channel, last_record."""
+    return event_rows(documents).filter("record_id IS NOT NULL").groupBy("host", "channel").agg(F.max("record_id").alias("last_record"))
 
 
-def new_events(documents: DataFrame, last_record: int, event_ids: tuple[str, ...] | None = None) -> DataFrame:
-    """Events numbered above the last one seen, of the given kinds."""
-    rows = event_rows(documents).filter(F.col("record_id") > last_record)
+def new_events(documents: DataFrame, last_record: int | DataFrame, event_ids: tuple[str, ...] | None = None) -> DataFrame:
+    """Events numbered above the last one seen, of the given kinds. Channels number their records each for itself, so
+    ``last_record`` may be a table of ``bookmarks``; on streams ``streaming.cursors.new_records`` keeps them in its state."""
+    rows = event_rows(documents)
+    if isinstance(last_record, int):
+        rows = rows.filter(F.col("record_id") > last_record)
+    else:
+        rows = rows.join(last_record, ["host", "channel"], "left").filter(F.col("record_id") > F.coalesce("last_record", F.lit(-1))).drop("last_record")
     return rows if event_ids is None else rows.filter(F.col("event_id").isin(*event_ids))
 
 
-def windows_events(documents: DataFrame, last_record: int = -1) -> DataFrame:
+def windows_events(documents: DataFrame, last_record: int | DataFrame = -1) -> DataFrame:
     return parse(new_events(documents, last_record).select("value"), "windows")
 
 
-def login_events(documents: DataFrame, last_record: int = -1) -> DataFrame:
+def login_events(documents: DataFrame, last_record: int | DataFrame = -1) -> DataFrame:
     made = parse(new_events(documents, last_record, LOGIN_EVENTS).select("value"), "windows").withColumn("log_type", F.lit("authentication"))
     return made.withColumn("severity", F.when(F.col("event_id").isin(*LOGIN_ALARMS), "high").otherwise(F.col("severity")))
 
 
-def application_events(documents: DataFrame, last_record: int = -1) -> DataFrame:
+def application_events(documents: DataFrame, last_record: int | DataFrame = -1) -> DataFrame:
     """Events of level 3 and graver; the provider becomes the service."""
     rows = new_events(documents, last_record).withColumn("level", F.regexp_extract("value", r"<Level>(\d+)</Level>", 1))
     rows = rows.withColumn("provider", F.regexp_extract("value", r"Provider[^>]*Name=['\"]([^'\"]+)['\"]", 1)).filter(F.col("level").isin("0", "1", "2", "3"))
@@ -108,7 +127,7 @@ def application_events(documents: DataFrame, last_record: int = -1) -> DataFrame
     return made.withColumn("severity", graded).withColumn("extra", F.coalesce(service, "extra")).drop("level", "provider")
 
 
-def file_events(documents: DataFrame, last_record: int = -1) -> DataFrame:
+def file_events(documents: DataFrame, last_record: int | DataFrame = -1) -> DataFrame:
     """Object accesses as audit PATH records, with the event's own time; system files are critical."""
     rows = new_events(documents, last_record, FILE_EVENTS)
     name = F.trim(F.regexp_extract("value", r"Name=[\"']ObjectName[\"'][^>]*>([^<]+)", 1))
@@ -127,7 +146,7 @@ def file_events(documents: DataFrame, last_record: int = -1) -> DataFrame:
 DHCP_EVENTS = {"50066": "DHCPACK", "50067": "DHCPACK", "50032": "DHCPACK", "50036": "DHCPSTART", "50037": "DHCPSTOP"}
 
 
-def dhcp_events(documents: DataFrame, last_record: int = -1, names: dict[str, str] = DHCP_EVENTS) -> DataFrame:
+def dhcp_events(documents: DataFrame, last_record: int | DataFrame = -1, names: dict[str, str] = DHCP_EVENTS) -> DataFrame:
     """DHCP client events as server lines without an address; events of other numbers are ``DHCPEVENT``."""
     rows = new_events(documents, last_record)
     time = F.regexp_extract("value", r"SystemTime=['\"]([^'\"]{19})", 1).try_cast("timestamp")
@@ -173,6 +192,18 @@ def sensor_events(spark: SparkSession, paths: tuple[str, ...] = EVE_PATHS, from_
     return parse(lines.select("value"), "ids_ips")
 
 
+def followed(spark: SparkSession, pattern: str, from_start: bool = False) -> DataFrame:
+    """A stream of the lines of all files that a pattern finds, read by the tasks: value, path, offset."""
+    spark.dataSource.register(FolderSource)
+    return spark.readStream.format("line_folder").option("path", pattern).option("fromStart", str(from_start).lower()).load()
+
+
+def web_logs(spark: SparkSession, pattern: str, from_start: bool = False) -> DataFrame:
+    """A stream of what all web servers' logs gain, parsed."""
+    lines = followed(spark, pattern, from_start)
+    return web_lines(lines, F.col("path"))
+
+
 def web_lines(lines: DataFrame, file: Column) -> DataFrame:
     """Web server lines with the name of the file that they come from in ``extra``."""
     made = parse(lines.withColumn("__file", F.element_at(F.split(file, "/"), -1)), "webserver")
