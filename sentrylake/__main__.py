@@ -19,7 +19,7 @@ from .sources.events import parse_lines
 from .sources.live import followed
 from .sources.tail import TailSource
 from .streaming.detector import STORE, detect_stream
-from .streaming.sinks import Detections, to_json
+from .streaming.sinks import Detections, Fleet, Status, to_json
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -55,7 +55,14 @@ def main(argv: list[str] | None = None) -> int:
         if args.capture:
             given = dict(c.split("=", 1) for c in args.capture)
             if args.watch:
-                capture.follow({k: spark.readStream.text(v) for k, v in given.items()}, args.out or "capture", args.checkpoint).awaitTermination()
+                status, known = Status(), Fleet(capture.FLEET)
+                for x in (status, known):
+                    spark.streams.addListener(x)
+                try:
+                    capture.follow({k: spark.readStream.text(v) for k, v in given.items()}, args.out or "capture", args.checkpoint).awaitTermination()
+                except KeyboardInterrupt:
+                    pass
+                print(f"rows: {status.rows}, grave: {status.grave}, machines: {known.machines}")
                 return 0
             done = capture.run(spark, {k: spark.read.text(v) for k, v in given.items()}, args.out or "capture")
             print(f"rows: {done.rows}")

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import number, text
+from .lists import ListTable
 
 #: Gives the column for a field name, null where an event has no such field.
 Fields = Callable[[str], Column]
@@ -87,7 +88,7 @@ OPERATORS: dict[str, Callable[[Column, object], Column]] = {
 def split_key(key: str, value: object) -> tuple[str, str]:
     """Field and operator of a condition key; without one, a list means ``in`` and anything else ``eq``."""
     field, bar, op = key.partition("|")
-    return field, op if bar else ("in" if isinstance(value, list) else "eq")
+    return field, op if bar else ("in" if isinstance(value, list | ListTable) else "eq")
 
 
 def all_of(conditions: dict[str, object] | None, fields: Fields) -> Column:
@@ -95,7 +96,11 @@ def all_of(conditions: dict[str, object] | None, fields: Fields) -> Column:
     parts = []
     for key, value in (conditions or {}).items():
         field, op = split_key(key, value)
-        parts.append(OPERATORS[op](fields(field), value))
+        if isinstance(value, ListTable):  # looked up by a join before
+            listed = fields(value.flag(field))
+            parts.append(listed if op == "in" else ~listed)
+        else:
+            parts.append(OPERATORS[op](fields(field), value))
     return reduce(and_, parts, F.lit(True))
 
 

@@ -38,6 +38,7 @@ from ..functions.text import SEVERITIES, canonical_text
 from ..functions.timestamps import iso_utc
 from ..session import ship
 from .conditions import Fields, matches, split_key
+from .lists import ListTable, mark
 from .rules import Rule
 
 _HITS = "array<struct<rule:int,group:map<string,string>,group_key:string,missing:array<string>,value:string,steps:array<boolean>>>"
@@ -46,9 +47,13 @@ _FIRED = "rule int, group_key string, pos long, ts_us long, first long, evidence
 
 def _names(rule: Rule) -> list[str]:
     """The fields that a rule looks at."""
+    return ["log_type", *rule.group_by, *([rule.field] if rule.field else []), *(f for f, _ in _tested(rule))]
+
+
+def _tested(rule: Rule) -> list[tuple[str, object]]:
+    """The fields that a rule's conditions test, with what each is held against."""
     groups = [rule.conditions, *rule.any_of, *(s.conditions for s in rule.steps)]
-    tested = [split_key(k, v)[0] for g in groups for k, v in g.items()]
-    return ["log_type", *rule.group_by, *([rule.field] if rule.field else []), *tested]
+    return [(split_key(k, v)[0], v) for g in groups for k, v in g.items()]
 
 
 def hits(events: DataFrame, rules: Sequence[Rule], fields: Fields, raw: Column) -> DataFrame:
@@ -63,6 +68,10 @@ def hits(events: DataFrame, rules: Sequence[Rule], fields: Fields, raw: Column)
     names = list(dict.fromkeys(n for r in rules for n in _names(r)))
     at = {n: f"__field{i}" for i, n in enumerate(names)}
     events = events.select("ts_us", "seq", raw.alias("raw"), *[fields(n).alias(c) for n, c in at.items()])
+    listed = {v.flag(f): (F.col(at[f]), v) for r in rules for f, v in _tested(r) if isinstance(v, ListTable)}
+    for i, n in enumerate(listed):
+        at[n] = f"__listed{i}"
+    events = mark(events, [(at[n], *x) for n, x in listed.items()])
     fields = lambda n: F.col(at[n])
     made = []
     for r in rules:

@@ -9,6 +9,7 @@ import yaml
 
 from ..functions.text import SEVERITIES
 from .conditions import OPERATORS, split_key
+from .lists import ListTable
 
 KINDS = ("match", "threshold", "distinct_count", "sequence")
 #: What a rule of each kind must have besides id, name, severity and type.
@@ -49,7 +50,7 @@ def _tuple(x: object) -> tuple:
     return () if x is None else tuple(x) if isinstance(x, list | tuple) else (x,)
 
 
-def _resolve(conditions: object, lists: dict[str, list], where: str) -> dict[str, object]:
+def _resolve(conditions: object, lists: dict[str, list | ListTable], where: str) -> dict[str, object]:
     """Puts the named list in place of every value ``$lists.name`` and checks the operators."""
     if conditions is None:
         return {}
@@ -61,14 +62,16 @@ def _resolve(conditions: object, lists: dict[str, list], where: str) -> dict[str
             name = value.removeprefix("$lists.")
             if name not in lists:
                 raise RuleError(f"{where}: unknown list {name}")
-            value = list(lists[name])
+            value = lists[name] if isinstance(lists[name], ListTable) else list(lists[name])
         if split_key(key, value)[1] not in OPERATORS:
             raise RuleError(f"{where}: unknown operator in {key}")
+        if isinstance(value, ListTable) and split_key(key, value)[1] not in ("in", "nin"):
+            raise RuleError(f"{where}: {key} cannot take the table of list {value.name}")
         out[key] = value
     return out
 
 
-def build_rule(doc: dict, lists: dict[str, list] | None = None, order: int = 0) -> Rule:
+def build_rule(doc: dict, lists: dict[str, list | ListTable] | None = None, order: int = 0) -> Rule:
     """A checked rule from its YAML mapping."""
     lists = lists or {}
     where = f"rule {doc.get('id', '?')}"
@@ -92,7 +95,7 @@ def build_rule(doc: dict, lists: dict[str, list] | None = None, order: int = 0)
     )
 
 
-def load_rules(path: str | Path, lists: dict[str, list] | None = None) -> list[Rule]:
+def load_rules(path: str | Path, lists: dict[str, list | ListTable] | None = None) -> list[Rule]:
     """The enabled rules of a file or of all ``.yml`` and ``.yaml`` files in a folder, by file name and then by place.
 
     Identifiers must be unique among all rules, disabled ones included.
@@ -122,6 +125,6 @@ DEFAULT_LISTS: dict[str, list] = {
 }
 
 
-def rulebook(lists: dict[str, list] | None = None) -> list[Rule]:
+def rulebook(lists: dict[str, list | ListTable] | None = None) -> list[Rule]:
     """The rules that come with the package."""
     return load_rules(Path(__file__).resolve().parent.parent / "plans" / "rulebook.yml", {**DEFAULT_LISTS, **(lists or {})})

@@ -20,9 +20,12 @@ from ..operators.heuristics import threats
 from ..operators.normalize import SCHEMA, normalize
 from ..sources.parsers import parse, parse_syslog
 from ..streaming.detector import STORE
-from ..streaming.sinks import counted
+from ..streaming.sinks import counted, fleet
 from ..streaming.threats import threat_stream
 
+#: The name of the query that counts machines.
+FLEET = "fleet"
+
 
 def normalized(sources: dict[str, DataFrame], as_of: Column | None = None) -> DataFrame:
     """The rows of all sources in the normalized schema; lines that no parser reads are left out."""
@@ -61,24 +64,25 @@ def run(spark: SparkSession, sources: dict[str, DataFrame], out: str, as_of: Col
 
 @dataclass(frozen=True)
 class Following:
-    """The two queries of a capture that goes on: raw lines to the log, and the log to its threats."""
+    """The queries of a capture that goes on: raw lines to the log, the log to its threats, and the machines in it."""
 
     log: StreamingQuery
     threats: StreamingQuery
+    machines: StreamingQuery
 
     def awaitTermination(self) -> None:
-        for q in (self.log, self.threats):
+        for q in (self.log, self.threats, self.machines):
             q.awaitTermination()
 
     def stop(self) -> None:
-        for q in (self.log, self.threats):
+        for q in (self.log, self.threats, self.machines):
             q.stop()
 
 
 def follow(sources: dict[str, DataFrame], out: str, checkpoint: str, as_of: Column | None = None, available_now: bool = False, keep_seconds: int = 3600) -> Following:
     """Streams of lines: the log grows under ``out/log`` and its threats under ``out/threats`` (``streaming.threats``).
 
-    Each query goes on from its own checkpoint; what the log's query has committed is what the other one reads.
+    Each query goes on from its own checkpoint; what the log's query has committed is what the other two read.
     ``available_now`` takes what is there and ends.
     """
     spark = next(iter(sources.values())).sparkSession
@@ -97,4 +101,7 @@ def follow(sources: dict[str, DataFrame], out: str, checkpoint: str, as_of: Colu
     rows = lines.withColumn("ts_us", parse_micros(F.col("timestamp"), now)).filter("ts_us IS NOT NULL")
     # a stream cannot number rows: those of one file and instant go by their text, and equal ones are told apart
     rows = rows.withColumn("seq", F.concat_ws(" ", "place", F.hex(F.xxhash64("raw")), F.expr("uuid()"))).drop("place")
-    return Following(made, once(write(threat_stream(rows, keep_seconds), "threats")))
+    found = once(write(threat_stream(rows, keep_seconds), "threats"))
+    # the machines are the keys of this query's state; ``sinks.Fleet`` reports how many there are
+    known = fleet(lines).writeStream.queryName(FLEET).format("noop").outputMode("update").option("checkpointLocation", f"{checkpoint}/machines")
+    return Following(made, found, once(known))

@@ -8,6 +8,7 @@ from pathlib import Path
 import yaml
 
 from ..functions.text import SEVERITIES
+from ..operators.lists import ListTable
 from ..operators.rules import DEFAULT_LISTS
 from ..sources.events import ALIASES
 
@@ -15,7 +16,7 @@ from ..sources.events import ALIASES
 @dataclass(frozen=True)
 class Config:
     aliases: dict[str, list[str]] = field(default_factory=lambda: dict(ALIASES))
-    lists: dict[str, list] = field(default_factory=lambda: dict(DEFAULT_LISTS))
+    lists: dict[str, list | ListTable] = field(default_factory=lambda: dict(DEFAULT_LISTS))
     min_severity: str = "low"
     dedupe_seconds: int = 120
     evidence_limit: int = 5
@@ -24,7 +25,7 @@ class Config:
 
 
 def load_config(path: str | Path | None = None) -> Config:
-    """The file's settings; what it leaves out is as in ``Config``."""
+    """The file's settings; what it leaves out is as in ``Config``. A list given as ``{path: FILES}`` is a table (``ListTable``)."""
     if path is None:
         return Config()
     doc = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
@@ -32,9 +33,10 @@ def load_config(path: str | Path | None = None) -> Config:
     severity = alerts.get("min_severity", "low")
     if severity not in SEVERITIES:
         raise ValueError(f"unknown min_severity {severity}")
+    lists = {k: ListTable(k, v["path"]) if isinstance(v, dict) else v for k, v in (doc.get("lists") or {}).items()}
     return Config(
         aliases=doc.get("field_aliases") or dict(ALIASES),
-        lists={**DEFAULT_LISTS, **(doc.get("lists") or {})},
+        lists={**DEFAULT_LISTS, **lists},
         min_severity=severity,
         dedupe_seconds=int(alerts.get("dedupe_seconds", 120)),
         evidence_limit=int(alerts.get("evidence_limit", 5)),

@@ -61,10 +61,10 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def newest_file(spark: SparkSession, folder: str, pattern: str = "live_capture_*.jsonl") -> str | None:
-    """The file of a folder that was changed last, of those whose name fits; of equal times the last by name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")
-    last = files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
-    return last
+    """The capture of a folder, a file or a folder of parts, that was changed last, of those whose name fits; of equal times the last by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return max(((s.getModificationTime(), s.getPath().toString()) for s in found), default=(0, None))[1]
 
 
 def export_csv(spark: SparkSession, folder: str, out: str, pattern: str = "live_capture_*.jsonl") -> str | None:

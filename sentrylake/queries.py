@@ -14,11 +14,14 @@ from .functions import text as T
 from .functions import timestamps as TS
 from .operators import detect, heuristics, normalize
 from .operators.conditions import OPERATORS, Fields, matches, of_columns, of_map
+from .operators.lists import ListTable
 from .operators.rules import build_rule, load_rules
 from .plans import bridge, capture, detection
 from .session import shared_dir, utc
-from .sources import live, parsers
+from .sources import landing, live, parsers
 from .sources.events import canonical_type, fill_aliases, parse_lines, read_lines, spread
+from .streaming import sinks
+from .streaming.detector import STORE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -593,10 +596,13 @@ def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EXPORT_SQL)
 def export_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The CSV export itself: from the newest capture file in a folder to CSV, read back."""
+    """The CSV export itself: from the newest capture in a folder, beside an older one and other files, to CSV, read back."""
     out = shared_dir(spark, "export")
-    capture.write_normalized(_firewall_log(spark, sf_dir), f"{out}/live_capture_1.jsonl")
-    detection.write_csv(normalize.csv_columns(spark.read.schema(normalize.SCHEMA).json(f"{out}/live_capture_1.jsonl")), f"{out}/csv")
+    log = _firewall_log(spark, sf_dir)
+    capture.write_normalized(log.filter("severity = 'medium'"), f"{out}/live_capture_1.jsonl")
+    capture.write_normalized(log, f"{out}/live_capture_2.jsonl")
+    capture.write_normalized(log.filter("severity = 'info'"), f"{out}/other_3.jsonl")
+    detection.export_csv(spark, out, f"{out}/csv")
     return spark.read.option("header", True).csv(f"{out}/csv")
 
 
@@ -876,6 +882,99 @@ def live_agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.agent_parsed(rows).groupBy(F.element_at("extra", F.lit("source_machine")).alias("source_machine")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """SELECT CAST(coalesce(p, -1) AS BIGINT) AS source_port, severity, ip AS source_ip, count(*) AS n FROM (SELECT event_id % 70000 AS p, CASE event_type WHEN 'error' THEN 'critical' ELSE 'medium' END AS severity,
+"""
+    + _IP_SQL
+    + """ AS ip FROM events) GROUP BY ALL"""
+)
+def live_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an intrusion sensor writes, as a stream of its files."""
+    out = shared_dir(spark, "sensor")
+    alert = _line(
+        '{"timestamp": "2024-01-15T10:00:00.000000+0000", "event_type": "alert", "src_ip": "', _ip(), '", "src_port": ', (F.col("event_id") % 70000).cast("string"),
+        ', "dest_ip": "8.8.8.8", "dest_port": 443, "proto": "TCP", "alert": {"signature": "', _e(), '", "severity": ', F.when(_bad(), "1").otherwise("3"), "}}",
+    )
+    _lines(spark, sf_dir, alert).select("value").write.text(f"{out}/eve")
+    made = parsers.parse(spark.readStream.text(f"{out}/eve"), "ids_ips")
+    rows = _streamed(made.select(F.coalesce(F.col("source_port").cast("long"), F.lit(-1)).alias("source_port"), "severity", "source_ip"), out)
+    return rows.groupBy("source_port", "severity", "source_ip").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _streamed(rows: DataFrame, out: str) -> DataFrame:
+    """What a stream gives for what is there now, written as Parquet and read back."""
+    spark = rows.sparkSession
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+@query("SELECT 'm' || user_id AS source_machine, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY user_id")
+def agent_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of agents, every one of them sent twice and landed in other files, each record taken once."""
+    out = shared_dir(spark, "posts")
+    e = _events(spark, sf_dir).withColumn("source_machine", F.concat(F.lit("m"), F.col("user_id").cast("string")))
+    e = e.withColumn("post", F.floor(F.col("event_id") / 50))
+    # a record's place in its post is its rank there, found within one post
+    posts = e.groupBy("source_machine", "post").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    records = posts.select("source_machine", "post", F.size("ids").cast("long").alias("size"), F.posexplode("ids").alias("place", "id"))
+    records = records.select("source_machine", "post", F.col("place").cast("long").alias("place"), "size", F.lit("dns").alias("_log_type"), F.col("id").cast("string").alias("raw"))
+    for _ in range(2):
+        records.write.mode("append").json(f"{out}/landing")
+    rows = _streamed(landing.once(landing.landed(spark, f"{out}/landing")), out)
+    return rows.groupBy("source_machine").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("raw").cast("long")).alias("ids"))
+
+
+@query(
+    """SELECT 'L1' AS rule_id, count(*) AS hits FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) HAVING count(*) > 0
+UNION ALL SELECT 'L2', count(*) FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) HAVING count(*) > 0
+UNION ALL SELECT 'L3', count(*) FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE value > 99.5) HAVING count(*) > 0"""
+)
+def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of rules whose lists are tables: joined, not written into the plan."""
+    rich = ListTable("rich", rows=_table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select("c_custkey"))
+    loud = ListTable("loud", rows=_events(spark, sf_dir).filter("value > 99.5").select("event_type"))
+    docs = [{"user": "$lists.rich"}, {"event_type": "ERROR", "user|nin": "$lists.rich"}, {"event_type|nin": "$lists.loud"}]
+    rules = [build_rule({"id": f"L{i + 1}", "name": "n", "severity": "low", "type": "match", "conditions": c}, {"rich": rich, "loud": loud}, i) for i, c in enumerate(docs)]
+    found = detect.hits(_events(spark, sf_dir).withColumn("seq", F.col("event_id")), rules, _fields(), F.lit(""))
+    return found.groupBy(F.concat(F.lit("L"), (F.col("rule") + 1).cast("string")).alias("rule_id")).agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query("SELECT 'h' || user_id AS hostname, count(*) AS rows, count(*) FILTER (event_type = 'error') AS grave FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def machine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much every machine had to say, and how much of it was grave."""
+    rows = _events(spark, sf_dir).select(F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("hostname"), F.when(_bad(), "high").otherwise("info").alias("severity"))
+    return sinks.fleet(rows)
+
+
+@query(
+    """SELECT '{"a":' || (user_id % 7) || ',"b":[1,"' || event_type || '"]}' AS ctx, count(*) AS hits FROM events WHERE user_id IS NOT NULL GROUP BY ALL"""
+)
+def nested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by a nested object whose keys and white space come in either order: equal objects are one group."""
+    a, b = _line('"a":', (F.col("user_id") % 7).cast("string")), _line('"b": [1,"', _e(), '"]')
+    ctx = F.when(F.col("event_id") % 2 == 0, _line("{", a, ",", b, "}")).otherwise(_line("{", b, " , ", a, "}"))
+    e = _events(spark, sf_dir).filter("user_id IS NOT NULL").withColumn("seq", F.col("event_id")).withColumn("ctx", ctx)
+    rules = [build_rule({"id": "N", "name": "n", "severity": "low", "type": "threshold", "threshold": 3, "window": 60, "group_by": ["ctx"]})]
+    found = detect.hits(e, rules, of_columns(log_type=_e(), ctx=F.col("ctx")), F.lit(""))
+    return found.groupBy(F.element_at("group", F.lit("ctx")).alias("ctx")).agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(
+    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, event_type AS log_type, CASE event_type WHEN 'error' THEN 'high' ELSE 'info' END AS severity,
+left(repeat(event_type || event_id, 20), 100) AS message, event_type = 'error' OR user_id % 5 = 0 AS alarm FROM events ORDER BY event_id LIMIT 40"""
+)
+def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preview of the first rows; here the limit is the feature."""
+    e = _events(spark, sf_dir).orderBy("event_id")
+    rows = e.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), _e().alias("log_type"), F.when(_bad(), "high").otherwise("info").alias("severity"),
+        F.repeat(_line(_e(), F.col("event_id").cast("string")), F.lit(20)).alias("message"), (F.col("user_id") % 5 == 0).alias("THREAT"),
+    )
+    return detection.preview(rows, 40)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The threshold detection over the smallest table."""
     return QUERIES["threshold_alerts"](spark, "/root/testdata/sf0.001")

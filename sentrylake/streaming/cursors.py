@@ -13,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,13 @@ class Ranges:
             self.high.insert(i, n)
         return True
 
+    def __contains__(self, n: int) -> bool:
+        i = bisect_right(self.low, n)
+        return i > 0 and n <= self.high[i - 1]
+
+    def __len__(self) -> int:
+        return sum(h - x + 1 for x, h in zip(self.low, self.high, strict=True))
+
     def all(self) -> list[tuple[int, int]]:
         return list(zip(self.low, self.high, strict=True))
 
@@ -58,7 +66,7 @@ class Cursor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ranges = Ranges([tuple(r) for r in self.seen.get()[0]] if self.seen.exists() else ())
         for b in rows:
-            yield b[[ranges.add(int(n)) for n in b["record_id"]]]
+            yield b[np.array([ranges.add(int(n)) for n in b["record_id"]], dtype=bool)]
         self.seen.update((ranges.all(),))
 
 
