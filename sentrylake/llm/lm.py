@@ -17,8 +17,9 @@ Counts are gathered from the whole training corpus and grow with it, so the
 automaton is never broadcast: it is a table of n-gram keys and counts, cut by
 key range. Documents are encoded in blocks in shared storage. Every block sends
 its distinct keys to the ranges and gets the corpus counts of exactly those
-back: the part of the automaton that its documents can reach. One pass over the
-block's tokens then adds up weights. A block's keys are distinct, so the most
+back: the part of the automaton that its documents can reach, as arrays of arcs
+(sorted by state and word, with weight and next state) and failure arcs. One
+pass over the block's tokens carries the state and adds up weights. A block's keys are distinct, so the most
 frequent word costs a range one key a block. A block sends at most ``FAN`` rows:
 beyond that many ranges, blocks are merged in groups first, and the groups ask
 the finer ranges. A model kept by ``fit`` scores other tables with ``score``.
@@ -56,6 +57,8 @@ BLOCK_TOKENS = 600_000
 RANGE_TOKENS = 1_000_000
 #: Rows that a block, or a group of blocks, sends at most.
 FAN = 4096
+#: Tokens of a document that are read one after the other; longer ones are read in segments side by side.
+SEGMENT = 128
 MASSES = (1.0, 6.0, 36.0)
 _GRID = [(a, b) for a in MASSES for b in MASSES]
 _END, _START = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\t")  # white space is never a word
@@ -274,9 +277,11 @@ def _ask(asked: DataFrame, shape: Shape, path: str, model: DataFrame | None, kee
 
 
 class Automaton:
-    """The states and arcs that one block's documents can reach, under given masses.
+    """The states, arcs and failure arcs that one block's documents can reach.
 
-    States are the root, words and pairs; ``word_fail`` and ``pair_fail`` are the weights of their failure arcs.
+    States are the words (by their number in the block), the pairs (behind the words) and the root. The arcs of words
+    and pairs are sorted by (state, word read), each with its ``target``; the root has an arc for every word; ``failure``
+    is where a state's failure arc leads. Transitions are numbered: arcs, the root's arcs, then failure arcs by state.
     """
 
     def __init__(self, block: Block, words: np.ndarray, grams: np.ndarray, n: int, v: int) -> None:
@@ -289,15 +294,23 @@ class Automaton:
         self.size = n + v + 1.0
         self.root = (self.words + 1) / self.size
         self.root_arc = np.log10(self.root)
-
-    def arcs(self, masses: tuple[float, float]) -> np.ndarray:
-        """What reading an n-gram's last word after its history costs: the arc, or failure arcs and the arc behind them."""
+        width = len(self.words)
+        self.top = width + len(self.pairs)
+        known, self.pair_arcs, self.triple_arcs = np.arange(width), np.flatnonzero(self.pairs > 0), np.flatnonzero(self.triples > 0)
+        read = block.pair_word[block.triple_pair[self.triple_arcs]]
+        keys = block.pair_history[self.pair_arcs] * width + block.pair_word[self.pair_arcs], (width + block.triple_history[self.triple_arcs]) * width + read
+        self.key = np.concatenate((*keys, [np.iinfo(np.int64).max]))  # never found: there is a key behind all others
+        self.target = width + np.concatenate((self.pair_arcs, block.triple_pair[self.triple_arcs]))
+        self.root_target = np.where(self.words > 0, known, self.top)
+        self.failure = np.concatenate((np.full(width, self.top), block.pair_word))
+
+    def weights(self, masses: tuple[float, float]) -> np.ndarray:
+        """The weight of every transition under given masses."""
         b, (one, two) = self.block, masses
         seen = (self.pairs + one * self.root[b.pair_word]) / (self.after[b.pair_history] + one)
-        word_fail, pair_fail = np.log10(one / (self.after + one)), np.log10(two / (self.pairs + two))
-        pair = np.where(self.pairs > 0, np.log10(seen), word_fail[b.pair_history] + self.root_arc[b.pair_word])
-        arc = np.log10((self.triples + two * seen[b.triple_pair]) / (self.pairs[b.triple_history] + two))
-        return np.concatenate((pair, np.where(self.triples > 0, arc, pair_fail[b.triple_history] + pair[b.triple_pair])))
+        at = self.triple_arcs
+        triple = (self.triples[at] + two * seen[b.triple_pair[at]]) / (self.pairs[b.triple_history[at]] + two)
+        return np.concatenate((np.log10(seen[self.pair_arcs]), np.log10(triple), self.root_arc, np.log10(one / (self.after + one)), np.log10(two / (self.pairs + two))))
 
     def left_out(self, masses: tuple[float, float]) -> float:
         """The log likelihood of the block's training tokens, each left out of all counts."""
@@ -307,9 +320,60 @@ class Automaton:
         triple = (np.maximum(self.triples - 1, 0) + two * pair[b.triple_pair]) / (np.maximum(self.pairs[b.triple_history] - 1, 0) + two)
         return float(np.log10(np.concatenate((pair, triple))) @ b.arc_own)
 
-    def traverse(self, masses: tuple[float, float]) -> np.ndarray:
-        """One pass from left to right: a token's state is the history that its n-gram has, so its weight is that n-gram's."""
-        return np.bincount(self.block.doc, weights=self.arcs(masses)[self.block.arc], minlength=len(self.block.lens))
+    def walk(self, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+        """One pass over the tokens from left to right, the state carried from token to token: the document and the
+        number of every transition taken.
+
+        Documents go side by side, a token of each at a time; long ones are cut into segments that go side by side too.
+        A state is the longest known history of at most two words, so reading the two words before a segment from the
+        root leads to the state in which the whole document's pass enters it.
+        """
+        b, width = self.block, len(self.words)
+        per_doc = -(-b.lens // segment)
+        doc = np.repeat(np.arange(len(b.lens)), per_doc)
+        part = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+        start = (np.cumsum(b.lens) - b.lens)[doc] + part * segment
+        length = np.minimum(b.lens[doc] - part * segment, segment)
+        order = np.argsort(-length, kind="stable")  # those that still have tokens come first
+        doc, part, start, length = doc[order].astype(np.int32), part[order], start[order], length[order]
+        state = np.where(part > 0, self.top, 1)  # a document begins in the state of its start
+        inner = np.flatnonzero(part > 0)
+        for back in (2, 1):
+            state[inner] = self._read(state[inner], b.word[start[inner] - back], None)
+        docs, taken = [], []
+        for t in range(int(length.max(initial=0))):
+            active = int(np.searchsorted(-length, -t, side="left"))
+            steps: list[tuple[np.ndarray, np.ndarray]] = []
+            state[:active] = self._read(state[:active], b.word[start[:active] + t], steps)
+            docs += [doc[who] for who, _ in steps]
+            taken += [number.astype(np.int32) for _, number in steps]
+        return np.concatenate(docs), np.concatenate(taken)
+
+    def _read(self, state: np.ndarray, word: np.ndarray, steps: list | None) -> np.ndarray:
+        """The states after a word is read in each of the given ones: by their arc, or by failure arcs up to a state that has one."""
+        state, width, arcs = state.copy(), len(self.words), len(self.key) - 1
+        note = steps.append if steps is not None else lambda step: None
+        open_ = np.arange(len(state))
+        while len(open_):
+            at_root = state[open_] == self.top
+            done = open_[at_root]
+            state[done] = self.root_target[word[done]]
+            note((done, arcs + word[done]))
+            open_ = open_[~at_root]
+            key = state[open_] * width + word[open_]
+            at = np.searchsorted(self.key, key)
+            hit = self.key[at] == key
+            done, open_ = open_[hit], open_[~hit]
+            state[done] = self.target[at[hit]]
+            note((done, at[hit]))
+            note((open_, arcs + width + state[open_]))
+            state[open_] = self.failure[state[open_]]
+        return state
+
+    def traverse(self, grid: list[tuple[float, float]]) -> np.ndarray:
+        """The log-probability of every document under each masses of ``grid``, summed along one walk."""
+        docs, taken = self.walk()
+        return np.stack([np.bincount(docs, weights=self.weights(m)[taken], minlength=len(self.block.lens)) for m in grid], axis=1)
 
 
 @dataclass(frozen=True)
@@ -345,7 +409,7 @@ def _traversed(blocks: DataFrame, answers: DataFrame, shape: Shape, n: int, v: i
         words, grams = (np.concatenate([_unpack_counts(x) for x in right[c]]) for c in ("word_counts", "gram_counts"))
         auto, docs = Automaton(block, words, grams, n, v), len(block.lens)
         by_doc = lambda x: np.bincount(block.doc, weights=x[block.word], minlength=docs)
-        scores = np.stack([auto.traverse(m) for m in grid], axis=1)
+        scores = auto.traverse(grid)
         return pd.DataFrame({
             "doc_id": pd.array(row.doc_id, dtype="Int64"), "training": row.training, "n_tokens": block.lens, "n_known": by_doc(auto.words > 0).astype(np.int64),
             "base_score": by_doc(auto.root_arc), "scores": list(scores), "left_out": [[auto.left_out(m) for m in grid]] + [None] * (docs - 1),

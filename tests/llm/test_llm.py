@@ -423,6 +423,30 @@ def test_lm(spark, tmp_path, block, ranges, fan, teams):
         assert math.isclose(r.base_score, base, abs_tol=1e-6) and math.isclose(r.score, s, abs_tol=1e-6)
 
 
+def test_lm_walk_by_segments(spark):
+    """However documents are cut into segments, the walk takes the transitions of a walk through each whole document."""
+    texts = [prose(i % 5, n) for i, n in enumerate((1, 2, 3, 40, 129, 700, 30, 30))] + ["", None, "never seen at all", "a a a a b a a " * 40]
+    rows = docs(spark, texts).coalesce(1)
+    block = lm.Block(next(lm.encode(rows, F.col("doc_id") % 3 != 2).toPandas().itertuples(index=False)), 10)
+    words, grams = block.own()
+    auto = lm.Automaton(block, words, grams, int(words.sum()), int((words > 0).sum()))
+    walks = {s: auto.walk(s) for s in (2, 3, 7, 128, 10**6)}
+    width, top = len(auto.words), auto.top
+    arcs = {(int(k) // width, int(k) % width): (i, int(t)) for i, (k, t) in enumerate(zip(auto.key[:-1], auto.target, strict=True))}
+    at = 0
+    for d, n in enumerate(block.lens):
+        state, want = 1, []
+        for w in map(int, block.word[at : at + n]):
+            while state != top and (state, w) not in arcs:
+                want.append(len(arcs) + width + state)
+                state = int(auto.failure[state])
+            number, state = (len(arcs) + w, int(auto.root_target[w])) if state == top else arcs[state, w]
+            want.append(number)
+        at += n
+        for who, taken in walks.values():
+            assert sorted(taken[who == d].tolist()) == sorted(want)
+
+
 def test_lm_edges(spark):
     assert lm.fit(empty(spark), F.lit(True))[1].count() == 0
     none = lm.fit(docs(spark, ["a b", None], [None, 1]), F.lit(False))[1].collect()
