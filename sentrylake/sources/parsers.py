@@ -9,6 +9,7 @@ empty or null value is taken.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,21 @@ def _empty_null(x: Column) -> Column:
     return F.when(x != "", x)
 
 
-def _groups(line: Column, pattern: str, n: int, use: Callable[..., Column]) -> Column:
-    """``use`` of the groups 1 to n of the first match, null where a group is absent or empty."""
-    found = F.array(*[_empty_null(F.regexp_extract(line, "(?U)" + pattern, i)) for i in range(1, n + 1)])
-    return let(found, lambda g: use(*[F.get(g, F.lit(i)) for i in range(n)]))
+#: Stands between groups; lines that have it in themselves are matched group by group.
+_CUT = "\x01"
+
+
+def _groups(line: Column, pattern: str, n: int, use: Callable[..., Column], *needs: str) -> Column:
+    """``use`` of the groups 1 to n of the first match, null where a group is absent or empty; null where nothing matches.
+
+    One match gives all groups. ``needs`` are texts that any match has in it, as finding those costs far less.
+    """
+    whole = rf"\A(?s:.*?)(?:(?U){pattern})(?s:.*)\z"
+    found = F.split(F.regexp_replace(line, whole, "".join(f"{_CUT}${i}" for i in range(1, n + 1))), _CUT)
+    single = F.when(_has(line, pattern), F.array(F.lit(""), *[F.regexp_extract(line, "(?U)" + pattern, i) for i in range(1, n + 1)]))
+    found = F.when(line.contains(_CUT), single).otherwise(found)
+    made = let(found, lambda g: F.when(F.size(g) == n + 1, use(*[_empty_null(F.get(g, F.lit(i))) for i in range(1, n + 1)])))
+    return F.when(reduce(Column.__and__, [line.contains(x) for x in needs]), made) if needs else made
 
 
 def _bind(use: Callable[..., Column], *values: Column) -> Column:
@@ -102,11 +114,12 @@ def firewall(line: Column) -> Column:
         action = F.when(F.lower(word) == "deny", "block").otherwise("allow")
         return build(action, proto, src, dst, dpt, None, timestamp=ts, hostname=host, source_port=spt, event_id=eid)
 
-    return F.when(_has(line, _UFW), _groups(line, _UFW, 8, ufw)).when(_has(line, _ASA), _groups(line, _ASA, 9, asa))
+    return F.coalesce(_groups(line, _UFW, 8, ufw, "kernel:", "[UFW", "SRC=", "DST="), _groups(line, _ASA, 9, asa, "%ASA-"))
 
 
 # dns
-_BIND = r"([\d\w\-]+\s+[\d:.]+)\s+queries:\s+\w+:\s+client\s+(?:@\S+\s+)?([\d.]+)#(\d+)\s+\(([^)]+)\):\s+query:\s+(\S+)\s+IN\s+(\w+)"
+# a run of characters is tried at its beginning only
+_BIND = r"(?<![\d\w\-])([\d\w\-]+\s+[\d:.]+)\s+queries:\s+\w+:\s+client\s+(?:@\S+\s+)?([\d.]+)#(\d+)\s+\(([^)]+)\):\s+query:\s+(\S+)\s+IN\s+(\w+)"
 _WINDOWS_DNS = r"([\d/]+ [\d:]+ [AP]M)\s+\w+\s+PACKET.*?([\d.]+)\s+(?:Snd|Rcv).*?([\w.\-]+\.(?:com|net|org|ru|cn|io|xyz|top|tk))"
 
 
@@ -121,7 +134,7 @@ def dns(line: Column) -> Column:
     def debug(ts, src, domain):
         return _record(line, {"query_name": domain, "domain": domain}, timestamp=ts, source_ip=src, message=_text("DNS query from ", src, ": ", domain), **common)
 
-    return F.when(_has(line, _BIND), _groups(line, _BIND, 6, bind)).when(_has(line, _WINDOWS_DNS), _groups(line, _WINDOWS_DNS, 3, debug))
+    return F.coalesce(_groups(line, _BIND, 6, bind, "queries:", "query:"), _groups(line, _WINDOWS_DNS, 3, debug, "PACKET"))
 
 
 # dhcp
@@ -152,7 +165,7 @@ def dhcp(line: Column) -> Column:
             message=_text("DHCP ", kind, ": IP ", ip, " to ", client, " (", mac, ")"),
         )
 
-    return F.when(_has(line, _ISC), _groups(line, _ISC, 7, isc)).when(_has(line, _DHCP_CSV), _groups(line, _DHCP_CSV, 7, csv))
+    return F.coalesce(_groups(line, _ISC, 7, isc), _groups(line, _DHCP_CSV, 7, csv))
 
 
 # linux
@@ -187,8 +200,8 @@ def linux(line: Column) -> Column:
     def other(ts, host, process, pid, message):
         return _record(line, {"process": process, "pid": pid}, timestamp=ts, hostname=host, action="event", severity="info", message=F.substring(message, 1, 200))
 
-    forms = ((_SSH_FAIL, 6, fail), (_SSH_OK, 7, good), (_SUDO, 5, sudo), (_GENERIC, 5, other))
-    return F.coalesce(*[F.when(_has(line, p), _groups(line, p, n, use)) for p, n, use in forms])
+    forms = ((_SSH_FAIL, 6, fail, "sshd[", "Failed"), (_SSH_OK, 7, good, "sshd[", "Accepted"), (_SUDO, 5, sudo, "sudo:", "COMMAND="), (_GENERIC, 5, other, ":"))
+    return F.coalesce(*[_groups(line, *form) for form in forms])
 
 
 # windows
@@ -306,7 +319,7 @@ def authentication(line: Column) -> Column:
             severity=F.when(bad, "medium").otherwise("info"), message=_text("Auth event [", process, "]: ", F.substring(message, 1, 150)),
         )
 
-    return F.when(line.startswith("{"), let(_object(line), lambda d: F.when(d.isNotNull(), inner(d)))).when(_has(line, _AUTH), _groups(line, _AUTH, 4, plain))
+    return F.when(line.startswith("{"), let(_object(line), lambda d: F.when(d.isNotNull(), inner(d)))).otherwise(_groups(line, _AUTH, 4, plain, ":"))
 
 
 # web server
@@ -321,11 +334,23 @@ ATTACKS = [
     ("lfi", r"(?:/etc/passwd|/etc/shadow|/proc/self)"),
     ("webshell", r"(?:cmd\.exe|powershell|wget\s+http|curl\s+http)"),
 ]
+#: What a request in ASCII, in lower case, has in it if the pattern of the attack fits.
+_SIGNS = {
+    "sql_injection": ("union", "select", "insert", "drop"), "xss": ("<script", "javascript:", "onerror=", "onload="),
+    "path_traversal": ("../", "%2e%2e%2f", "%252e%252e"), "command_injection": (";ls", ";id", ";cat", "&&", "`id`", "`whoami`"),
+    "scanner": ("sqlmap", "nikto", "nmap", "masscan", "gobuster", "dirsearch", "burpsuite"), "lfi": ("/etc/passwd", "/etc/shadow", "/proc/self"),
+    "webshell": ("cmd.exe", "powershell", "wget", "curl"),
+}
 
 
 def attack_type(request: Column) -> Column:
     """The class of attack that a request's path and user agent show; null for none."""
-    return F.coalesce(*[F.when(request.rlike("(?iU)" + p), F.lit(name)) for name, p in ATTACKS])
+
+    def named(low: Column, plain: Column) -> Column:
+        likely = {n: ~plain | reduce(Column.__or__, [low.contains(x) for x in _SIGNS[n]]) for n, _ in ATTACKS}
+        return F.coalesce(*[F.when(likely[n] & request.rlike("(?iU)" + p), F.lit(n)) for n, p in ATTACKS])
+
+    return let(F.lower(request), lambda low: named(low, F.length(request) == F.octet_length(request)))
 
 
 def webserver(line: Column) -> Column:
@@ -333,9 +358,9 @@ def webserver(line: Column) -> Column:
 
     def record(*groups: Column) -> Column:
         path, agent = groups[4], groups[9]
-        return let(attack_type(_text(path, " ", agent)), lambda attack: _web_record(line, attack, *groups))
+        return let(let(_text(path, " ", agent), attack_type), lambda attack: _web_record(line, attack, *groups))
 
-    return F.when(_has(line, _COMBINED), _groups(line, _COMBINED, 10, record))
+    return _groups(line, _COMBINED, 10, record, "HTTP/")
 
 
 def _web_record(line: Column, attack: Column, *groups: Column) -> Column:
@@ -383,7 +408,7 @@ def application(line: Column) -> Column:
     def plain(bracketed, bare, level, service, message):
         return build(F.coalesce(bracketed, bare, F.lit("")), F.upper(level), F.coalesce(service, F.lit("")), message, {})
 
-    return F.when(line.startswith("{"), let(_object(line), lambda d: F.when(d.isNotNull(), json(d)))).when(_has(line, _APP), _groups(line, _APP, 5, plain))
+    return F.when(line.startswith("{"), let(_object(line), lambda d: F.when(d.isNotNull(), json(d)))).otherwise(_groups(line, _APP, 5, plain))
 
 
 # flows
@@ -418,7 +443,7 @@ def netflow(line: Column) -> Column:
     def csv(ts, _, seconds, src, dst, spt, dpt, proto, packets, size):
         return build(ts, src, dst, spt, dpt, proto, size, packets, seconds)
 
-    return F.when(line.startswith("{"), let(_object(line), lambda d: F.when(d.isNotNull(), json(d)))).when(_has(line, _FLOW_CSV), _groups(line, _FLOW_CSV, 10, csv))
+    return F.when(line.startswith("{"), let(_object(line), lambda d: F.when(d.isNotNull(), json(d)))).otherwise(_groups(line, _FLOW_CSV, 10, csv, ","))
 
 
 # intrusion detection
@@ -459,7 +484,7 @@ def ids_ips(line: Column) -> Column:
             action="detect", event_id=sid, severity=_of(_PRIORITY, priority, "medium"), message=_text("IDS DETECT: ", name),
         )
 
-    return F.when(line.startswith("{"), let(_object(line), eve)).when(_has(line, _SNORT), _groups(line, _SNORT, 9, snort))
+    return F.when(line.startswith("{"), let(_object(line), eve)).otherwise(_groups(line, _SNORT, 9, snort, "[**]", "[Priority:"))
 
 
 # file audit
@@ -476,21 +501,28 @@ def file_audit(line: Column) -> Column:
     ts = audit_iso(F.when(epoch == "", "0").otherwise(epoch))
 
     def named(key: str) -> Column:
-        return F.coalesce(_empty_null(F.regexp_extract(line, rf'{key}=(?:"([^"]+)"|(\S+))', 1)), _empty_null(F.regexp_extract(line, rf'{key}=(?:"([^"]+)"|(\S+))', 2)))
+        """The value of a key: what stands between quotes, else the text up to white space."""
+        quoted = lambda v: v.startswith('"') & v.endswith('"') & (F.length(v) >= 3) & (F.substring(v, 2, 1) != '"')
+        return let(F.regexp_extract(line, rf'{key}=("[^"]+"|\S+)', 1), lambda v: _empty_null(F.when(quoted(v), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
+
+    def seen(path: Column) -> Column:
+        def made(sensitive: Column) -> Column:
+            return _record(
+                line, {"file_path": path, "sensitive": sensitive}, timestamp=ts, action="file_access", severity=F.when(sensitive, "high").otherwise("info"),
+                message=_text("File access: ", path, F.when(sensitive, " [SENSITIVE]")),
+            )
+
+        return F.when(path.isNotNull(), let(F.coalesce(F.greatest(*[path.contains(s) for s in SENSITIVE]), F.lit(False)), made))
+
+    def made(call: Column, exe: Column, key: Column) -> Column:
+        return _record(
+            line, {"syscall": call, "exe": exe, "audit_key": key}, timestamp=ts, action=_text("file_", call), severity=F.when(key.isNotNull(), "medium").otherwise("info"),
+            message=_text("Audit syscall=", call, " exe=", exe, F.when(key.isNotNull(), _text(" key=", key))),
+        )
 
-    path = named("name")
-    sensitive = F.coalesce(F.greatest(*[path.contains(s) for s in SENSITIVE]), F.lit(False))
-    seen = _record(
-        line, {"file_path": path, "sensitive": sensitive}, timestamp=ts, action="file_access", severity=F.when(sensitive, "high").otherwise("info"),
-        message=_text("File access: ", path, F.when(sensitive, " [SENSITIVE]")),
-    )
     call = _of(_SYSCALLS, F.regexp_extract(line, r"\bsyscall=(\d+)", 1), "unknown")
-    exe, key = F.coalesce(named("exe"), named("comm")), named("key")
-    made = _record(
-        line, {"syscall": call, "exe": exe, "audit_key": key}, timestamp=ts, action=_text("file_", call), severity=F.when(key.isNotNull(), "medium").otherwise("info"),
-        message=_text("Audit syscall=", call, " exe=", exe, F.when(key.isNotNull(), _text(" key=", key))),
-    )
-    return F.when(line.startswith("type=PATH"), F.when(path.isNotNull(), seen)).when(line.startswith("type=SYSCALL"), made)
+    calls = _bind(made, call, F.coalesce(named("exe"), named("comm")), named("key"))
+    return F.when(line.startswith("type=PATH"), let(named("name"), seen)).when(line.startswith("type=SYSCALL"), calls)
 
 
 # endpoints
