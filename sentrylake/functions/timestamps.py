@@ -35,22 +35,29 @@ def _micros(ts: Column) -> Column:
 
 
 def _iso_micros(s: Column) -> Column:
-    part = lambda i: F.regexp_extract(s, _ISO, i)
-    zone = F.when(part(4).isin("", "Z", "z"), F.lit("+00:00")).otherwise(
-        F.concat(F.substring(part(4), 1, 3), F.lit(":"), F.rpad(F.regexp_replace(F.substring(part(4), 4, 5), ":", ""), 2, "0"))
-    )
-    fraction = F.rpad(F.substring(part(3), 1, 6), 6, "0")
-    text = F.concat(part(1), F.lit(" "), part(2), F.lit("."), fraction, zone)
-    return _micros(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSSxxx")))
+    """Of a text of the form ``_ISO``, whose date and time stand at fixed places."""
+
+    def read(tail: Column) -> Column:
+        fraction = F.rpad(F.regexp_extract(tail, r"^[.,](\d{1,6})", 1), 6, "0")
+        return let(F.regexp_replace(tail, r"^(?:[.,]\d+)?\s*", ""), lambda z: zoned(fraction, z))
+
+    def zoned(fraction: Column, z: Column) -> Column:
+        offset = F.concat(F.substring(z, 1, 3), F.lit(":"), F.rpad(F.replace(F.substring(z, 4, 5), F.lit(":")), 2, "0"))
+        zone = F.when(z.isin("", "Z", "z"), F.lit("+00:00")).otherwise(offset)
+        return _micros(F.concat(F.substring(s, 1, 10), F.lit(" "), F.substring(s, 12, 8), F.lit("."), fraction, zone).try_cast("timestamp"))
+
+    return let(F.substring(s, 20, 1 << 30), read)
 
 
 def _syslog_micros(s: Column, as_of: Column) -> Column:
     """No year in the text: that of ``as_of``, or the one before if that would lie over a day ahead."""
-    flat = F.regexp_replace(s, r"\s+", " ")
-    read = lambda year: F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), flat), F.lit("yyyy MMM d H:m:s"))
-    now, before = read(F.year(as_of)), read(F.year(as_of) - 1)
-    limit = F.unix_micros(as_of) + 86_400_000_000
-    return F.when(F.unix_micros(now) > limit, F.unix_micros(before)).otherwise(F.coalesce(F.unix_micros(now)))
+
+    def dated(flat: Column) -> Column:
+        read = lambda year: F.unix_micros(F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), flat), F.lit("yyyy MMM d H:m:s")))
+        limit = F.unix_micros(as_of) + 86_400_000_000
+        return let(read(F.year(as_of)), lambda now: F.when(now > limit, read(F.year(as_of) - 1)).otherwise(now))
+
+    return let(F.regexp_replace(s, r"\s+", " "), dated)
 
 
 def parse_micros(value: Column, as_of: Column) -> Column:
@@ -59,10 +66,11 @@ def parse_micros(value: Column, as_of: Column) -> Column:
     Booleans are no timestamps; fractions beyond microseconds are cut off.
     """
 
+    def shaped(plain: Column) -> Column:
+        return F.coalesce(*[F.when(plain.rlike(shape), _micros(F.try_to_timestamp(plain, F.lit(p)))) for shape, p in _LAYOUTS])
+
     def parse(s: Column) -> Column:
-        plain = F.regexp_replace(s, r"^[A-Za-z]{3},\s*", "")
-        shaped = [F.when(plain.rlike(shape), _micros(F.try_to_timestamp(plain, F.lit(p)))) for shape, p in _LAYOUTS]
-        other = F.coalesce(*shaped, F.when(s.rlike(_SYSLOG_SHAPE), _syslog_micros(s, as_of)))
+        other = F.coalesce(let(F.regexp_replace(s, r"^[A-Za-z]{3},\s*", ""), shaped), F.when(s.rlike(_SYSLOG_SHAPE), _syslog_micros(s, as_of)))
         known = F.when(s.rlike(_NUMBER), epoch_micros(s)).when(s.rlike(_ISO), _iso_micros(s)).otherwise(other)
         return F.when((s == "") | s.isNull(), F.lit(None).cast("bigint")).otherwise(known)
 
@@ -101,17 +109,19 @@ def normalize_timestamp(value: Column, as_of: Column) -> Column:
     Offsets are converted rather than dropped, and ISO texts with an offset keep it.
     """
 
+    out = lambda micros: F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.000'Z'")
+
+    def read(s: Column, flat: Column) -> Column:
+        layouts = [F.when(flat.rlike(shape), _micros(F.try_to_timestamp(flat, F.lit(p)))) for shape, p in _NORMAL]
+        start = let(F.regexp_extract(s, r"^(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2})", 1), lambda x: F.when(x != "", _micros(F.try_to_timestamp(x, F.lit("dd/MMM/yyyy:HH:mm:ss")))))
+        epoch = F.when(s.rlike(r"^[+-]?\d+(\.\d+)?$"), F.floor(s.try_cast("double")).cast("bigint") * 1_000_000)
+        return out(F.coalesce(F.when(flat.rlike(_SYSLOG_SHAPE), _syslog_micros(flat, as_of)), *layouts, start, epoch))
+
     def read_text(s: Column) -> Column:
         iso = s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}")
         zoned = s.rlike(r"(Z|[+-]\d{2}(:?\d{2})?)$")
         flat = F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"(?<=\d{2}:\d{2}:\d{2})\.\d+$", "")
-        out = lambda micros: F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.000'Z'")
-        layouts = [F.when(flat.rlike(shape), _micros(F.try_to_timestamp(flat, F.lit(p)))) for shape, p in _NORMAL]
-        start = F.regexp_extract(s, r"^(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2})", 1)
-        nginx = F.when(start != "", _micros(F.try_to_timestamp(start, F.lit("dd/MMM/yyyy:HH:mm:ss"))))
-        epoch = F.when(s.rlike(r"^[+-]?\d+(\.\d+)?$"), F.floor(s.try_cast("double")).cast("bigint") * 1_000_000)
-        read = out(F.coalesce(F.when(flat.rlike(_SYSLOG_SHAPE), _syslog_micros(flat, as_of)), *layouts, nginx, epoch))
-        now = out(F.unix_micros(as_of))
-        return F.when(F.coalesce(s, F.lit("")) == "", now).when(iso, F.when(zoned, s).otherwise(F.concat(s, F.lit("Z")))).otherwise(F.coalesce(read, s))
+        other = F.coalesce(let(flat, lambda f: read(s, f)), s)
+        return F.when(F.coalesce(s, F.lit("")) == "", out(F.unix_micros(as_of))).when(iso, F.when(zoned, s).otherwise(F.concat(s, F.lit("Z")))).otherwise(other)
 
     return let(F.trim(value.cast("string")), read_text)
