@@ -12,7 +12,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_dga, xml_events
+from ..functions.text import is_dga, let, xml_events
 from ..streaming.cursors import lately_new
 from .follow import FolderSource
 from .parsers import parse, parse_typed
@@ -29,18 +29,21 @@ _IDLE = ("0.0.0.0", "::", "127.0.0.1", "::1")
 
 def w3c_to_ufw(line: Column) -> Column:
     """A Windows firewall log line as a UFW line; null for comments and short lines."""
-    part = F.split(F.trim(line), r"\s+")
-    at = lambda i: F.get(part, F.lit(i))
-    when = F.try_to_timestamp(F.concat(at(0), F.lit(" "), at(1)), F.lit("yyyy-MM-dd HH:mm:ss"))
-    stamp = F.coalesce(F.date_format(when, "MMM dd HH:mm:ss"), at(1))
-    word = F.when(F.upper(at(2)) == "DROP", "BLOCK").otherwise("ALLOW")
-    made = F.format_string("%s FIREWALL kernel: [UFW %s] IN=eth0 OUT= SRC=%s DST=%s PROTO=%s SPT=%s DPT=%s", stamp, word, at(4), at(5), F.upper(at(3)), at(6), at(7))
-    return F.when(~F.trim(line).startswith("#") & (F.size(part) >= 8), made)
+
+    def made(part: Column) -> Column:
+        at = lambda i: F.get(part, F.lit(i))
+        when = F.try_to_timestamp(F.concat(at(0), F.lit(" "), at(1)), F.lit("yyyy-MM-dd HH:mm:ss"))
+        stamp = F.coalesce(F.date_format(when, "MMM dd HH:mm:ss"), at(1))
+        word = F.when(F.upper(at(2)) == "DROP", "BLOCK").otherwise("ALLOW")
+        ufw = F.format_string("%s FIREWALL kernel: [UFW %s] IN=eth0 OUT= SRC=%s DST=%s PROTO=%s SPT=%s DPT=%s", stamp, word, at(4), at(5), F.upper(at(3)), at(6), at(7))
+        return F.when(F.size(part) >= 8, ufw)
+
+    return F.when(~F.trim(line).startswith("#"), let(F.split(F.trim(line), r"\s+"), made))
 
 
 def firewall_lines(lines: DataFrame) -> DataFrame:
-    ufw = lines.withColumn("value", w3c_to_ufw(F.col("value"))).filter(F.col("value").isNotNull())
-    return parse(ufw, "firewall")
+    # what is null no parser reads
+    return parse(lines.withColumn("value", w3c_to_ufw(F.col("value"))), "firewall")
 
 
 def _once(rows: DataFrame, keys: list[str], keep: str | None) -> DataFrame:
