@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.normalize import LOG_TYPES
 
 #: Log types that are called otherwise in the rulebook.
@@ -54,7 +55,7 @@ def to_fields(rows: DataFrame, bridge: bool = False) -> DataFrame:
         F.col("action")
     )
     more = F.map_filter(F.map_from_entries(F.array(*[_entry(k, v) for k, v in added.items()])), lambda k, v: v.isNotNull())
-    return rows.withColumn("fields", F.map_concat(F.map_filter(fields, lambda k, v: ~F.map_contains_key(more, k)), more))
+    return rows.withColumn("fields", let(more, lambda m: F.map_concat(F.map_filter(fields, lambda k, v: ~F.map_contains_key(m, k)), m)))
 
 
 assert set(PROMOTED) <= set(LOG_TYPES)
