@@ -19,7 +19,7 @@ from .operators.rules import build_rule, load_rules
 from .plans import bridge, capture, detection
 from .session import shared_dir, utc
 from .sources import landing, live, parsers
-from .sources.events import canonical_type, fill_aliases, parse_lines, read_lines, spread
+from .sources.events import canonical_type, fill_aliases, parse_lines, read_lines, spread_table
 from .streaming import sinks
 from .streaming.detector import STORE
 
@@ -53,7 +53,7 @@ def _micros(ts: str = "ts") -> Column:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_table(spark, sf_dir, "events")).withColumn("ts_us", _micros())
+    return spread_table(_table(spark, sf_dir, "events")).withColumn("ts_us", _micros())
 
 
 # conditions: operator, table, id, column, value and the SQL of the same test
@@ -598,7 +598,9 @@ def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV export itself: from the newest capture in a folder, beside an older one and other files, to CSV, read back."""
     out = shared_dir(spark, "export")
-    log = _firewall_log(spark, sf_dir)
+    # parsed once, as three captures are made of it
+    _firewall_log(spark, sf_dir).write.parquet(f"{out}/log")
+    log = spark.read.parquet(f"{out}/log")
     capture.write_normalized(log.filter("severity = 'medium'"), f"{out}/live_capture_1.jsonl")
     capture.write_normalized(log, f"{out}/live_capture_2.jsonl")
     capture.write_normalized(log.filter("severity = 'info'"), f"{out}/other_3.jsonl")
@@ -715,7 +717,7 @@ def truncated_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _year_end(spark: SparkSession, sf_dir: str, default: Column) -> Column:
     """The last day of the year that the events lie in, which dates their syslog times."""
-    last = _events(spark, sf_dir).agg(F.max("ts_us")).first()[0]
+    last = _table(spark, sf_dir, "events").agg(F.max(_micros())).first()[0]
     return default if last is None else F.timestamp_micros(F.lit(int(last)))
 
 

@@ -59,12 +59,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spread(lines.select("value", seq.alias("seq")))
 
 
+#: A task of rows that are parsed one by one takes seconds with so many.
+_ROWS_A_TASK = 100_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Deals the rows of a scan of few splits out to all cores; a scan of many splits, as any large one, stays as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def spread_table(table: DataFrame) -> DataFrame:
+    """Deals the rows of a Parquet table out by their number, which its footers tell.
+
+    Splits go by bytes, but a row group is read by one of them: few large groups leave most splits of a file empty.
+    """
+    return table.repartition(max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // _ROWS_A_TASK)))
+
+
 def fill_aliases(fields: Column, aliases: dict[str, list[str]] = ALIASES) -> Column:
     """Adds each missing canonical field from the first of its aliases that is there; a canonical field that is null stays."""
     added = []
