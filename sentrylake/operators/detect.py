@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SEVERITIES, canonical_text
 from ..functions.timestamps import iso_utc
-from ..session import ship
+from ..session import shared_dir, ship
 from .conditions import Fields, matches, split_key
 from .lists import ListTable, mark
 from .rules import Rule
@@ -214,15 +214,32 @@ def _runs(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         ("ts_us", pa.int64()), ("picked", pa.list_(pa.int64())), ("upto", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64())),
     ])
 
+    def batch(made: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The beginnings and the transitions of many buckets, each as one batch."""
+        keys, pos, leaves, ends, done, ts, flat, upto, exits = zip(*made, strict=True)
+        sizes = np.array([len(x) for x in pos])
+        lists = lambda values, lengths: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(np.concatenate(values)))
+        named = [pa.array(x, f.type) for x, f in zip(zip(*keys, strict=True), schema, strict=False)]
+        at, m = pa.array(np.repeat(np.arange(len(made)), sizes)), int(sizes.sum())
+        none = pa.nulls(m, pa.list_(pa.int64()))
+        widths = np.concatenate([np.full(len(x), len(f) // max(1, len(x))) for x, f in zip(pos, flat, strict=True)])
+        yield pa.RecordBatch.from_arrays([
+            *(x.take(at) for x in named), pa.array(np.concatenate(pos)), pa.array(np.concatenate(leaves)), pa.array(np.concatenate(ends), mask=~np.concatenate(done)),
+            pa.array(np.concatenate(ts)), lists(flat, widths), none, none,
+        ], schema=schema)
+        lone, turns = pa.nulls(len(made), pa.int64()), [len(x) for x in upto]
+        yield pa.RecordBatch.from_arrays([*named, lone, lone, lone, lone, pa.nulls(len(made), pa.list_(pa.int64())), lists(upto, turns), lists(exits, turns)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for (rule, group, bucket), t in _groups(batches, _BUCKET):
             plan, span = plans[rule]
             pos, ts, own = _numbers(t, "pos"), _numbers(t, "ts_us"), t.column("own").to_numpy()
             n, steps = len(pos), t.column("steps").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(pos), -1)
-            at = [np.append(np.flatnonzero(steps[:, i]), n) for i in range(steps.shape[1])]
             begins = np.flatnonzero(steps[:, plan[0]] & own)
             if not len(begins):
                 continue
+            at = [np.append(np.flatnonzero(steps[:, i]), n) for i in range(steps.shape[1])]
             stale = np.searchsorted(ts, ts[begins] + span, "right")
             met = [begins]
             for i in plan[1:]:
@@ -236,22 +253,16 @@ def _runs(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 last = further
             exits = leaves[last] + pos[0]
             turns = np.append(np.flatnonzero(exits[1:] != exits[:-1]), len(exits) - 1)
-            session = int(t.column("session")[0].as_py())
-            m = len(begins)
-            flat = np.where(done[:, None], np.stack(met, 1), 0) + pos[0]
-            picked = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * len(plan)), pa.array(flat.ravel()))
-            none = pa.nulls(m, pa.list_(pa.int64()))
             end = np.where(done, met[-1], 0)
-            same = lambda v, k, kind: pa.array([v] * k, kind)
-            yield pa.RecordBatch.from_arrays([
-                same(rule, m, pa.int32()), same(group, m, pa.string()), same(session, m, pa.int64()), same(bucket, m, pa.int64()), pa.array(pos[begins]), pa.array(leaves + pos[0]),
-                pa.array(end + pos[0], mask=~done), pa.array(ts[end]), picked, none, none,
-            ], schema=schema)
-            lone = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                same(rule, 1, pa.int32()), same(group, 1, pa.string()), same(session, 1, pa.int64()), same(bucket, 1, pa.int64()), lone, lone, lone, lone, pa.nulls(1, pa.list_(pa.int64())),
-                pa.array([pos[begins][turns]], pa.list_(pa.int64())), pa.array([exits[turns]], pa.list_(pa.int64())),
-            ], schema=schema)
+            flat = np.where(done[:, None], np.stack(met, 1), 0) + pos[0]
+            key = (rule, group, int(t.column("session")[0].as_py()), bucket)
+            held.append((key, pos[begins], leaves + pos[0], end + pos[0], done, ts[end], flat.ravel(), pos[begins][turns], exits[turns]))
+            size += len(begins)
+            if size >= 20_000:
+                yield from batch(held)
+                held, size = [], 0
+        if held:
+            yield from batch(held)
 
     copies = F.explode(F.array(*[F.struct((F.col("bucket") - i).alias("bucket"), F.lit(i == 0).alias("own")) for i in (0, 1)]))
     rows = rows.select("rule", "group_key", "session", copies.alias("at"), "pos", "ts_us", "steps").select("rule", "group_key", "session", "at.*", "pos", "ts_us", "steps")
@@ -280,19 +291,27 @@ def _entered(runs: DataFrame) -> DataFrame:
 
 def _completed(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The sequences that ``rows`` of sessions make, whether throttled or not: rule, group_key, bucket, pos, ts_us, picked."""
-    runs = _runs(rows, rules)
+    runs = _once(_runs(rows, rules))  # for the buckets' transitions and for the sequences
     schema = "rule int, group_key string, bucket long, pos long, ts_us long, picked array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for _, t in _groups(batches, _BUCKET):
             pos, i = _numbers(t, "pos"), int(np.searchsorted(_numbers(t, "pos"), t.column("entry")[0].as_py()))
             after, taken = np.searchsorted(pos, _numbers(t, "leaves"), "left").tolist(), []
+            ended = t.column("ends").is_valid().to_numpy()
             while i < len(pos):  # a step a sequence
-                taken.append(i)
+                if ended[i]:
+                    taken.append(i)
                 i = after[i]
-            kept = t.take(pa.array(taken, pa.int64()))
-            kept = kept.filter(kept.column("ends").is_valid()).select([*_BUCKET, "ends", "ts_us", "picked"]).rename_columns([c.split()[0] for c in schema.split(", ")])
-            yield from kept.to_batches()
+            if taken:
+                held.append(t.take(pa.array(taken, pa.int64())).select([*_BUCKET, "ends", "ts_us", "picked"]).rename_columns([c.split()[0] for c in schema.split(", ")]))
+                size += len(taken)
+            if size >= 20_000:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
 
     placed = runs.filter("pos IS NOT NULL").drop("upto", "exits", "session").join(_entered(runs), _BUCKET)
     return placed.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "pos").mapInArrow(run, schema)
@@ -337,6 +356,13 @@ def _chained(rows: DataFrame, dedupe: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(run, _FIRED)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` written to a shared folder and read from there, for what is used several times and dear to make."""
+    path = shared_dir(rows.sparkSession, "hits")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _sessions(rows: DataFrame) -> DataFrame:
     """``rows`` with their ``session`` and whether they are ``alone`` in it. A session is a run of buckets that hold rows:
     a bucket is as long as window and throttle, so rows with an empty one between them have nothing to do with each other."""
@@ -392,13 +418,17 @@ def fire(found: DataFrame, rules: Sequence[Rule], dedupe_seconds: int) -> tuple[
         fired += [plain(rows.filter("alone")), _chained(rows.filter("NOT alone"), dedupe)]
     if steps:
         rows = placed.filter(F.col("rule").isin([r.order for r in steps])).select(*_BUCKET, "pos", "ts_us", "steps")
-        rows = _sessions(rows)
+        rows = _sessions(_once(rows))
         last = F.coalesce(F.get("steps", _by_rule(steps, lambda r: max(0, len(r.steps) - 1))), F.lit(False))
         rows = rows.withColumn("ends", F.max(last).over(Window.partitionBy("rule", "group_key", "session"))).filter("ends")
         made = _completed(rows, steps).withColumn("low", F.col("pos") - 1).withColumn("start", F.col("pos"))
-        # the bucket is that of the beginning; what ends in the next one belongs there
-        made = _sessions(made.withColumn("bucket", F.floor(F.col("ts_us") / _by_rule(steps, lambda r: _width(r, dedupe))).cast("long")))
-        made = plain(made.filter("alone")).unionByName(_chained(made.filter("NOT alone"), dedupe))
+        if dedupe:
+            # the bucket is that of the beginning; what ends in the next one belongs there
+            made = _once(made.withColumn("bucket", F.floor(F.col("ts_us") / _by_rule(steps, lambda r: _width(r, dedupe))).cast("long")))
+            made = _sessions(made)
+            made = plain(made.filter("alone")).unionByName(_chained(made.filter("NOT alone"), dedupe))
+        else:  # without a throttle every sequence is an alert
+            made = plain(made)
         fired.append(made.withColumn("first", F.col("pos") - 1).withColumn("evidence_count", F.size("picked")))
     if not fired:
         return placed, plain(none(candidates(placed, [])))

@@ -79,3 +79,10 @@ def test_export_parses_its_lines_once(spark, monkeypatch):
     monkeypatch.setattr(capture, "write_normalized", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows, *a))
     queries.QUERIES["export_all_lines"](spark, "/root/testdata/sf0.001")
     assert len(plans) == 3 and not any("regexp" in p for p in plans)
+
+
+def test_sequences_of_buckets_are_found_once(spark):
+    found, rules = queries._hits(spark, "/root/testdata/sf0.001", queries._SEQUENCE)
+    for dedupe, passes in ((0, 3), (86_400, 6)):
+        plan = queries.detect.fire(found, rules, dedupe)[1]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") <= passes
